@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendcadence.functions.fence import compute_once
+
 # English month names; strptime accepts both spellings.
 MONTHS = [
     ("jan", "january"), ("feb", "february"), ("mar", "march"), ("apr", "april"),
@@ -127,7 +129,8 @@ def with_parsed_date(df: DataFrame, text: str, name: str) -> DataFrame:
     computed once and the projection stays small enough to be code-generated.
     """
     staged = df.withColumn("_text", strip(F.col(text))).withColumn("_tokens", date_tokens(F.col("_text")))
-    return staged.withColumn(name, date_from_tokens(F.col("_text"), F.col("_tokens"))).drop("_text", "_tokens")
+    date = date_from_tokens(F.col("_text"), F.col("_tokens"))
+    return compute_once(staged, {name: date}, drop=("_text", "_tokens"))
 
 
 def parse_date(text: Column) -> Column:
@@ -160,7 +163,7 @@ def with_event_date(df: DataFrame, text: str, name: str, today: str) -> DataFram
         .when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t)
         .otherwise(F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), t))
     )
-    return staged.withColumn(name, shown).drop("_text", "_tokens")
+    return compute_once(staged, {name: shown}, drop=("_text", "_tokens"))
 
 
 def signed_amount(text: Column) -> Column:

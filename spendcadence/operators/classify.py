@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spendcadence.functions import rules as R
 from spendcadence.functions import text as T
+from spendcadence.functions.fence import compute_once
 
 SALARY_THRESHOLD = 10_000.0
 
@@ -81,18 +82,22 @@ def classify_transactions(
     ).withColumn("_category", F.coalesce(F.col("_vendor.category"), category))
     salary = is_salary_credit(F.col("credit"), category, salary_threshold)
     paid = vended.withColumn("_salary", salary).withColumn(
-        "category",
+        "_final",
         F.when(is_cash_machine(description), F.lit("atm_withdrawal"))
         .when(F.col("_salary"), F.lit("salary"))
         .otherwise(category),
     )
-    return paid.withColumns(
+    final = F.col("_final")
+    return compute_once(
+        paid,
         {
+            "category": final,
             "is_subscription": service.isNotNull(),
-            "is_recurring": service.isNotNull() | F.col("_salary") | is_recurring_category(F.col("category")),
+            "is_recurring": service.isNotNull() | F.col("_salary") | is_recurring_category(final),
             "vendor_name": F.coalesce(F.col("_vendor.vendor"), service, description),
-        }
-    ).drop("_service", "_category", "_vendor", "_salary")
+        },
+        drop=("_service", "_category", "_vendor", "_salary", "_final"),
+    )
 
 
 def category_counts(classified: DataFrame, key: str = "account_id") -> DataFrame:

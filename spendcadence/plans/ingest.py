@@ -160,7 +160,8 @@ _FALLBACK = f"""
 def _sides(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.with_parsed_date(A.csv_rows(spark, sf), "date", "date")
     debit, credit = C.signed_amount_fallback(
-        T.parse_amount(F.col("debit")), T.parse_amount(F.col("credit")), F.col("amount")
+        T.parse_amount(F.col("debit")), T.parse_amount(F.col("credit")),
+        F.coalesce(T.signed_amount(F.col("amount")), F.lit(0.0)),
     )
     return rows.select("seq", debit.alias("debit"), credit.alias("credit"), "date")
 

@@ -248,7 +248,7 @@ SALARY = """
   JOIN (SELECT account_id, leader_no, day::INT AS pay_day
         FROM (SELECT account_id, leader_no, day(date) AS day,
                      row_number() OVER (PARTITION BY account_id, leader_no ORDER BY count(*) DESC, day(date)) AS r
-              FROM clustered GROUP BY ALL) WHERE r = 1) USING (account_id, leader_no)
+              FROM clustered GROUP BY account_id, leader_no, day(date)) WHERE r = 1) USING (account_id, leader_no)
   WHERE best = 1"""
 
 
@@ -263,7 +263,7 @@ def _vendor_pattern(where: str) -> str:
         FROM (SELECT account_id, lower(trim(vendor_name)) AS vendor, day(date) AS day,
                      row_number() OVER (PARTITION BY account_id, lower(trim(vendor_name))
                                         ORDER BY count(*) DESC, day(date)) AS r
-              FROM cls WHERE {where.replace('@', '')} GROUP BY ALL) WHERE r = 1) m USING (account_id, vendor)"""
+              FROM cls WHERE {where.replace('@', '')} GROUP BY account_id, lower(trim(vendor_name)), day(date)) WHERE r = 1) m USING (account_id, vendor)"""
 
 
 SUBSCRIPTIONS = _vendor_pattern("@is_subscription")

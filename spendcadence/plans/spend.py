@@ -166,7 +166,7 @@ def salary_group(spark: SparkSession, sf: str) -> DataFrame:
 _MODAL = """SELECT account_id, vendor, day AS modal_day
   FROM (SELECT account_id, lower(trim(vendor_name)) AS vendor, day(date)::INT AS day,
                row_number() OVER (PARTITION BY account_id, lower(trim(vendor_name)) ORDER BY count(*) DESC, day(date)) AS r
-        FROM cls GROUP BY ALL) WHERE r = 1"""
+        FROM cls GROUP BY account_id, lower(trim(vendor_name)), day(date)) WHERE r = 1"""
 
 
 @query("pat_03_modal_day", S.build(_MODAL, ["cls"]))

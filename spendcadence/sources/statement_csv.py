@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendcadence.functions import text as T
+from spendcadence.functions.fence import compute_once
 
 # Accepted header spellings, first non-empty one wins.
 ALIASES = {
@@ -40,10 +41,9 @@ def normalise_headers(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return raw.select(*keep, *picked)
 
 
-def signed_amount_fallback(debit: Column, credit: Column, amount: Column) -> tuple[Column, Column]:
-    """Use a single signed amount when both sides are 0; the sign is read before it is dropped."""
+def signed_amount_fallback(debit: Column, credit: Column, signed: Column) -> tuple[Column, Column]:
+    """Use a single signed amount when both sides are 0; its sign tells the side."""
     both_zero = (debit == 0) & (credit == 0)
-    signed = F.coalesce(T.signed_amount(amount), F.lit(0.0))
     return (
         F.when(both_zero & (signed < 0), -signed).otherwise(debit),
         F.when(both_zero & (signed > 0), signed).otherwise(credit),
@@ -57,14 +57,20 @@ def valid_tx(date: Column, debit: Column, credit: Column) -> Column:
 def read_statement_rows(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Text rows of one header layout to valid transactions."""
     rows = T.with_parsed_date(normalise_headers(raw, keep), "date", "date")
-    sides = rows.withColumns({"_d": T.parse_amount(F.col("debit")), "_c": T.parse_amount(F.col("credit"))})
-    debit, credit = signed_amount_fallback(F.col("_d"), F.col("_c"), F.col("amount"))
-    parsed = sides.select(
+    sides = rows.withColumns(
+        {
+            "debit": T.parse_amount(F.col("debit")),
+            "credit": T.parse_amount(F.col("credit")),
+            "_signed": F.coalesce(T.signed_amount(F.col("amount")), F.lit(0.0)),
+        }
+    )
+    debit, credit = signed_amount_fallback(F.col("debit"), F.col("credit"), F.col("_signed"))
+    parsed = compute_once(sides, {"debit": debit, "credit": credit}).select(
         *keep,
         "date",
         F.coalesce("description", F.lit("")).alias("description"),
-        debit.alias("debit"),
-        credit.alias("credit"),
+        "debit",
+        "credit",
         T.parse_amount(F.col("balance")).alias("balance"),
     )
     return parsed.filter(valid_tx(F.col("date"), F.col("debit"), F.col("credit")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spendcadence.functions import rules as R
 from spendcadence.functions import text as T
+from spendcadence.functions.fence import compute_once
 
 STATEMENT = ["account_id", "statement_id"]
 DEFAULT_CURRENCY = r"J\$"
@@ -78,14 +79,15 @@ def match_tx_lines(lines: DataFrame, currency: str = DEFAULT_CURRENCY) -> DataFr
     def part(group: int) -> Column:
         return F.regexp_extract("line", pattern, group)
 
-    return lines.filter(F.col("line").rlike(pattern)).withColumns(
+    return compute_once(
+        lines.filter(F.col("line").rlike(pattern)),
         {
             "day": part(1).cast("int"),
             "month_text": part(2),
             "description": T.strip(part(3)),
             "amount": F.regexp_replace(part(4), ",", "").try_cast("double"),
             "sign": part(5),
-        }
+        },
     )
 
 
@@ -142,14 +144,15 @@ def dated_lines(pages: DataFrame, default_year: int, currency: str = DEFAULT_CUR
     date = resolve_tx_date(
         F.col("day"), F.col("month_text"), F.col("start_month"), F.col("start_year"), F.col("statement_year")
     )
-    return with_period.withColumn("date", date).filter(F.col("date").isNotNull())
+    return compute_once(with_period, {"date": date}).filter(F.col("date").isNotNull())
 
 
 def parse_statements(pages: DataFrame, default_year: int, currency: str = DEFAULT_CURRENCY) -> DataFrame:
     """Pages to transactions; ``seq`` is the place (page, line) in the statement."""
     debit, credit = split_debit_credit(F.col("amount"), F.col("sign"))
-    described = dated_lines(pages, default_year, currency).withColumn(
-        "description", append_continuation(F.col("description"), F.col("next_line"))
+    described = compute_once(
+        dated_lines(pages, default_year, currency),
+        {"description": append_continuation(F.col("description"), F.col("next_line"))},
     )
     return described.filter(~is_fee_line(F.col("description"))).select(
         *STATEMENT,
