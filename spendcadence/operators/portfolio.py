@@ -28,8 +28,9 @@ def category_totals(verdicts: DataFrame, key: str = "user_id") -> DataFrame:
     entry = F.struct(F.col("app_name").alias("name"), "cph", "personal_burden")
     return verdicts.groupBy(key, "category").agg(
         F.count(F.lit(1)).alias("subscription_count"),
-        F.sum(F.col("personal_burden").cast(EXACT)).alias("_cost"),
-        F.sum(F.col("raw_hours").cast(EXACT)).alias("_hours"),
+        # Kept below 38 digits: a wider type would lose scale in the subtraction that follows.
+        F.sum(F.col("personal_burden").cast(EXACT)).cast("decimal(30,10)").alias("_cost"),
+        F.sum(F.col("raw_hours").cast(EXACT)).cast("decimal(30,10)").alias("_hours"),
         F.min_by(entry, place).alias("best_value"),
         F.max_by(entry, place).alias("worst_value"),
     )

@@ -43,11 +43,15 @@ def section(
     )
     part = F.when(F.col("_n") <= part_rows, F.lit(0)).otherwise(spread + 1).cast("bigint")
     sort_key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+
+    def by_key(a: Column, b: Column) -> Column:
+        return F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+
     return (
         rows.join(sizes, key)
         .withColumn("part", part)
         .groupBy(key, "part")
-        .agg(F.array_sort(F.collect_list(F.struct(sort_key.alias("k"), entry.alias("e")))).alias("_sorted"))
+        .agg(F.array_sort(F.collect_list(F.struct(sort_key.alias("k"), entry.alias("e"))), by_key).alias("_sorted"))
         .select(key, "part", F.col("_sorted.e").alias(name))
     )
 
