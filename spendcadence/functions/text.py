@@ -17,39 +17,44 @@ MONTHS = [
 ]
 
 
-def contains_any(text: Column, words: Sequence[str]) -> Column:
-    """True when at least one of the words is a substring."""
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | F.contains(text, F.lit(word))
-    return hit
+WHITE_SPACE = " \t\n\r\f\v"
 
 
-def count_contained(text: Column, words: Sequence[str]) -> Column:
-    """How many of the words are substrings (each word counts once)."""
-    total = F.lit(0)
-    for word in words:
-        total = total + F.contains(text, F.lit(word)).cast("int")
-    return total
+def _quoted(value: object) -> str:
+    """A Spark SQL literal."""
+    if isinstance(value, (bool, int)):
+        return str(value)
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def first_rule(text: Column, rules: Sequence[tuple[str, object]]) -> Column:
-    """Label of the first rule, in list order, whose keyword is a substring.
+# The three helpers below take a column *name* and build one SQL text: a rule
+# table becomes a single expression instead of hundreds of calls into the JVM,
+# and the name makes sure that the tested text is computed once, by the caller.
+
+
+def contains_any(text: str, words: Sequence[str]) -> Column:
+    """True when at least one of the words is a substring of the named column."""
+    return F.expr("(" + " OR ".join(f"contains({text}, {_quoted(word)})" for word in words) + ")")
+
+
+def count_contained(text: str, words: Sequence[str]) -> Column:
+    """How many of the words are substrings of the named column (each word counts once)."""
+    return F.expr("(" + " + ".join(f"cast(contains({text}, {_quoted(word)}) as int)" for word in words) + ")")
+
+
+def first_rule(text: str, rules: Sequence[tuple[str, object]]) -> Column:
+    """Label of the first rule, in list order, whose keyword is a substring of the named column.
 
     One lazily evaluated CASE, so it stays inside whole-stage codegen; an
     alternation regex would pick the leftmost position instead of the first rule.
     """
-    chain = None
-    for keyword, label in rules:
-        test = F.contains(text, F.lit(keyword))
-        value = label if isinstance(label, Column) else F.lit(label)
-        chain = F.when(test, value) if chain is None else chain.when(test, value)
-    return chain
+    arms = " ".join(f"WHEN contains({text}, {_quoted(keyword)}) THEN {_quoted(label)}" for keyword, label in rules)
+    return F.expr(f"CASE {arms} END")
 
 
 def strip(text: Column) -> Column:
     """Remove white space, not only blanks, at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -147,7 +152,7 @@ def parse_date(text: Column) -> Column:
 
 def with_event_date(df: DataFrame, text: str, name: str, today: str) -> DataFrame:
     """Calendar date text as ``yyyy-MM-dd``; unknown shapes stay as they are, empty means today."""
-    staged = df.withColumn("_text", F.regexp_extract(strip(F.col(text)), r"^([^T]*)", 1)).withColumn(
+    staged = df.withColumn("_text", F.substring_index(strip(F.col(text)), "T", 1)).withColumn(
         "_tokens", date_tokens(F.col("_text"))
     )
     t, tokens = F.col("_text"), F.col("_tokens")

@@ -14,33 +14,33 @@ from spendcadence.functions.fence import compute_once
 SALARY_THRESHOLD = 10_000.0
 
 
-def _upper(description: Column) -> Column:
-    return F.upper(F.coalesce(description, F.lit("")))
+def with_cased(df: DataFrame, text: str = "description") -> DataFrame:
+    """Add ``_up`` and ``_low``, the texts the rules look at."""
+    return df.withColumn("_up", F.upper(F.coalesce(F.col(text), F.lit("")))).withColumn("_low", F.lower("_up"))
 
 
-def _lower(description: Column) -> Column:
-    return F.lower(F.coalesce(description, F.lit("")))
-
-
-def match_subscription(description: Column, rules: Sequence[tuple[str, str]] = R.SUBSCRIPTION_RULES) -> Column:
+def match_subscription(rules: Sequence[tuple[str, str]] = R.SUBSCRIPTION_RULES) -> Column:
     """Display name of the subscription service, null for none and for bill payments."""
-    return F.when(
-        ~F.contains(_upper(description), F.lit("BILL PAYMENT")), T.first_rule(_lower(description), rules)
-    )
+    return F.when(~T.contains_any("_up", ["BILL PAYMENT"]), T.first_rule("_low", rules))
 
 
-def match_tx_pattern(description: Column) -> Column:
+def match_tx_pattern() -> Column:
     """Category of the first statement phrase in the description."""
-    return T.first_rule(_upper(description), R.TRANSACTION_RULES)
+    return T.first_rule("_up", R.TRANSACTION_RULES)
+
+
+def match_vendor(rules: Sequence[tuple[str, str]] = R.VENDOR_RULES) -> Column:
+    """Index of the first vendor keyword in the description."""
+    return T.first_rule("_low", [(keyword, i) for i, (keyword, _) in enumerate(rules)])
+
+
+def vendor_category(index: Column, rules: Sequence[tuple[str, str]] = R.VENDOR_RULES) -> Column:
+    return F.get(F.array(*[F.lit(category) for _, category in rules]), index)
 
 
-def match_vendor(description: Column, rules: Sequence[tuple[str, str]] = R.VENDOR_RULES) -> Column:
-    """Struct (category, vendor) of the first vendor keyword, the vendor title-cased."""
-    labelled = [
-        (keyword, F.struct(F.lit(category).alias("category"), F.lit(keyword.title()).alias("vendor")))
-        for keyword, category in rules
-    ]
-    return T.first_rule(_lower(description), labelled)
+def vendor_title(index: Column, rules: Sequence[tuple[str, str]] = R.VENDOR_RULES) -> Column:
+    """The keyword itself, title-cased, is the vendor's display name."""
+    return F.get(F.array(*[F.lit(keyword.title()) for keyword, _ in rules]), index)
 
 
 def is_salary_credit(credit: Column, category: Column, threshold: float = SALARY_THRESHOLD) -> Column:
@@ -48,9 +48,8 @@ def is_salary_credit(credit: Column, category: Column, threshold: float = SALARY
     return (credit > 0) & (credit >= threshold) & category.isin("transfer", "other")
 
 
-def is_cash_machine(description: Column) -> Column:
-    upper = _upper(description)
-    return F.contains(upper, F.lit("ABM")) | F.contains(upper, F.lit("ATM"))
+def is_cash_machine() -> Column:
+    return T.contains_any("_up", ["ABM", "ATM"])
 
 
 def is_recurring_category(category: Column) -> Column:
@@ -67,23 +66,22 @@ def classify_transactions(
     """
     subscriptions = R.SUBSCRIPTION_RULES_WIDE if wide else R.SUBSCRIPTION_RULES
     vendors = R.VENDOR_RULES_WIDE if wide else R.VENDOR_RULES
-    description = F.col("description")
-    named = tx.withColumn("_service", match_subscription(description, subscriptions))
+    named = with_cased(tx).withColumn("_service", match_subscription(subscriptions))
     service = F.col("_service")
     phrased = named.withColumn(
         "_category",
         F.when(service.isNotNull(), F.lit("subscription")).otherwise(
-            F.coalesce(match_tx_pattern(description), F.lit("other"))
+            F.coalesce(match_tx_pattern(), F.lit("other"))
         ),
     )
-    category = F.col("_category")
+    category, vendor = F.col("_category"), F.col("_vendor")
     vended = phrased.withColumn(
-        "_vendor", F.when(category.isin("shopping", "other"), match_vendor(description, vendors))
-    ).withColumn("_category", F.coalesce(F.col("_vendor.category"), category))
+        "_vendor", F.when(category.isin("shopping", "other"), match_vendor(vendors))
+    ).withColumn("_category", F.coalesce(vendor_category(vendor, vendors), category))
     salary = is_salary_credit(F.col("credit"), category, salary_threshold)
     paid = vended.withColumn("_salary", salary).withColumn(
         "_final",
-        F.when(is_cash_machine(description), F.lit("atm_withdrawal"))
+        F.when(is_cash_machine(), F.lit("atm_withdrawal"))
         .when(F.col("_salary"), F.lit("salary"))
         .otherwise(category),
     )
@@ -94,9 +92,9 @@ def classify_transactions(
             "category": final,
             "is_subscription": service.isNotNull(),
             "is_recurring": service.isNotNull() | F.col("_salary") | is_recurring_category(final),
-            "vendor_name": F.coalesce(F.col("_vendor.vendor"), service, description),
+            "vendor_name": F.coalesce(vendor_title(vendor, vendors), service, F.col("description")),
         },
-        drop=("_service", "_category", "_vendor", "_salary", "_final"),
+        drop=("_low", "_up", "_service", "_category", "_vendor", "_salary", "_final"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spendcadence.functions import rules as R
 from spendcadence.functions import text as T
+from spendcadence.functions.fence import compute_once
 
 # Message texts.
 NOTHING_TO_PAUSE = (
@@ -22,9 +23,9 @@ def match_exam_events(events: DataFrame, key: str = "user_id") -> DataFrame:
     combined = F.concat(
         F.lower(F.coalesce("summary", F.lit(""))), F.lit(" "), F.lower(F.coalesce("description", F.lit("")))
     )
-    keyword = T.first_rule(combined, [(word, word) for word in R.EXAM_KEYWORDS])
+    keyword = T.first_rule("_text", [(word, word) for word in R.EXAM_KEYWORDS])
     return (
-        events.withColumn("keyword_matched", keyword)
+        compute_once(events.withColumn("_text", combined), {"keyword_matched": keyword}, drop=("_text",))
         .filter(F.col("keyword_matched").isNotNull())
         .select(
             key, "event_id", F.coalesce("summary", F.lit("Unnamed Event")).alias("name"),

@@ -114,17 +114,18 @@ def total_savings(recommendations: DataFrame, key: str = "user_id") -> DataFrame
     )
 
 
-def alternative_search_term(name: Column, location_type: Column) -> Column:
+def with_search_term(subscriptions: DataFrame, column: str = "term") -> DataFrame:
     """What to look for at the destination; null for portable services."""
-    lower = F.lower(name)
-    physical = T.first_rule(lower, R.ALTERNATIVE_SEARCH_TERMS["physical"])
-    regional = T.first_rule(lower, R.ALTERNATIVE_SEARCH_TERMS["regional_service"])
-    return F.when(
+    name, location_type = F.col("name"), F.col("location_type")
+    physical = T.first_rule("_low", R.ALTERNATIVE_SEARCH_TERMS["physical"])
+    regional = T.first_rule("_low", R.ALTERNATIVE_SEARCH_TERMS["regional_service"])
+    term = F.when(
         location_type == "physical", F.coalesce(physical, F.concat(F.lit("alternatives to "), name))
     ).when(
         location_type == "regional_service",
         F.coalesce(regional, F.concat(F.lit("visitor "), name, F.lit(" options"))),
     )
+    return subscriptions.withColumn("_low", F.lower("name")).withColumn(column, term).drop("_low")
 
 
 def attach_alternatives(recommendations: DataFrame, alternatives: DataFrame) -> DataFrame:

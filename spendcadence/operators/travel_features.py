@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spendcadence.functions import rules as R
 from spendcadence.functions import text as T
+from spendcadence.functions.fence import compute_once
 
 GAP_DAYS = 3
 UNKNOWN = "Unknown"
@@ -49,16 +50,16 @@ def _token_pattern(words: list[str]) -> str:
 
 def event_features(df: DataFrame, text: str = "text") -> DataFrame:
     """Eleven numeric features of a lower-cased event text."""
-    t = F.lower(F.col(text))
+    t = F.col("_low")
     codes = [code.lower() for code in R.AIRPORT_CODES]
 
     def flag(test: Column) -> Column:
         return test.cast("int")
 
-    counted = df.withColumns(
+    counted = df.withColumn("_low", F.lower(text)).withColumns(
         {
-            "travel_keyword_count": T.count_contained(t, R.TRAVEL_KEYWORDS),
-            "local_keyword_count": T.count_contained(t, R.LOCAL_KEYWORDS),
+            "travel_keyword_count": T.count_contained("_low", R.TRAVEL_KEYWORDS),
+            "local_keyword_count": T.count_contained("_low", R.LOCAL_KEYWORDS),
         }
     )
     travel, local = F.col("travel_keyword_count"), F.col("local_keyword_count")
@@ -67,49 +68,50 @@ def event_features(df: DataFrame, text: str = "text") -> DataFrame:
             "has_travel_keyword": flag(travel > 0),
             "has_local_keyword": flag(local > 0),
             "has_airport_code": flag(t.rlike(_token_pattern(codes))),
-            "has_flight": flag(T.contains_any(t, R.FLIGHT_WORDS)),
+            "has_flight": flag(T.contains_any("_low", R.FLIGHT_WORDS)),
             "has_foreign_country": flag(t.rlike(_word_pattern(R.FOREIGN_COUNTRIES))),
-            "has_accommodation": flag(T.contains_any(t, R.ACCOMMODATION_WORDS)),
-            "has_travel_docs": flag(T.contains_any(t, R.TRAVEL_DOCUMENT_WORDS)),
+            "has_accommodation": flag(T.contains_any("_low", R.ACCOMMODATION_WORDS)),
+            "has_travel_docs": flag(T.contains_any("_low", R.TRAVEL_DOCUMENT_WORDS)),
             "text_length": F.length(F.col(text)),
             "travel_ratio": travel / F.greatest(travel + local, F.lit(1)),
         }
-    )
+    ).drop("_low")
 
 
-def trigger_type(text: Column, predicted: Column | None = None) -> Column:
-    """First keyword group found, then a model's answer, then ``other``."""
-    t = F.lower(text)
+def trigger_type(text: str = "text", predicted: Column | None = None) -> Column:
+    """First keyword group found in a lower-case text, then a model's answer, then ``other``."""
     chain = None
     for label, words in R.TRIGGER_GROUPS:
-        test = T.contains_any(t, words)
+        test = T.contains_any(text, words)
         chain = F.when(test, label) if chain is None else chain.when(test, label)
     fallback = F.lit("other") if predicted is None else F.coalesce(predicted, F.lit("other"))
     return F.coalesce(chain, fallback)
 
 
-def extract_destination(summary: Column, location: Column, description: Column) -> Column:
+def with_destination(events: DataFrame, name: str = "destination") -> DataFrame:
     """A real-looking location, else a capitalised place in the texts, else ``Unknown``."""
-    place = T.strip(F.coalesce(location, F.lit("")))
-    head = T.strip(F.coalesce(summary, F.lit("")))
-    body = T.strip(F.coalesce(description, F.lit("")))
+    trimmed = {
+        f"_{c}": T.strip(F.coalesce(c, F.lit(""))) for c in ("summary", "location", "description")
+    }
+    staged = events.withColumns(trimmed).withColumn("_where", F.lower("_location"))
+    place, head, body = F.col("_location"), F.col("_summary"), F.col("_description")
 
     def after(text: Column, pattern: str) -> Column:
         found = F.regexp_replace(T.strip(F.regexp_extract(text, pattern, 1)), ",+$", "")
         return F.when(F.length(found) > 2, found)
 
     def named(text: Column) -> Column:
-        raw = F.regexp_extract(text, NAMED_PLACE, 1)
-        return F.when(raw != "", T.strip(raw))
+        return T.blank_to_null(F.regexp_extract(text, NAMED_PLACE, 1))
 
-    return F.coalesce(
-        F.when((place != "") & ~T.contains_any(F.lower(place), R.VIRTUAL_LOCATION_WORDS), place),
+    found = F.coalesce(
+        F.when((place != "") & ~T.contains_any("_where", R.VIRTUAL_LOCATION_WORDS), place),
         after(head, TO_PLACE),
         after(head, IN_PLACE),
         named(body),
         named(head),
         F.lit(UNKNOWN),
     )
+    return compute_once(staged, {name: found}, drop=(*trimmed, "_where"))
 
 
 def confidence_label(probability: Column) -> Column:
@@ -182,13 +184,14 @@ def travel_to_away(travel: DataFrame, today: str, key: str = "user_id") -> DataF
         confidence_label(F.col("probability")) if "probability" in travel.columns else F.col("confidence")
     )
     dated = T.with_event_date(T.with_event_date(travel, "start", "_from", today), "end", "_to", today)
+    dated = with_destination(dated)
     return dated.select(
         key,
         F.col("event_id").alias("seq"),
         F.coalesce("summary", F.lit("Unknown travel event")).alias("reason"),
         F.col("_from").try_cast("date").alias("departure_date"),
         F.col("_to").try_cast("date").alias("return_date"),
-        extract_destination(F.col("summary"), F.col("location"), F.col("description")).alias("destination"),
-        trigger_type(F.col("text"), predicted).alias("trigger_type"),
+        "destination",
+        trigger_type("text", predicted).alias("trigger_type"),
         confidence.alias("confidence"),
     )

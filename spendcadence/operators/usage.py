@@ -161,8 +161,8 @@ def monthly_cost(cost: Column, frequency: Column) -> Column:
     return cost.cast("double") / _lookup(frequency, CYCLE_MONTHS, 1.0)
 
 
-def household_divisor(app_name: Column, shared: Column) -> Column:
-    name = F.lower(app_name)
+def household_divisor(name: str, shared: Column) -> Column:
+    """People who share the cost, from the lower-case app name and the shared-plan flag."""
     return (
         F.when(T.contains_any(name, ["duo", "couple"]), 2)
         .when(T.contains_any(name, ["family", "party", "group"]), 4)
@@ -422,13 +422,14 @@ def usage_metrics(profiled: DataFrame, weeks: int = WEEKS) -> DataFrame:
             **{f"_h{i}": h for i, h in enumerate(series_columns(weeks))},
             "frequency": F.lower(c("frequency")),
             "is_presence": c("value_mode") == "presence_based",
+            "_name": F.lower("app_name"),
         }
     ).withColumns(
         {
             "raw_hours": _total(hours),
             "_mean": mean(hours),
             "normalized_cost": monthly_cost(c("cost"), c("frequency")),
-            "divisor": household_divisor(c("app_name"), c("is_shared_plan")),
+            "divisor": household_divisor("_name", c("is_shared_plan")),
             "weight": engagement_weight(c("engagement_type"), c("value_mode") == "outcome_based"),
             "velocity": usage_velocity(hours, c("is_presence")),
             "cancel_threshold": cancel_threshold(c("wage"), c("style"), c("value_mode")),
@@ -469,7 +470,7 @@ def usage_metrics(profiled: DataFrame, weeks: int = WEEKS) -> DataFrame:
             }
         )
         .withColumn("value_risk_label", value_risk_label(c("value_risk_score")))
-        .drop("_mean", "_std", "_up", "_down", *[f"_h{i}" for i in range(weeks)])
+        .drop("_name", "_mean", "_std", "_up", "_down", *[f"_h{i}" for i in range(weeks)])
     )
 
 
@@ -522,12 +523,13 @@ def velocity_trend(velocity: Column) -> Column:
     return F.when(velocity > 1.05, "increasing").when(velocity < 0.95, "declining").otherwise("stable")
 
 
-def action_class(action: Column) -> Column:
+def action_class(text: str = "action") -> Column:
     """Colour class of an action text."""
+    action = F.col(text)
     return (
         F.when(action.isNull() | (action == ""), "warn")
-        .when(T.contains_any(action, ["KEEP", "UPGRADE"]), "safe")
-        .when(T.contains_any(action, ["CANCEL", "DOWNGRADE"]), "danger")
+        .when(T.contains_any(text, ["KEEP", "UPGRADE"]), "safe")
+        .when(T.contains_any(text, ["CANCEL", "DOWNGRADE"]), "danger")
         .otherwise("warn")
     )
 

@@ -83,33 +83,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pick(index: Column, values: list) -> Column:
+def pick(index: str, values: list) -> Column:
     """The value at a zero-based position of a fixed list."""
-    chain = None
-    for i, value in enumerate(values):
-        chain = F.when(index == i, F.lit(value)) if chain is None else chain.when(index == i, F.lit(value))
-    return chain
+    return F.expr(pick_sql(index, values))
+
+
+def pick_sql(index: str, values: list) -> str:
+    def literal(value: object) -> str:
+        if isinstance(value, bool):
+            return str(value).lower()
+        return f"{value!r}D" if isinstance(value, float) else f"'{value}'"
+
+    return f"get(array({', '.join(literal(v) for v in values)}), cast({index} as int))"
 
 
 def transactions(spark: SparkSession, sf_dir: str, free_first: bool = False) -> DataFrame:
     """One transaction per order; about a hundred per account."""
-    seq = F.col("o_orderkey")
-    kind = seq % 12
-    base = pick(kind, [float(amount) for _, amount, _ in TX_KINDS])
-    drift = (F.year("o_orderdate") - 1995) * 25
-    debit = base + drift + F.when(seq % 17 == 0, base).otherwise(F.lit(0.0))
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey div 10 AS account_id",
+        "o_orderkey AS seq",
+        "cast(o_orderdate as date) AS date",
+        f"{pick_sql('o_orderkey % 12', [text for text, _, _ in TX_KINDS])} AS description",
+        "o_orderkey % 12 AS kind",
+        f"{pick_sql('o_orderkey % 12', [float(amount) for _, amount, _ in TX_KINDS])} AS base",
+    )
+    debit = "base + (year(date) - 1995) * 25 + if(seq % 17 = 0, base, 0D)"
     if free_first:
-        debit = F.when(seq % 31 == 0, F.lit(0.0)).otherwise(debit)
-    salary = base + 1000 * (seq % 3) + F.when(seq % 29 == 0, 20000.0).otherwise(0.0)
-    friend = base + 100 * (seq % 5)
-    return table(spark, sf_dir, "orders").select(
-        F.expr("o_custkey div 10").alias("account_id"),
-        seq.alias("seq"),
-        F.col("o_orderdate").cast("date").alias("date"),
-        pick(kind, [text for text, _, _ in TX_KINDS]).alias("description"),
-        F.when(kind.isin(7, 11), 0.0).otherwise(debit).alias("debit"),
-        F.when(kind == 7, salary).when(kind == 11, friend).otherwise(0.0).alias("credit"),
-        F.lit(0.0).alias("balance"),
+        debit = f"if(seq % 31 = 0, 0D, {debit})"
+    return rows.selectExpr(
+        "account_id",
+        "seq",
+        "date",
+        "description",
+        f"if(kind IN (7, 11), 0D, {debit}) AS debit",
+        """CASE kind WHEN 7 THEN base + 1000 * (seq % 3) + if(seq % 29 = 0, 20000D, 0D)
+                     WHEN 11 THEN base + 100 * (seq % 5) ELSE 0D END AS credit""",
+        "0D AS balance",
     )
 
 
@@ -233,22 +242,17 @@ def catalog(spark: SparkSession) -> DataFrame:
 
 def usage_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours per (user, app, week of the month) from the event stream, days 1 to 28."""
-    type_index = F.array_position(F.array(*[F.lit(t) for t in EVENT_TYPES]), F.col("event_type")) - 1
-    slot = (F.col("user_id") * 5 + type_index) % 12
-    app = F.when(F.col("user_id") % 17 == 0, F.concat(F.lit(UNKNOWN_APP + " "), type_index.cast("string"))).otherwise(
-        pick(slot, [row[0] for row in CATALOG])
+    types = ", ".join(f"'{t}'" for t in EVENT_TYPES)
+    apps = pick_sql("(user_id * 5 + type_index) % 12", [row[0] for row in CATALOG])
+    typed = table(spark, sf_dir, "events").filter("dayofmonth(ts) <= 28").selectExpr(
+        "user_id", "ts", "event_type", "value", f"array_position(array({types}), event_type) - 1 AS type_index"
     )
-    unused = (F.col("user_id") % 13 == 0) & (F.col("event_type") == "error")
-    value = F.col("value").cast("decimal(18,2)")
-    return (
-        table(spark, sf_dir, "events")
-        .filter(F.dayofmonth("ts") <= 28)
-        .select(
-            "user_id",
-            app.alias("app_name"),
-            F.floor((F.dayofmonth("ts") - 1) / 7).cast("int").alias("week"),
-            F.when(unused, F.lit(0)).otherwise(value).cast("decimal(18,2)").alias("hours"),
-        )
+    return typed.selectExpr(
+        "user_id",
+        f"if(user_id % 17 = 0, concat('{UNKNOWN_APP} ', type_index), {apps}) AS app_name",
+        "cast(floor((dayofmonth(ts) - 1) / 7) as int) AS week",
+        """cast(if(user_id % 13 = 0 AND event_type = 'error', 0, cast(value as decimal(18,2))) as decimal(18,2))
+           AS hours""",
     )
 
 
@@ -263,7 +267,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1 + user % 30).cast("int").alias("months_subscribed"),
         F.transform("weekly_hours", lambda h: h / 30).alias("weekly_hours"),
         (10 + user % 20).cast("double").alias("wage"),
-        pick(user % 3, [0.07, 0.10, 0.15]).alias("style"),
+        pick("user_id % 3", [0.07, 0.10, 0.15]).alias("style"),
     )
 
 
@@ -316,18 +320,18 @@ def calendar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("o_custkey div 10").alias("user_id"),
         seq.alias("event_id"),
         kind.alias("kind"),
-        pick(kind, [row[0] for row in EVENT_KINDS]).alias("summary"),
-        F.when(third, pick(kind, [row[2] for row in EVENT_KINDS]))
-        .otherwise(pick(kind, [row[1] for row in EVENT_KINDS]))
+        pick("o_orderkey % 10", [row[0] for row in EVENT_KINDS]).alias("summary"),
+        F.when(third, pick("o_orderkey % 10", [row[2] for row in EVENT_KINDS]))
+        .otherwise(pick("o_orderkey % 10", [row[1] for row in EVENT_KINDS]))
         .alias("location"),
-        pick(kind, [row[3] for row in EVENT_KINDS]).alias("description"),
+        pick("o_orderkey % 10", [row[3] for row in EVENT_KINDS]).alias("description"),
         F.concat(F.date_format(start, "yyyy-MM-dd"), moment).alias("start"),
         F.concat(F.date_format(end, "yyyy-MM-dd"), moment).alias("end"),
         start.alias("start_date"),
         end.alias("end_date"),
         (kind < 4).cast("int").alias("is_travel"),
-        pick(kind, [row[4] for row in EVENT_KINDS]).alias("trigger_type"),
-        pick(seq % 3, ["high", "medium", "low"]).alias("confidence"),
+        pick("o_orderkey % 10", [row[4] for row in EVENT_KINDS]).alias("trigger_type"),
+        pick("o_orderkey % 3", ["high", "medium", "low"]).alias("confidence"),
     )
 
 
@@ -363,9 +367,9 @@ def local_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
         F.expr("c_custkey div 10").alias("user_id"),
-        F.concat(pick(key % 6, [name for name, _ in LOCAL_KINDS]), F.lit(" "), key.cast("string")).alias("name"),
-        pick(key % 6, [name for name, _ in LOCAL_KINDS]).alias("kind"),
-        pick(key % 6, [where for _, where in LOCAL_KINDS]).alias("location_type"),
+        F.concat(pick("c_custkey % 6", [name for name, _ in LOCAL_KINDS]), F.lit(" "), key.cast("string")).alias("name"),
+        pick("c_custkey % 6", [name for name, _ in LOCAL_KINDS]).alias("kind"),
+        pick("c_custkey % 6", [where for _, where in LOCAL_KINDS]).alias("location_type"),
         (20 + key % 80).cast("double").alias("monthly_cost"),
         (key % 6 != 4).alias("is_local"),
         (key % 3 == 0).alias("can_pause"),
@@ -383,7 +387,7 @@ def alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("key"),
         F.concat(
-            pick(F.col("c_custkey") % 6, [n for n, _ in LOCAL_KINDS]), F.lit(" "), F.col("c_custkey").cast("string")
+            pick("c_custkey % 6", [n for n, _ in LOCAL_KINDS]), F.lit(" "), F.col("c_custkey").cast("string")
         ).alias("subscription"),
         places.alias("destination"),
     )

@@ -68,7 +68,7 @@ def resolve_tx_date(spark: SparkSession, sf: str) -> DataFrame:
 def append_continuation(spark: SparkSession, sf: str) -> DataFrame:
     dated = X.dated_lines(A.statement_pages(spark, sf), DEFAULT_YEAR)
     return dated.select(
-        *LINE_KEY, X.append_continuation(F.col("description"), F.col("next_line")).alias("description")
+        *LINE_KEY, X.append_continuation().alias("description")
     )
 
 
@@ -82,7 +82,7 @@ def append_continuation(spark: SparkSession, sf: str) -> DataFrame:
 )
 def drop_fee_lines(spark: SparkSession, sf: str) -> DataFrame:
     described = append_continuation(spark, sf)
-    return described.filter(~X.is_fee_line(F.col("description")))
+    return described.filter(~X.is_fee_line())
 
 
 @query(

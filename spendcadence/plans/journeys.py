@@ -104,9 +104,7 @@ def _terms(kind: str) -> str:
     ),
 )
 def alternative_search_term(spark: SparkSession, sf: str) -> DataFrame:
-    return A.local_subscriptions(spark, sf).select(
-        "user_id", "name", TV.alternative_search_term(F.col("name"), F.col("location_type")).alias("term")
-    )
+    return TV.with_search_term(A.local_subscriptions(spark, sf)).select("user_id", "name", "term")
 
 
 def attached(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,7 +207,7 @@ def document_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("mlt_12_trigger_type", S.build(f"SELECT event_id, {S.TRIGGER} AS trigger_type FROM texts", ["texts"]))
 def trigger_type(spark: SparkSession, sf: str) -> DataFrame:
-    return texts(spark, sf).select("event_id", TF.trigger_type(F.col("text")).alias("trigger_type"))
+    return texts(spark, sf).select("event_id", TF.trigger_type("text").alias("trigger_type"))
 
 
 @query(
@@ -217,8 +215,7 @@ def trigger_type(spark: SparkSession, sf: str) -> DataFrame:
     S.build(f"SELECT event_id, {S.destination('summary', 'location', 'description')} AS destination FROM texts", ["texts"]),
 )
 def extract_destination(spark: SparkSession, sf: str) -> DataFrame:
-    place = TF.extract_destination(F.col("summary"), F.col("location"), F.col("description"))
-    return texts(spark, sf).select("event_id", place.alias("destination"))
+    return TF.with_destination(A.calendar_events(spark, sf)).select("event_id", "destination")
 
 
 EVENT_DATE_TEXTS = ["yyyy-MM-dd", "yyyy-MM-dd'T09:00:00Z'", "dd/MM/yyyy", "d MMM yyyy", "MMMM d, yyyy"]

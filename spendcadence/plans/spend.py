@@ -44,11 +44,10 @@ def _descriptions(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def match_subscription(spark: SparkSession, sf: str) -> DataFrame:
-    d = F.col("description")
-    return _descriptions(spark, sf).select(
+    return CL.with_cased(_descriptions(spark, sf)).select(
         "id",
-        CL.match_subscription(d).alias("service"),
-        CL.match_subscription(d, R.SUBSCRIPTION_RULES_WIDE).alias("service_wide"),
+        CL.match_subscription().alias("service"),
+        CL.match_subscription(R.SUBSCRIPTION_RULES_WIDE).alias("service_wide"),
     )
 
 
@@ -57,7 +56,7 @@ def match_subscription(spark: SparkSession, sf: str) -> DataFrame:
     S.build(f"SELECT id, {S.first_rule('upper(description)', R.TRANSACTION_RULES)} AS category FROM {_TEXTS_SQL}", ["tx"]),
 )
 def match_tx_pattern(spark: SparkSession, sf: str) -> DataFrame:
-    return _descriptions(spark, sf).select("id", CL.match_tx_pattern(F.col("description")).alias("category"))
+    return CL.with_cased(_descriptions(spark, sf)).select("id", CL.match_tx_pattern().alias("category"))
 
 
 def _vendor_sql(rules, suffix: str) -> str:
@@ -74,12 +73,15 @@ def _vendor_sql(rules, suffix: str) -> str:
     ),
 )
 def match_vendor(spark: SparkSession, sf: str) -> DataFrame:
-    d = F.col("description")
-    found = _descriptions(spark, sf).withColumns(
-        {"narrow": CL.match_vendor(d), "wide": CL.match_vendor(d, R.VENDOR_RULES_WIDE)}
+    found = CL.with_cased(_descriptions(spark, sf)).withColumns(
+        {"narrow": CL.match_vendor(), "wide": CL.match_vendor(R.VENDOR_RULES_WIDE)}
     )
     return found.select(
-        "id", "narrow.*", F.col("wide.category").alias("category_wide"), F.col("wide.vendor").alias("vendor_wide")
+        "id",
+        CL.vendor_category(F.col("narrow")).alias("category"),
+        CL.vendor_title(F.col("narrow")).alias("vendor"),
+        CL.vendor_category(F.col("wide"), R.VENDOR_RULES_WIDE).alias("category_wide"),
+        CL.vendor_title(F.col("wide"), R.VENDOR_RULES_WIDE).alias("vendor_wide"),
     )
 
 
@@ -88,8 +90,8 @@ def match_vendor(spark: SparkSession, sf: str) -> DataFrame:
     S.build("SELECT account_id, seq, credit FROM cls WHERE category = 'salary'", ["cls"]),
 )
 def flag_salary_credit(spark: SparkSession, sf: str) -> DataFrame:
-    tx = A.transactions(spark, sf)
-    category = F.coalesce(CL.match_tx_pattern(F.col("description")), F.lit("other"))
+    tx = CL.with_cased(A.transactions(spark, sf))
+    category = F.coalesce(CL.match_tx_pattern(), F.lit("other"))
     return tx.filter(CL.is_salary_credit(F.col("credit"), category)).select("account_id", "seq", "credit")
 
 
@@ -100,7 +102,7 @@ def flag_salary_credit(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def atm_override(spark: SparkSession, sf: str) -> DataFrame:
-    return _descriptions(spark, sf).select("id", CL.is_cash_machine(F.col("description")).alias("cash"))
+    return CL.with_cased(_descriptions(spark, sf)).select("id", CL.is_cash_machine().alias("cash"))
 
 
 @query("cls_06_flag_recurring", S.build("SELECT account_id, seq, is_recurring FROM cls", ["cls"]))

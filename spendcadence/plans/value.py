@@ -205,7 +205,7 @@ def velocity_trend(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def action_class(spark: SparkSession, sf: str) -> DataFrame:
-    return verdicts(spark, sf).select(*KEY, U.action_class(F.col("action")).alias("class"))
+    return verdicts(spark, sf).select(*KEY, U.action_class("action").alias("class"))
 
 
 @query(
@@ -213,7 +213,7 @@ def action_class(spark: SparkSession, sf: str) -> DataFrame:
     S.build(f"SELECT {KEY_SQL}, style, wage * style AS hourly_threshold FROM usage", ["usage"]),
 )
 def budget_style(spark: SparkSession, sf: str) -> DataFrame:
-    named = A.pick(F.col("user_id") % 3, ["strict", "balanced", "lenient"])
+    named = A.pick("user_id % 3", ["strict", "balanced", "lenient"])
     share = U.budget_style(named)
     return A.usage(spark, sf).select(*KEY, share.alias("style"), (F.col("wage") * share).alias("hourly_threshold"))
 

@@ -16,6 +16,7 @@ from spendcadence.functions.fence import compute_once
 STATEMENT = ["account_id", "statement_id"]
 DEFAULT_CURRENCY = r"J\$"
 MAX_LINES_PER_PAGE = 1 << 20
+PART_SEPARATOR = "\x1f"
 
 # Statement patterns; {currency} is a parameter.
 PERIOD = r"Statement Period:.*?(\d{2}[A-Z]{3})(\d{2})\s+to\s+(\d{2}[A-Z]{3})(\d{2})"
@@ -73,21 +74,28 @@ def statement_period(pages: DataFrame) -> DataFrame:
 
 
 def match_tx_lines(lines: DataFrame, currency: str = DEFAULT_CURRENCY) -> DataFrame:
-    """Lines that open a transaction, split into their parts."""
-    pattern = TX_LINE.replace("{currency}", currency)
-
-    def part(group: int) -> Column:
-        return F.regexp_extract("line", pattern, group)
+    """Lines that open a transaction, split into their parts.
 
+    The pattern runs once per line: a match is rewritten to its five groups
+    around a separator, any other line keeps a single part.
+    """
+    pattern = TX_LINE.replace("{currency}", currency) + r".*$"
+    groups = PART_SEPARATOR.join(f"${i}" for i in range(1, 6))
+    rewritten = F.when(
+        F.col("line").rlike(r"^\d{2}[A-Z]{3}\s"), F.regexp_replace("line", pattern, groups)
+    )
+    parts = F.col("_parts")
+    split = compute_once(lines, {"_parts": F.split(rewritten, PART_SEPARATOR)})
     return compute_once(
-        lines.filter(F.col("line").rlike(pattern)),
+        split.filter(F.size(parts) == 5),
         {
-            "day": part(1).cast("int"),
-            "month_text": part(2),
-            "description": T.strip(part(3)),
-            "amount": F.regexp_replace(part(4), ",", "").try_cast("double"),
-            "sign": part(5),
+            "day": parts[0].cast("int"),
+            "month_text": parts[1],
+            "description": T.strip(parts[2]),
+            "amount": F.replace(parts[3], F.lit(","), F.lit("")).try_cast("double"),
+            "sign": parts[4],
         },
+        drop=("_parts",),
     )
 
 
@@ -109,21 +117,22 @@ def resolve_tx_date(day: Column, month_text: Column, start_month: Column, start_
     return T.safe_date(F.when(crosses, start_year).otherwise(year), month, day)
 
 
-def append_continuation(description: Column, next_line: Column) -> Column:
+def append_continuation(text: str = "description", following: str = "next_line") -> Column:
     """Join a following free-text line with `` | ``."""
+    description, next_line = F.col(text), F.col(following)
     continues = (
         next_line.isNotNull()
         & (next_line != "")
         & ~next_line.rlike(DATED)
         & ~next_line.startswith("*")
         & ~next_line.startswith("Page ")
-        & ~T.contains_any(description, R.NO_CONTINUATION_PHRASES)
+        & ~T.contains_any(text, R.NO_CONTINUATION_PHRASES)
     )
     return F.when(continues, F.concat(description, F.lit(" | "), next_line)).otherwise(description)
 
 
-def is_fee_line(description: Column) -> Column:
-    return T.contains_any(description, R.FEE_PHRASES)
+def is_fee_line(text: str = "description") -> Column:
+    return T.contains_any(text, R.FEE_PHRASES)
 
 
 def split_debit_credit(amount: Column, sign: Column) -> tuple[Column, Column]:
@@ -152,9 +161,9 @@ def parse_statements(pages: DataFrame, default_year: int, currency: str = DEFAUL
     debit, credit = split_debit_credit(F.col("amount"), F.col("sign"))
     described = compute_once(
         dated_lines(pages, default_year, currency),
-        {"description": append_continuation(F.col("description"), F.col("next_line"))},
+        {"description": append_continuation()},
     )
-    return described.filter(~is_fee_line(F.col("description"))).select(
+    return described.filter(~is_fee_line()).select(
         *STATEMENT,
         (F.col("page_no").cast("bigint") * MAX_LINES_PER_PAGE + F.col("pos")).alias("seq"),
         "date",
