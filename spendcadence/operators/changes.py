@@ -42,14 +42,24 @@ def subscription_charges(classified: DataFrame, key: str = "account_id", include
 
 
 def price_pairs(
-    charges: DataFrame, key: str = "account_id", hot_rows: int = O.HOT_ROWS, block_rows: int = O.BLOCK_ROWS
+    charges: DataFrame,
+    key: str = "account_id",
+    hot: DataFrame | None = None,
+    hot_rows: int = O.HOT_ROWS,
+    block_rows: int = O.BLOCK_ROWS,
 ) -> DataFrame:
     """Every charge with the previous charge of the same vendor."""
     return O.with_previous(
-        charges, [key, "vendor"], "date", "seq", "debit", "previous", hot_rows=hot_rows, block_rows=block_rows
+        charges, [key, "vendor"], "date", "seq", "debit", "previous", hot, hot_rows, block_rows
     )
 
 
+def hot_series(charges: DataFrame, key: str = "account_id", hot_rows: int = O.HOT_ROWS) -> DataFrame:
+    """The (key, vendor) series that need blocks, found in one pass and kept as a small checkpoint."""
+    ensure_checkpoint_dir(charges.sparkSession)
+    return O.hot_keys(charges, [key, "vendor"], hot_rows).checkpoint()
+
+
 def _relative_change() -> Column:
     return (F.col("debit") - F.col("previous")) / F.col("previous")
 
@@ -162,6 +172,7 @@ def cusum_drift(
     key: str = "account_id",
     threshold: float = THRESHOLD,
     slack: float = SLACK,
+    hot: DataFrame | None = None,
     hot_rows: int = O.HOT_ROWS,
     block_rows: int = O.BLOCK_ROWS,
 ) -> DataFrame:
@@ -175,9 +186,10 @@ def cusum_drift(
     spread of a correction, so few rounds are needed.
     """
     keys = [key, "vendor"]
-    hot = O.hot_keys(charges, keys, hot_rows)
+    hot = hot_series(charges, key, hot_rows) if hot is None else hot
+    ordinary = hot.isEmpty()
     part = F.floor(F.col("seq") / block_rows).cast("long")
-    marked = O.mark_blocks(charges, keys, F.col("date"), part, hot=hot)
+    marked = O.no_blocks(charges) if ordinary else O.mark_blocks(charges, keys, F.col("date"), part, hot=hot)
     cents = F.round(F.col("debit") * 100).cast("decimal(18,0)")
     blocks = marked.groupBy(*keys, *O.BLOCK).agg(
         F.collect_list(F.struct("date", "seq", F.col("debit").alias("x"))).alias("points"),
@@ -188,7 +200,7 @@ def cusum_drift(
     single = _moments(blocks.filter(F.col("_block").isNull()).filter(F.col("n") >= 3)).filter(F.col("std") > 0)
     zero = F.lit(0.0)
     found = single.select(*keys, "mean", _alarms(F.col("points"), zero, zero, threshold, slack).alias("alarms"))
-    if not hot.isEmpty():
+    if not ordinary:
         found = found.unionByName(_hot_alarms(blocks, keys, threshold, slack))
     return found.select(*keys, "mean", F.inline("alarms")).select(
         *keys, "date", "seq", F.col("mean").alias("old_amount"), F.col("x").alias("new_amount"),
@@ -197,7 +209,6 @@ def cusum_drift(
 
 
 def _hot_alarms(blocks: DataFrame, keys: list[str], threshold: float, slack: float) -> DataFrame:
-    ensure_checkpoint_dir(blocks.sparkSession)
     cut = blocks.filter(F.col("_block").isNotNull())
     totals = _moments(cut.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")]))
     fixed = cut.drop("n", "s", "q").join(totals.filter(F.col("std") > 0), keys).checkpoint()
@@ -248,13 +259,14 @@ def detect_price_changes(
     block_rows: int = O.BLOCK_ROWS,
 ) -> DataFrame:
     """Pairwise findings, plus drift alarms on dates without one for that subscription."""
-    pairs = price_pairs(subscription_charges(classified, key, include_zero), key, hot_rows, block_rows)
+    charges = subscription_charges(classified, key)
+    hot = hot_series(charges, key, hot_rows)
+    pairs = price_pairs(subscription_charges(classified, key, include_zero), key, hot, hot_rows, block_rows)
     keep = [key, "vendor", *FINDING]
     jumps = label_price_change(pairwise_price_change(pairs)).select(*keep)
     if include_zero:
         jumps = jumps.unionByName(trial_conversion(pairs).select(*keep))
-    charges = subscription_charges(classified, key)
-    drift = label_drift(cusum_drift(charges, key, hot_rows=hot_rows, block_rows=block_rows)).select(*keep)
+    drift = label_drift(cusum_drift(charges, key, hot=hot, hot_rows=hot_rows, block_rows=block_rows)).select(*keep)
     fresh = drift.join(jumps.select(key, "vendor", "date").distinct(), [key, "vendor", "date"], "left_anti")
     return (
         jumps.unionByName(fresh)

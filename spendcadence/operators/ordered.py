@@ -25,6 +25,11 @@ BLOCK_ROWS = 1_000_000
 BLOCK = ["_block", "_part"]
 
 
+def no_blocks(df: DataFrame) -> DataFrame:
+    """The block columns of a table without hot keys."""
+    return df.withColumns({"_block": F.lit(None).cast("date"), "_part": F.lit(0).cast("bigint")})
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows: a map-side combined count, tiny output."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows).select(*keys)
@@ -42,7 +47,10 @@ def mark_blocks(
     hot = hot_keys(df, keys, hot_rows) if hot is None else hot
     flagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
     return flagged.withColumns(
-        {"_block": F.when(F.col("_hot"), block), "_part": F.when(F.col("_hot"), part).otherwise(F.lit(0))}
+        {
+            "_block": F.when(F.col("_hot"), block),
+            "_part": F.when(F.col("_hot"), part).otherwise(F.lit(0)).cast("bigint"),
+        }
     ).drop("_hot")
 
 
@@ -53,24 +61,27 @@ def with_previous(
     seq: str,
     value: str,
     name: str,
+    hot: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``name`` = ``value`` of the preceding row of the key in (day, seq) order.
 
-    ``value`` must not be null.  One shuffle of the rows, on (key, block); the
-    carry join reuses that partitioning and its other side is one row per block
-    of a hot key.
+    ``value`` must not be null.  One shuffle of the rows, on (key, block): the
+    edge rows are aggregated from the same exchange (the test for hot blocks is
+    on an aggregate, so that it is not pushed below it), and the carry join
+    reuses that partitioning.
     """
     part = F.floor(F.col(seq) / block_rows).cast("long")
-    marked = mark_blocks(df, keys, F.col(day), part, hot_rows=hot_rows)
+    marked = mark_blocks(df, keys, F.col(day), part, hot=hot, hot_rows=hot_rows)
     groups = [*keys, *BLOCK]
     series = Window.partitionBy(*groups).orderBy(day, seq)
     inside = marked.withColumn(name, F.lag(value).over(series))
     edges = (
-        marked.filter(F.col("_block").isNotNull())
-        .groupBy(*groups)
-        .agg(F.max_by(value, F.struct(day, seq)).alias("_last"))
+        marked.groupBy(*groups)
+        .agg(F.max_by(value, F.struct(day, seq)).alias("_last"), F.max("_block").alias("_cut"))
+        .filter(F.col("_cut").isNotNull())
+        .drop("_cut")
     )
     carried = edges.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy(*BLOCK))).drop("_last")
     return (
@@ -97,7 +108,12 @@ def with_rank(
     marked = mark_blocks(df, keys, block, part, hot_rows=hot_rows)
     groups = [*keys, *BLOCK]
     inside = marked.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
-    sizes = marked.filter(F.col("_block").isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = (
+        marked.groupBy(*groups)
+        .agg(F.count(F.lit(1)).alias("_n"), F.max("_block").alias("_cut"))
+        .filter(F.col("_cut").isNotNull())
+        .drop("_cut")
+    )
     before = Window.partitionBy(*keys).orderBy(*BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return (

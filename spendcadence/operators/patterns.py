@@ -109,19 +109,31 @@ def cluster_amounts(
 
 
 def cluster_totals(clusters: DataFrame, key: str = "account_id") -> DataFrame:
-    """One row per cluster: size, total and first/last day."""
-    return clusters.groupBy(key, "leader_no", "leader").agg(
+    """One row per cluster: size, total, first and last date and modal day of the month.
+
+    Folded over the (at most 31) days of the month, so that no join is needed
+    to bring the modal day back.
+    """
+    cluster = [key, "leader_no", "leader"]
+    by_day = clusters.groupBy(*cluster, F.dayofmonth("date").alias("day")).agg(
         F.sum("occurrences").alias("occurrences"),
         F.sum("total").alias("total"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
     )
+    return by_day.groupBy(*cluster).agg(
+        F.max_by("day", F.struct(F.col("occurrences"), -F.col("day"))).alias("pay_day"),
+        F.sum("occurrences").alias("occurrences"),
+        F.sum("total").alias("total"),
+        F.min("first_date").alias("first_date"),
+        F.max("last_date").alias("last_date"),
+    )
 
 
 def salary_group(totals: DataFrame, key: str = "account_id") -> DataFrame:
     """Best cluster with two or more members: most members, then largest total, then earliest."""
     rank = F.struct("occurrences", "total", -F.col("leader_no"))
-    picked = F.struct("leader_no", "leader", "occurrences", "total", "first_date", "last_date")
+    picked = F.struct("leader_no", "leader", "occurrences", "total", "first_date", "last_date", "pay_day")
     return (
         totals.filter(F.col("occurrences") >= 2)
         .groupBy(key)
@@ -151,17 +163,11 @@ def detect_salary(
     tx: DataFrame, key: str = "account_id", tolerance: float = TOLERANCE, block: int = LEADER_BLOCK
 ) -> DataFrame:
     """Salary pattern per key; keys without a repeated credit have no row."""
-    clusters = cluster_amounts(tx, key, tolerance, block)
-    best = salary_group(cluster_totals(clusters, key), key)
-    day_counts = (
-        clusters.groupBy(key, "leader_no", F.dayofmonth("date").alias("day"))
-        .agg(F.sum("occurrences").alias("charges"))
-    )
-    days = modal_day(day_counts, [key, "leader_no"])
-    return best.join(days, [key, "leader_no"]).select(
+    best = salary_group(cluster_totals(cluster_amounts(tx, key, tolerance, block), key), key)
+    return best.select(
         key,
         T.half_even(F.col("total").cast("double") / F.col("occurrences"), 2).alias("amount"),
-        F.col("modal_day").alias("pay_day"),
+        "pay_day",
         pay_frequency(F.col("first_date"), F.col("last_date"), F.col("occurrences")).alias("frequency"),
         "occurrences",
     )
