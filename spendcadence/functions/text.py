@@ -76,12 +76,9 @@ def vendor_key(vendor: Column) -> Column:
 
 def month_number(name: Column) -> Column:
     """1..12 from an abbreviated or full English month name, else null."""
-    wanted = F.lower(name)
-    number = None
-    for position, spellings in enumerate(MONTHS, start=1):
-        test = wanted.isin(*sorted(set(spellings)))
-        number = F.when(test, position) if number is None else number.when(test, position)
-    return number
+    names = ", ".join(_quoted(spelling) for pair in MONTHS for spelling in pair)
+    place = F.array_position(F.expr(f"array({names})"), F.lower(name))
+    return F.nullif(F.ceil(place / 2).cast("int"), F.lit(0))
 
 
 def safe_date(year: Column, month: Column, day: Column) -> Column:
