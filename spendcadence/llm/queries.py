@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from spendcadence.llm import exact_dedup, sharding
+from spendcadence.llm import bpe_codec, exact_dedup, sharding, token_counts
 from spendcadence.llm.registry import query, table
 
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
 
 @query(
     "op1_exact_dedup",
@@ -28,6 +31,16 @@ def op1_exact_dedup(spark, sf_dir):
     return docs.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op2_token_counts")
+def op2_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), WORDS, limit=2048)
+
+
+@query("op6_bpe_codec")
+def op6_bpe_codec(spark, sf_dir):
+    return bpe_codec.round_trip(table(spark, sf_dir, "documents"), WORDS)
+
+
 @query("op7_sharding")
 def op7_sharding(spark, sf_dir):
     placed = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
