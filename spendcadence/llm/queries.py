@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spendcadence.llm import bpe_codec, exact_dedup, sharding, token_counts
+from spendcadence.llm import bpe_codec, exact_dedup, packing, sharding, token_counts, topk
 from spendcadence.llm.registry import query, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -53,3 +53,34 @@ def op7_sharding(spark, sf_dir):
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), WORDS, end_id=1, capacity=4096)
+
+
+@query(
+    "op9_exact_topk",
+    """
+    WITH whole AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+        FROM embeddings
+        WHERE embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+        FROM whole q JOIN whole c ON q.vec_id <> c.vec_id
+        WHERE q.vec_id % 50 = 0
+    ),
+    ranked AS (
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id, score
+        FROM scored
+    )
+    SELECT * FROM ranked WHERE rank <= 5
+    """,
+)
+def op9_exact_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)

@@ -19,13 +19,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from spendcadence.llm.shared import cut, filled
+from spendcadence.llm.shared import cut, filled, numbered, rank_blocks
 
 DIGITS = 3  # hex digits of hash settled by one pass
-SLOT_ROWS = 20_000  # rows numbered in one go
-SLOT_BLOCKS = 4096  # blocks of a shard at most
 
 
 @dataclass(frozen=True)
@@ -131,24 +128,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
             F.md5(filled(text_col)).alias("_hash"),
         )
     )
-    blocks = min(SLOT_BLOCKS, rows.count() // SLOT_ROWS + 1)
-    placed = rows.withColumns(
-        {
-            "shard": shard_of(minimax_cuts(rows, shards)[1]),
-            "_block": F.pmod(F.xxhash64("_id", "_hash"), F.lit(blocks)).cast("int"),
-        }
-    )
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("shard", "_block")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("shard", "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    )
-    in_block = Window.partitionBy("shard", "_block").orderBy("_id", "_hash")
-    return (
-        placed.withColumn("_at", F.row_number().over(in_block) - 1)
-        .join(offsets, ["shard", "_block"])
-        .select(
-            F.col("_id").alias(id_col), "size", "text_crc32", "shard", (F.col("_before") + F.col("_at")).alias("slot")
-        )
+    placed = rows.withColumn("shard", shard_of(minimax_cuts(rows, shards)[1]))
+    return numbered(placed, ["shard"], ["_id", "_hash"], "slot", rank_blocks(rows.count())).select(
+        F.col("_id").alias(id_col), "size", "text_crc32", "shard", "slot"
     )

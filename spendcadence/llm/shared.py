@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spendcadence.session import ensure_checkpoint_dir
 
@@ -20,3 +21,33 @@ def cut(df: DataFrame) -> DataFrame:
 def filled(text: str) -> Column:
     """Null text counts as empty."""
     return F.coalesce(F.col(text), F.lit(""))
+
+
+RANK_ROWS = 20_000  # rows numbered in one go
+RANK_BLOCKS = 4096  # blocks of a group at most
+
+
+def numbered(rows: DataFrame, within: list[str], order: list[str], name: str, blocks: int) -> DataFrame:
+    """Number the rows of each group without gaps from 0, in blocks, so that no group passes through one task.
+
+    Rows are dealt to blocks by a hash of ``order``; block sizes, one narrow row each, give where a block starts.
+    ``rows`` is read twice, so it should be cheap to read.
+    """
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
+    before = Window.partitionBy(*within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        rows.groupBy(*within, "_block")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .select(*within, "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    )
+    in_block = Window.partitionBy(*within, "_block").orderBy(*order)
+    return (
+        rows.withColumn("_at", F.row_number().over(in_block) - 1)
+        .join(starts, [*within, "_block"])
+        .withColumn(name, F.col("_start") + F.col("_at"))
+        .drop("_block", "_at", "_start")
+    )
+
+
+def rank_blocks(rows: int) -> int:
+    return min(RANK_BLOCKS, rows // RANK_ROWS + 1)
