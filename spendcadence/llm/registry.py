@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,13 +16,23 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers of a local session find this package; a cluster ships it with ``--py-files``."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    return spark
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its operator's name."""
 
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(tune(spark), sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: fn(importable(tune(spark)), sf_dir)
         if sql is not None:
             SQL[name] = sql
         return fn
