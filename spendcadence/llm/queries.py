@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spendcadence.llm import bpe_codec, exact_dedup, packing, sharding, token_counts, topk, toxicity
+from spendcadence.llm import bpe_codec, exact_dedup, ngram_join, packing, sharding, token_counts, topk, toxicity
 from spendcadence.llm.registry import query, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +36,11 @@ def op2_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), WORDS, limit=2048)
 
 
+@query("op3_ngram_jaccard_join")
+def op3_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.components_of(table(spark, sf_dir, "documents"), percent=80)
+
+
 @query("op4_toxicity")
 def op4_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
