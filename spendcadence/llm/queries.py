@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spendcadence.llm import bpe_codec, exact_dedup, ngram_join, packing, sharding, token_counts, topk, toxicity
+from spendcadence.llm import bpe_codec, exact_dedup, ngram_join, packing, sharding, suffix_dedup, token_counts, topk, toxicity
 from spendcadence.llm.registry import query, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -94,3 +94,8 @@ def op8_best_fit_packing(spark, sf_dir):
 )
 def op9_exact_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=100)
