@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendcadence.llm.components import hub_join
+from spendcadence.llm.repeats import repeated_rows, travel_keys
 from spendcadence.llm.shared import cut, filled
 from spendcadence.llm.shingles import BASE, BYTE, INVERSE, blocks, buffers, mixed, powers
 
@@ -128,15 +129,9 @@ def anchor_rows(length: int):
             place = mixed(texts[row] + mixed(at.astype(np.uint64) + np.uint64(1)))  # equal in equal texts
             order = np.lexsort((back, ids[row], place, hashes))
             row, at, back, run, hashes, place = (x[order] for x in (row, at, back, run, hashes, place))
-            new_hash = np.r_[True, hashes[1:] != hashes[:-1]]
-            new_place = new_hash | np.r_[True, place[1:] != place[:-1]]
-            group = np.cumsum(new_place) - 1
-            keep = ids[row] == ids[row][np.flatnonzero(new_place)][group]  # equal texts: the first of them
-            hash_starts = np.flatnonzero(new_hash)
-            of_hash = np.cumsum(new_hash) - 1
-            known = (np.add.reduceat(new_place.astype(np.int64), hash_starts) > 1)[of_hash]
-            travels = place == place[hash_starts][of_hash]
-            key = np.where(travels, hashes, mixed(place + np.arange(len(row), dtype=np.uint64)))
+            new_place = np.r_[True, (hashes[1:] != hashes[:-1]) | (place[1:] != place[:-1])]
+            keep = ids[row] == ids[row][np.flatnonzero(new_place)][np.cumsum(new_place) - 1]  # the first of equal texts
+            key, travels, known = travel_keys(hashes, place)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(key.view(np.int64)[keep]),
@@ -152,35 +147,8 @@ def anchor_rows(length: int):
     return work
 
 
-def repeated_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ordered by key, those whose key has more than one place, or one that is known to repeat."""
-    waiting = None  # rows of a key that has not been seen to repeat yet
-    last_key = last_place = None
-    last_repeats = False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, place = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        known = batch.column(5).to_numpy(zero_copy_only=False)
-        new = np.r_[key[0] != last_key, key[1:] != key[:-1]]
-        group = np.cumsum(new) - new[0]
-        other = known | np.r_[not new[0] and place[0] != last_place, (place[1:] != place[:-1]) & ~new[1:]]
-        varied = np.zeros(group[-1] + 1, bool)
-        np.logical_or.at(varied, group, other)
-        if not new[0]:
-            if varied[0] and waiting is not None:
-                yield waiting
-            varied[0] |= last_repeats
-        keep = varied[group]
-        yield batch.filter(pa.array(keep))
-        tail = group == group[-1]
-        rest = batch.filter(pa.array(tail & ~keep))
-        if group[-1] == 0 and not new[0] and waiting is not None and not varied[0]:
-            if rest.num_rows:
-                waiting = pa.Table.from_batches([waiting, rest]).combine_chunks().to_batches()[0]
-        else:
-            waiting = rest if rest.num_rows and not varied[-1] else None
-        last_key, last_place, last_repeats = key[-1], place[-1], bool(varied[-1])
+def places(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(batch.schema.names.index("place")).to_numpy()
 
 
 def stretch_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -414,7 +382,7 @@ def repeats_removed(
     spots = (
         found.repartition("key")
         .sortWithinPartitions("key", "place")
-        .mapInArrow(repeated_rows, found.schema)
+        .mapInArrow(repeated_rows("key", "known", places), found.schema)
         .groupBy(F.coalesce("hash", "key").alias("hash"), "place", "packed")
         .agg(F.min("id").alias("id"))
         .groupBy("id")
