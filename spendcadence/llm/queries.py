@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spendcadence.llm import bpe_codec, exact_dedup, ngram_join, packing, sharding, suffix_dedup, token_counts, topk, toxicity
+from spendcadence.llm import bpe_codec, exact_dedup, ngram_join, packing, sharding, substring_dedup, suffix_dedup, token_counts, topk, toxicity
 from spendcadence.llm.registry import query, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +46,11 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op6_bpe_codec")
 def op6_bpe_codec(spark, sf_dir):
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), WORDS)
