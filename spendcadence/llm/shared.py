@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,3 +51,9 @@ def numbered(rows: DataFrame, within: list[str], order: list[str], name: str, bl
 
 def rank_blocks(rows: int) -> int:
     return min(RANK_BLOCKS, rows // RANK_ROWS + 1)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: what the cluster names in spark.checkpoint.dir, or one of our own on a local master."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()

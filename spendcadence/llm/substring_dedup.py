@@ -297,3 +297,10 @@ def remove_repeats(
     joined = docs.select(*columns).join(spans, F.col(id_col).cast("long") == F.col("_id"), "left").select(*columns, "_spans")
     schema = T.StructType([*joined.schema.fields[:-1], T.StructField(removed_col, T.LongType())])
     return joined.mapInArrow(cutter(columns.index(text_col), len(columns), removed_col), schema)
+
+
+def recounted(rows: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """The rows with their number of characters set anew, where they carry one."""
+    if count_col not in rows.columns:
+        return rows
+    return rows.withColumn(count_col, F.length(text_col).cast(rows.schema[count_col].dataType))
