@@ -45,20 +45,26 @@ def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return by_hash.select("_hash", F.inline(told_apart))
 
 
-def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row with keep_id, group_size, kept and text_sha256; columns of these names are replaced."""
-    added = {"keep_id", "group_size", "kept", "text_sha256", "_hash", "_sha"} - {id_col, text_col}
-    rows = docs.drop(*added).withColumns(
-        {"_hash": F.unhex(F.md5(normalised(text_col))), "_sha": F.sha2(normalised(text_col), 256)}
+def decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every row as _row, with keep_id, group_size, kept and _sha."""
+    rows = docs.select(
+        F.struct("*").alias("_row"),
+        F.col(id_col).alias("_id"),
+        F.unhex(F.md5(normalised(text_col))).alias("_hash"),
+        F.sha2(normalised(text_col), 256).alias("_sha"),
     )
-    return (
-        rows.join(text_groups(docs, id_col, text_col), ["_hash", "_sha"])
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
-        .withColumnRenamed("_sha", "text_sha256")
-        .drop("_hash")
+    return rows.join(text_groups(docs, id_col, text_col), ["_hash", "_sha"]).withColumn(
+        "kept", F.col("_id").eqNullSafe(F.col("keep_id"))
     )
 
 
+def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row with keep_id, group_size, kept and text_sha256; other columns of these names give way."""
+    added = ["keep_id", "group_size", "kept", "text_sha256"]
+    own = [F.col(f"_row.{c}") for c in docs.columns if c not in added or c in (id_col, text_col)]
+    return decided(docs, id_col, text_col).withColumnRenamed("_sha", "text_sha256").select(*own, *added)
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with the columns they came with."""
-    return annotate(docs, id_col, text_col).filter("kept").select(*docs.columns)
+    return decided(docs, id_col, text_col).filter("kept").select("_row.*")

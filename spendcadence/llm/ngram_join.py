@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendcadence.llm.components import components, hub_join
-from spendcadence.llm.shared import cut, filled
+from spendcadence.llm.shared import cut, filled, fresh
 from spendcadence.llm.shingles import mixed, shingle_sets
 
 FREQUENT = 200_000  # tokens that come last in the order, at most
@@ -355,5 +355,6 @@ def components_of(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
 def drop_near_copies(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay: of each component the document with the smallest id; rows without an id stay."""
     found = components_of(docs, percent, id_col, text_col)
-    going = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_going")).distinct()
-    return docs.join(going.hint("shuffle_hash"), F.col(id_col) == F.col("_going"), "left_anti")
+    name = fresh(docs, "_going")
+    going = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(going.hint("shuffle_hash"), docs[id_col] == going[name], "left_anti")

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from spendcadence.llm.components import components, hub_join
 from spendcadence.llm.repeats import repeated_rows, travel_keys
-from spendcadence.llm.shared import cut
+from spendcadence.llm.shared import cut, fresh
 from spendcadence.llm.shingles import BASE, INVERSE, PLACE, WHITE, WIDTH, blocks, buffers, mixed, powers, shingle_sets, word_hashes
 
 LEAST_WORDS = 20
@@ -292,9 +292,12 @@ def remove_repeats(
     docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "n_removed"
 ) -> DataFrame:
     """The rows with their repeated paragraphs cut out of the text, and the bytes removed as ``removed_col``."""
-    columns = [c for c in docs.columns if c != removed_col]
-    spans = repeated_spans(docs, percent, id_col, text_col)
-    joined = docs.select(*columns).join(spans, F.col(id_col).cast("long") == F.col("_id"), "left").select(*columns, "_spans")
+    rows = docs.drop(removed_col)
+    columns = rows.columns
+    owner = fresh(rows, "_id")
+    spans = fresh(rows, "_spans")
+    found = repeated_spans(docs, percent, id_col, text_col).toDF(owner, spans)
+    joined = rows.join(found, rows[id_col].cast("long") == found[owner], "left").select(*columns, spans)
     schema = T.StructType([*joined.schema.fields[:-1], T.StructField(removed_col, T.LongType())])
     return joined.mapInArrow(cutter(columns.index(text_col), len(columns), removed_col), schema)
 
