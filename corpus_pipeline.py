@@ -15,15 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spendcadence.llm import exact_dedup, ngram_join, packing, substring_dedup, toxicity
 from spendcadence.llm.registry import importable, table
-from spendcadence.llm.shared import shared_folder
+from spendcadence.llm.shared import fresh, shared_folder
 from spendcadence.session import tune
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network scores below the threshold; null and empty texts are scored like any other."""
     network = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.scored(docs, network, "_toxicity")
-    return scored.filter(scored["_toxicity"] < toxicity.THRESHOLD).select(*docs.columns)
+    name = fresh(docs, "_toxicity")
+    scored = toxicity.scored(docs, network, name)
+    return scored.filter(scored[name] < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the paragraphs and passages that stand earlier already; ``n_chars`` follows the text."""
-    left = substring_dedup.remove_repeats(docs, percent=80, removed_col="_removed")
+    left = substring_dedup.remove_repeats(docs, percent=80, removed_col=fresh(docs, "_removed"))
     return substring_dedup.recounted(left).select(*docs.columns)
 
 
