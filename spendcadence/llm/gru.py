@@ -80,6 +80,8 @@ class Grams:
 
 def evidence(p: np.ndarray, n: np.ndarray, texts: tuple[int, int]) -> np.ndarray:
     """Log-odds of a bucket held by p toxic and n other texts, drawn to 0 where few hold it."""
+    if min(texts) < 1:
+        return np.zeros(len(p), np.float32)
     share = texts[0] / max(1, sum(texts))
     toxic = (p + share) / (texts[0] + 1)
     other = (n + 1 - share) / (texts[1] + 1)

@@ -36,7 +36,7 @@ PLACE = mixed(np.arange(101, 101 + 64, dtype=np.uint64)) | np.uint64(1)
 
 def powers(base: int, count: int) -> np.ndarray:
     out = np.full(count, base, np.uint64)
-    out[0] = 1
+    out[:1] = 1
     return np.cumprod(out)
 
 
