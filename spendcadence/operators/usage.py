@@ -91,6 +91,12 @@ def clean_series(df: DataFrame, weeks: int = WEEKS) -> DataFrame:
     )
 
 
+def rejected_series(df: DataFrame, weeks: int = WEEKS) -> DataFrame:
+    """The rows that :func:`evaluate_usage` can't judge, with ``reject_reason``."""
+    reason = F.when(F.col("weekly_hours").isNull(), "no series").otherwise("series of another length")
+    return clean_series(df, weeks).filter(~F.col("valid_series")).withColumn("reject_reason", reason).drop("valid_series")
+
+
 def series_columns(weeks: int = WEEKS, column: str = "weekly_hours") -> list[Column]:
     return [F.get(F.col(column), i) for i in range(weeks)]
 
@@ -475,7 +481,7 @@ def usage_metrics(profiled: DataFrame, weeks: int = WEEKS) -> DataFrame:
 
 
 def evaluate_usage(profiled: DataFrame, weeks: int = WEEKS) -> DataFrame:
-    """Verdict per (user, app); series of another length are left out (see :func:`clean_series`)."""
+    """Verdict per (user, app) with a series of ``weeks`` values; :func:`rejected_series` has the others."""
     series = clean_series(profiled, weeks).filter("valid_series").drop("valid_series")
     judged = usage_metrics(series, weeks).withColumn("_verdict", usage_verdict())
     return judged.withColumns({"action": F.col("_verdict.action"), "reason": F.col("_verdict.reason")}).drop(

@@ -241,16 +241,16 @@ def catalog(spark: SparkSession) -> DataFrame:
 
 
 def usage_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours per (user, app, week of the month) from the event stream, days 1 to 28."""
+    """Hours per (user, app, week of the month) from the event stream; days 29 to 31 belong to the last week."""
     types = ", ".join(f"'{t}'" for t in EVENT_TYPES)
     apps = pick_sql("(user_id * 5 + type_index) % 12", [row[0] for row in CATALOG])
-    typed = table(spark, sf_dir, "events").filter("dayofmonth(ts) <= 28").selectExpr(
+    typed = table(spark, sf_dir, "events").selectExpr(
         "user_id", "ts", "event_type", "value", f"array_position(array({types}), event_type) - 1 AS type_index"
     )
     return typed.selectExpr(
         "user_id",
         f"if(user_id % 17 = 0, concat('{UNKNOWN_APP} ', type_index), {apps}) AS app_name",
-        "cast(floor((dayofmonth(ts) - 1) / 7) as int) AS week",
+        "cast(least(floor((dayofmonth(ts) - 1) / 7), 3) as int) AS week",
         """cast(if(user_id % 13 = 0 AND event_type = 'error', 0, cast(value as decimal(18,2))) as decimal(18,2))
            AS hours""",
     )
@@ -281,7 +281,7 @@ def students(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per (user, app) a model reply about the app: plain, fenced, broken or with a nested price."""
+    """Per (user, app) a model reply about the app: plain, fenced, broken, with a nested price, or none at all."""
     user = F.col("user_id")
     monthly = F.when(
         user % 5 == 4, F.concat(F.lit('{"currency": "USD", "price": '), F.col("monthly_price").cast("string"), F.lit("}"))
@@ -305,7 +305,7 @@ def raw_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(body)
     )
     return usage(spark, sf_dir).select("user_id", "app_name").join(
-        F.broadcast(catalog(spark)), "app_name"
+        F.broadcast(catalog(spark)), "app_name", "left"
     ).select("user_id", "app_name", "cost", reply.alias("reply"))
 
 

@@ -246,23 +246,38 @@ def parse_cell_row(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.filter(F.col("_tx").isNotNull()).select("seq", "_tx.*")
 
 
+_TOGETHER = """
+  SELECT account_id, statement_id, date, description, debit, credit, balance FROM parsed
+  UNION ALL
+  SELECT account_id, '0-csv-' || seq % 3, date, description, debit, credit, balance FROM csvparsed
+  WHERE date IS NOT NULL AND (debit > 0 OR credit > 0)"""
+
+
+def _files(spark: SparkSession, sf: str) -> list[DataFrame]:
+    csv = _csv(spark, sf).withColumn("statement_id", F.concat(F.lit("0-csv-"), (F.col("seq") % 3).cast("string")))
+    return [parse_statements(spark, sf), csv.select(*PARSED)]
+
+
 @query(
     "src_18_union_statements",
+    S.build(f"SELECT account_id, statement_id, {S.iso('date')} AS date, description, debit, credit, balance FROM ({_TOGETHER})", ["parsed", "csvparsed"]),
+)
+def union_statements(spark: SparkSession, sf: str) -> DataFrame:
+    return C.union_statements(_files(spark, sf))
+
+
+@query(
+    "src_18_first_files",
     S.build(
         f"""SELECT account_id, statement_id, {S.iso('date')} AS date, description, debit, credit, balance
-            FROM (SELECT *, dense_rank() OVER (PARTITION BY account_id ORDER BY statement_id) AS nth
-                  FROM (SELECT * FROM parsed
-                        UNION ALL
-                        SELECT account_id, '0-csv-' || seq % 3, date, description, debit, credit, balance FROM csvparsed
-                        WHERE date IS NOT NULL AND (debit > 0 OR credit > 0)))
+            FROM (SELECT *, dense_rank() OVER (PARTITION BY account_id ORDER BY statement_id) AS nth FROM ({_TOGETHER}))
             WHERE nth <= 4""",
         ["parsed", "csvparsed"],
     ),
 )
-def union_statements(spark: SparkSession, sf: str) -> DataFrame:
-    text = parse_statements(spark, sf)
-    csv = _csv(spark, sf).withColumn("statement_id", F.concat(F.lit("0-csv-"), (F.col("seq") % 3).cast("string")))
-    return C.union_statements([text, csv.select(*PARSED)])
+def first_files(spark: SparkSession, sf: str) -> DataFrame:
+    """With the limit of a file dialog: four files an account."""
+    return C.union_statements(_files(spark, sf), max_files=4)
 
 
 _FLAT_EVENTS = """
@@ -315,17 +330,24 @@ def labeled_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _REPLIES = """
-  SELECT user_id, app_name, user_id % 5 <> 3 AS decoded, frequency, category, value_mode, engagement_type, is_multi_device,
-         has_free_tier, is_shared_plan, student_plan_price::DOUBLE AS student_plan_price, claimed AS pricing_verified,
-         m::DOUBLE AS monthly_price, y::DOUBLE AS yearly_price, l::DOUBLE AS lifetime_price
-  FROM usage JOIN catalog USING (app_name)"""
+  SELECT user_id, app_name, frequency IS NOT NULL AND user_id % 5 <> 3 AS decoded, frequency, category, value_mode,
+         engagement_type, is_multi_device, has_free_tier, is_shared_plan, student_plan_price::DOUBLE AS student_plan_price,
+         claimed AS pricing_verified, m::DOUBLE AS monthly_price, y::DOUBLE AS yearly_price, l::DOUBLE AS lifetime_price
+  FROM usage LEFT JOIN catalog USING (app_name)"""
 PROFILE_FIELDS = list(P.DEFAULT_PROFILE)
+_DECODED = ", ".join(f"CASE WHEN decoded THEN {c} END AS {c}" for c in P.DEFAULT_PROFILE)
 
 
-@query("src_23_decode_profile_json", S.build(f"SELECT * FROM ({_REPLIES}) WHERE decoded", ["usage", "catalog"]))
+@query(
+    "src_23_decode_profile_json",
+    S.build(f"SELECT user_id, app_name, decoded, {_DECODED} FROM ({_REPLIES})", ["usage", "catalog"]),
+)
 def decode_profile_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Every reply, decoded or not; the fields of one that isn't are null."""
     decoded = P.decode_profile_json(A.raw_replies(spark, sf))
-    return decoded.filter("decoded").select("user_id", "app_name", "decoded", *PROFILE_FIELDS)
+    return decoded.select(
+        "user_id", "app_name", "decoded", *[F.when(F.col("decoded"), F.col(c)).alias(c) for c in PROFILE_FIELDS]
+    )
 
 
 def _defaults_sql() -> str:
@@ -337,7 +359,6 @@ def _defaults_sql() -> str:
 
 @query("src_24_profile_defaults", S.build(_defaults_sql(), ["usage", "catalog"]))
 def profile_defaults(spark: SparkSession, sf: str) -> DataFrame:
-    decoded = P.decode_profile_json(A.raw_replies(spark, sf)).filter("decoded")
-    apps = A.raw_replies(spark, sf).select("user_id", "app_name")
-    joined = apps.join(decoded.select("user_id", "app_name", *PROFILE_FIELDS), ["user_id", "app_name"], "left")
-    return P.apply_defaults(joined).select("user_id", "app_name", *PROFILE_FIELDS)
+    """Every app: an undecodable reply, and one that never came, give the default record."""
+    decoded = decode_profile_json(spark, sf)
+    return P.apply_defaults(decoded).select("user_id", "app_name", *PROFILE_FIELDS)

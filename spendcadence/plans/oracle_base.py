@@ -390,9 +390,9 @@ _APP = f"""(CASE WHEN user_id % 17 = 0 THEN '{A.UNKNOWN_APP} ' || type_index
             ELSE {pick('(user_id * 5 + type_index) % 12', [r[0] for r in A.CATALOG])} END)"""
 
 USAGE_LONG = f"""
-  SELECT user_id, {_APP} AS app_name, ((day(ts) - 1) // 7)::INT AS week,
+  SELECT user_id, {_APP} AS app_name, least((day(ts) - 1) // 7, 3)::INT AS week,
          CASE WHEN user_id % 13 = 0 AND event_type = 'error' THEN 0 ELSE CAST(value AS DECIMAL(18, 2)) END AS hours
-  FROM (SELECT *, list_position({A.EVENT_TYPES!r}, event_type) - 1 AS type_index FROM events WHERE day(ts) <= 28)"""
+  FROM (SELECT *, list_position({A.EVENT_TYPES!r}, event_type) - 1 AS type_index FROM events)"""
 
 USAGE = f"""
   SELECT user_id, app_name, h0, h1, h2, h3, (1 + user_id % 30)::INT AS months_subscribed,

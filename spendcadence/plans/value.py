@@ -40,6 +40,26 @@ def _hours() -> list:
     return [F.col(h) for h in HOURS]
 
 
+def _odd_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Usage of which some series are too short, and some missing."""
+    length = F.when(F.col("user_id") % 7 == 0, F.lit(None)).otherwise(F.least(F.col("user_id") % 9, F.lit(4))).cast("int")
+    return A.usage(spark, sf).withColumn("weekly_hours", F.slice("weekly_hours", F.lit(1), length))
+
+
+@query(
+    "use_01_rejected_series",
+    S.build(
+        f"""SELECT {KEY_SQL}, CASE WHEN user_id % 7 = 0 THEN -1 ELSE least(user_id % 9, 4) END::INT AS weeks,
+                   CASE WHEN user_id % 7 = 0 THEN 'no series' ELSE 'series of another length' END AS reject_reason
+            FROM usage WHERE user_id % 7 = 0 OR user_id % 9 < 4""",
+        ["usage"],
+    ),
+)
+def rejected_series(spark: SparkSession, sf: str) -> DataFrame:
+    rejected = U.rejected_series(_odd_series(spark, sf))
+    return rejected.select(*KEY, F.coalesce(F.size("weekly_hours"), F.lit(-1)).alias("weeks"), "reject_reason")
+
+
 @query("use_01_weekly_hours", S.build(f"SELECT {KEY_SQL}, h0, h1, h2, h3 FROM usage", ["usage"]))
 def weekly_hours(spark: SparkSession, sf: str) -> DataFrame:
     clean = U.clean_series(A.usage(spark, sf)).filter("valid_series")
@@ -129,13 +149,14 @@ def best_plan(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "use_17_coerce_price",
     S.build(
-        """SELECT user_id, app_name, m::DOUBLE AS plain, m::DOUBLE AS named, cost AS first_number, 0::DOUBLE AS unreadable
-           FROM usage JOIN catalog USING (app_name)""",
+        """SELECT user_id, app_name, coalesce(m, 0)::DOUBLE AS plain, coalesce(m, 0)::DOUBLE AS named, cost AS first_number,
+                  0::DOUBLE AS unreadable
+           FROM usage LEFT JOIN catalog USING (app_name)""",
         ["usage", "catalog"],
     ),
 )
 def coerce_price(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.usage(spark, sf).join(A.catalog(spark).select("app_name", "monthly_price"), "app_name")
+    rows = A.usage(spark, sf).join(A.catalog(spark).select("app_name", "monthly_price"), "app_name", "left")
     plain = F.col("monthly_price").cast("string")
     paid = F.col("cost").cast("string")
     return rows.select(

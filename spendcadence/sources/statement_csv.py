@@ -150,9 +150,9 @@ def limit_files(files: DataFrame, key: str = "account_id", order: str = "stateme
 
 
 def union_statements(
-    parsed: Sequence[DataFrame], key: str = "account_id", file: str = "statement_id", max_files: int | None = 4
+    parsed: Sequence[DataFrame], key: str = "account_id", file: str = "statement_id", max_files: int | None = None
 ) -> DataFrame:
-    """Transactions of several files per account, at most ``max_files`` files each."""
+    """Transactions of several files per account; ``max_files`` keeps the first so many files of each."""
     together = parsed[0]
     for more in parsed[1:]:
         together = together.unionByName(more)
