@@ -107,12 +107,16 @@ PARSED = ["account_id", "statement_id", "date", "description", "debit", "credit"
     S.build(f"SELECT * REPLACE ({S.iso('date')} AS date) FROM parsed", ["parsed"]),
 )
 def parse_statements(spark: SparkSession, sf: str) -> DataFrame:
-    return X.parse_statements(A.statement_pages(spark, sf), DEFAULT_YEAR).select(*PARSED)
+    return parsed_pages(spark, sf)
 
 
-def _csv(spark: SparkSession, sf: str) -> DataFrame:
+def parsed_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return X.parse_statements(A.statement_pages(spark, sf), DEFAULT_YEAR)
+
+
+def parsed_csv(spark: SparkSession, sf: str) -> DataFrame:
     layouts = [C.read_statement_rows(layout, ["account_id", "seq"]) for layout in A.csv_layouts(spark, sf)]
-    return C.union_statements(layouts, max_files=None)
+    return C.union_statements(layouts)
 
 
 @query(
@@ -124,7 +128,7 @@ def _csv(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def statement_csv(spark: SparkSession, sf: str) -> DataFrame:
-    return _csv(spark, sf)
+    return parsed_csv(spark, sf)
 
 
 @query(
@@ -254,8 +258,8 @@ _TOGETHER = """
 
 
 def _files(spark: SparkSession, sf: str) -> list[DataFrame]:
-    csv = _csv(spark, sf).withColumn("statement_id", F.concat(F.lit("0-csv-"), (F.col("seq") % 3).cast("string")))
-    return [parse_statements(spark, sf), csv.select(*PARSED)]
+    csv = parsed_csv(spark, sf).withColumn("statement_id", F.concat(F.lit("0-csv-"), (F.col("seq") % 3).cast("string")))
+    return [parsed_pages(spark, sf).select(*PARSED), csv.select(*PARSED)]
 
 
 @query(

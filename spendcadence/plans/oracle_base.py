@@ -198,12 +198,14 @@ CONTINUED = r"""
 
 # What a parse of the rendered pages must give back, stated without any parsing.
 EXPECTED_PARSE = """
-  SELECT account_id, CAST((year(date + INTERVAL 20 YEAR) * 12 + month(date) - 11) // 3 AS VARCHAR) AS statement_id,
-         CAST(date + INTERVAL 20 YEAR AS DATE) AS date,
-         description || (CASE WHEN seq % 5 = 0 THEN ' | REF ' || seq ELSE '' END) AS description, debit, credit,
-         (CASE WHEN seq % 3 = 0 OR seq % 7 = 0 OR 1000 + seq % 5000 = greatest(debit, credit) THEN 0
-               ELSE 1000 + seq % 5000 END)::DOUBLE AS balance
-  FROM tx WHERE NOT (seq % 23 = 0 AND seq % 5 <> 0)"""
+  SELECT account_id, CAST(quarter AS VARCHAR) AS statement_id,
+         row_number() OVER (PARTITION BY account_id ORDER BY quarter, date, place) AS seq, date,
+         description || (CASE WHEN place % 5 = 0 THEN ' | REF ' || place ELSE '' END) AS description, debit, credit,
+         (CASE WHEN place % 3 = 0 OR place % 7 = 0 OR 1000 + place % 5000 = greatest(debit, credit) THEN 0
+               ELSE 1000 + place % 5000 END)::DOUBLE AS balance
+  FROM (SELECT account_id, seq AS place, CAST(date + INTERVAL 20 YEAR AS DATE) AS date, description, debit, credit,
+               (year(date + INTERVAL 20 YEAR) * 12 + month(date) - 11) // 3 AS quarter FROM tx)
+  WHERE NOT (place % 23 = 0 AND place % 5 <> 0)"""
 
 CSV_ROWS = f"""
   SELECT account_id, seq, {date_text('date', 'seq % 12')} AS date_text, description,
@@ -707,6 +709,17 @@ def build(body: str, needs: Sequence[str], replace: dict[str, str] | None = None
     return f"WITH {recursive}" + ",\n".join(f"{name} AS ({text[name]})" for name in ordered) + f"\n{body}"
 
 
+def tx_from_pages() -> str:
+    """Transactions as they come out of the statement pages."""
+    return EXPECTED_PARSE.replace("FROM tx", f"FROM ({_tx(False)})")
+
+
+def tx_from_csv() -> str:
+    """Transactions as they come out of the CSV rows."""
+    rows = CSV_ROWS.replace("FROM tx", f"FROM ({_tx(False)})")
+    return f"SELECT * FROM ({CSV_PARSED.replace('FROM csvrows', f'FROM ({rows})')}) WHERE date IS NOT NULL AND (debit > 0 OR credit > 0)"
+
+
 def tx_with_free_charges() -> str:
     return _tx(True)
 

@@ -185,22 +185,21 @@ def pay_frequency(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "pat_05_detect_salary",
-    S.build("SELECT account_id, amount, pay_day, frequency, occurrences FROM salary", ["salary"]),
-)
+SALARY_SQL = "SELECT account_id, amount, pay_day, frequency, occurrences FROM salary"
+
+
+@query("pat_05_detect_salary", S.build(SALARY_SQL, ["salary"]))
 def detect_salary(spark: SparkSession, sf: str) -> DataFrame:
     return PT.detect_salary(A.transactions(spark, sf))
 
 
-@query(
-    "pat_06_detect_subscriptions",
-    S.build(
-        "SELECT account_id, name, amount, day AS renewal_day, n AS total_months FROM subscriptions", ["subscriptions"]
-    ),
-)
+SUBSCRIPTIONS_SQL = """SELECT account_id, name, amount, day AS renewal_day, failures AS past_failures, n AS total_months,
+                              failures::DOUBLE / n AS fail_rate FROM subscriptions"""
+
+
+@query("pat_06_detect_subscriptions", S.build(SUBSCRIPTIONS_SQL, ["subscriptions"]))
 def detect_subscriptions(spark: SparkSession, sf: str) -> DataFrame:
-    return PT.detect_subscriptions(classified(spark, sf)).drop("past_failures", "fail_rate")
+    return PT.detect_subscriptions(classified(spark, sf))
 
 
 @query(
@@ -276,20 +275,17 @@ def cusum_drift(spark: SparkSession, sf: str) -> DataFrame:
     return CH.cusum_drift(CH.subscription_charges(classified(spark, sf)))
 
 
-@query(
-    "prc_05_detect_price_changes",
-    S.build(
-        f"""SELECT account_id, {S.title('vendor')} AS subscription, type, {S.iso('date')} AS date, old_amount, new_amount,
+CHANGES_SQL = f"""SELECT account_id, {S.title('vendor')} AS subscription, type, {S.iso('date')} AS date, old_amount, new_amount,
                    change_amount, change_percent, severity, description
             FROM (SELECT account_id, vendor, type, date, old_amount, new_amount, change_amount, change_percent, severity, description
                   FROM jumps
                   UNION ALL
                   SELECT account_id, vendor, type, date, old_amount, new_amount, change_amount, change_percent, severity, description
                   FROM drift d WHERE NOT EXISTS (SELECT 1 FROM jumps j WHERE j.account_id = d.account_id AND j.vendor = d.vendor
-                                                 AND j.date = d.date))""",
-        ["jumps", "drift"],
-    ),
-)
+                                                 AND j.date = d.date))"""
+
+
+@query("prc_05_detect_price_changes", S.build(CHANGES_SQL, ["jumps", "drift"]))
 def detect_price_changes(spark: SparkSession, sf: str) -> DataFrame:
     return CH.detect_price_changes(classified(spark, sf)).orderBy("account_id", "date", "subscription")
 
@@ -500,18 +496,15 @@ def risk_label(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "rsk_08_risk_report",
-    S.build(
-        f"""SELECT account_id, name AS subscription, amount, renewal_day, risk_score, risk_label, lower(risk_label) AS risk_level,
+RISK_SQL = f"""SELECT account_id, name AS subscription, amount, renewal_day, risk_score, risk_label, lower(risk_label) AS risk_level,
                    advice, past_failures || '/' || total_months AS fail_history, paycycle_factor, cluster_factor, fail_rate,
                    load_factor, {S.ZONE_LABEL.format(p='paycycle_factor')} AS zone_label,
                    {S.ZONE_LEVEL.format(p='paycycle_factor')} AS zone_level,
                    {S.SINCE.format(d='renewal_day')}::INT AS days_since_payday, {S.UNTIL.format(d='renewal_day')}::INT AS days_until_payday,
-                   cluster_amount FROM risks""",
-        ["risks"],
-    ),
-)
+                   cluster_amount FROM risks"""
+
+
+@query("rsk_08_risk_report", S.build(RISK_SQL, ["risks"]))
 def risk_report(spark: SparkSession, sf: str) -> DataFrame:
     return RK.risk_report(*_inputs(spark, sf)).select("*", "breakdown.*").drop("breakdown")
 

@@ -1,7 +1,8 @@
 """Bank-statement page text to transactions.
 
 One row per page comes in; a page is the unit of work, so everything up to the
-exploded lines happens inside the row and the only join is the period lookup.
+exploded lines happens inside the row.  The period joins the pages before their
+lines are exploded, so each text travels once.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 from spendcadence.functions import rules as R
 from spendcadence.functions import text as T
 from spendcadence.functions.fence import compute_once
+from spendcadence.operators.ordered import with_rank
 
 STATEMENT = ["account_id", "statement_id"]
 DEFAULT_CURRENCY = r"J\$"
-MAX_LINES_PER_PAGE = 1 << 20
 PART_SEPARATOR = "\x1f"
 
 # Statement patterns; {currency} is a parameter.
@@ -52,7 +53,8 @@ def explode_lines(pages: DataFrame) -> DataFrame:
             i.cast("int").alias("pos"), line.alias("line"), F.get(F.col("_lines"), i + 1).alias("next_line")
         ),
     )
-    return placed.select(*STATEMENT, "page_no", F.inline(entries))
+    own = [c for c in pages.columns if c != "text"]
+    return placed.select(*own, F.inline(entries))
 
 
 def statement_period(pages: DataFrame) -> DataFrame:
@@ -142,33 +144,44 @@ def split_debit_credit(amount: Column, sign: Column) -> tuple[Column, Column]:
 
 def dated_lines(pages: DataFrame, default_year: int, currency: str = DEFAULT_CURRENCY) -> DataFrame:
     """Transaction lines with their resolved date; impossible dates are dropped."""
-    matched = match_tx_lines(explode_lines(pages), currency)
-    with_period = matched.join(statement_period(pages), STATEMENT, "left").withColumns(
+    with_period = pages.join(statement_period(pages), STATEMENT, "left").withColumns(
         {
             "statement_year": F.coalesce("statement_year", F.lit(default_year)),
             "start_year": F.coalesce("start_year", "statement_year", F.lit(default_year)),
             "start_month": F.coalesce("start_month", F.lit(1)),
         }
     )
+    matched = match_tx_lines(explode_lines(with_period), currency)
     date = resolve_tx_date(
         F.col("day"), F.col("month_text"), F.col("start_month"), F.col("start_year"), F.col("statement_year")
     )
-    return compute_once(with_period, {"date": date}).filter(F.col("date").isNotNull())
+    return compute_once(matched, {"date": date}).filter(F.col("date").isNotNull())
 
 
 def parse_statements(pages: DataFrame, default_year: int, currency: str = DEFAULT_CURRENCY) -> DataFrame:
-    """Pages to transactions; ``seq`` is the place (page, line) in the statement."""
+    """Pages to transactions.
+
+    ``seq`` numbers an account's transactions from 1 by period, statement, page and line, so that statements of
+    one account follow each other.
+    """
     debit, credit = split_debit_credit(F.col("amount"), F.col("sign"))
     described = compute_once(
         dated_lines(pages, default_year, currency),
         {"description": append_continuation()},
     )
-    return described.filter(~is_fee_line()).select(
+    placed = described.filter(~is_fee_line()).select(
         *STATEMENT,
-        (F.col("page_no").cast("bigint") * MAX_LINES_PER_PAGE + F.col("pos")).alias("seq"),
+        "page_no",
+        "pos",
+        F.make_date("start_year", "start_month", F.lit(1)).alias("_from"),
         "date",
         "description",
         debit.alias("debit"),
         credit.alias("credit"),
         extract_balance(F.col("line"), F.col("amount"), currency).alias("balance"),
     )
+    order = ["_from", "statement_id", "page_no", "pos"]
+    numbered = with_rank(placed, ["account_id"], order, F.col("_from"), F.lit(0), "seq")
+    return numbered.select(
+        *STATEMENT, F.col("seq").cast("bigint").alias("seq"), "date", "description", "debit", "credit", "balance"
+    )
