@@ -82,7 +82,7 @@ def test_cells_and_lines(spark):
 def test_files_per_account(spark):
     rows = [(1, f"f{i}", i) for i in range(6)] + [(2, "f0", 0)]
     df = spark.createDataFrame(rows, "account_id int, statement_id string, seq int")
-    kept = C.union_statements([df.filter("seq < 3"), df.filter("seq >= 3")])
+    kept = C.union_statements([df.filter("seq < 3"), df.filter("seq >= 3")], max_files=4)
     assert sorted((r[0], r[1]) for r in kept.collect()) == [(1, "f0"), (1, "f1"), (1, "f2"), (1, "f3"), (2, "f0")]
 
 
