@@ -65,3 +65,24 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder: what the cluster names in spark.checkpoint.dir, or one of our own on a local master."""
     ensure_checkpoint_dir(spark)
     return spark.sparkContext.getCheckpointDir()
+
+
+BITS = 1 << 25  # of a membership bitmap: 4 MB, whatever it is made from
+BITMAP = 1 << 15  # bits in one row of it
+
+
+def likely(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose key is among ``keys``, and few others, without moving the rows.
+
+    A bitmap of fixed size (one bit for a key's hash) is broadcast; an exact join follows where it is needed.
+    Once there are more keys than bits it lets most rows pass and only saves less.
+    """
+    bit = F.pmod(F.xxhash64(name), F.lit(BITS))
+    row, at = F.shiftright(bit, 15), F.pmod(bit, F.lit(BITMAP))
+    bitmap = keys.groupBy(row.alias("_row")).agg(F.bitmap_construct_agg(at).alias("_bitmap"))
+    byte = F.conv(F.hex(F.substring("_bitmap", (F.shiftright(at, 3) + 1).cast("int"), 1)), 16, 10).cast("int")
+    return (
+        rows.join(F.broadcast(bitmap), row == F.col("_row"))
+        .filter(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1)
+        .drop("_row", "_bitmap")
+    )

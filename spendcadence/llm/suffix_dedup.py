@@ -35,10 +35,10 @@ from pyspark.sql import types as T
 
 from spendcadence.llm.components import hub_join
 from spendcadence.llm.repeats import repeated_rows, travel_keys
-from spendcadence.llm.shared import cut, filled
+from spendcadence.llm.shared import cut, filled, likely
 from spendcadence.llm.shingles import BASE, BYTE, INVERSE, blocks, buffers, mixed, powers
 
-GRAM = 32
+GRAM = 24
 CHUNK = 1 << 20  # windows of one text worked on at once
 PLACES = 21  # bits for a place within a block
 STRETCHES_TOGETHER = 32 << 20  # bytes of different stretches in one batch
@@ -101,7 +101,7 @@ def segments(offsets: np.ndarray, length: int):
 
 
 def anchor_rows(length: int):
-    """Rows (key, hash, place, id, packed, known) for the anchors of a batch.
+    """Rows (key, hash, id, packed, known) for the anchors of a batch; of equal texts only for the first.
 
     Of anchors with one hash in a batch the first is keyed by the hash, the others by anything (they carry the
     hash besides): that they repeat is known already.
@@ -111,44 +111,51 @@ def anchor_rows(length: int):
         for batch in batches:
             ids = batch.column(0).to_numpy()
             data, offsets = buffers(batch.column(1))
-            texts = np.zeros(batch.num_rows, np.uint64)
+            firsts: dict[bytes, int] = {}
             for k in range(batch.num_rows):
-                digest = hashlib.blake2b(data[offsets[k] : offsets[k + 1]], digest_size=8).digest()
-                texts[k] = int.from_bytes(digest, "little")
+                digest = hashlib.blake2b(data[offsets[k] : offsets[k + 1]], digest_size=16).digest()
+                if digest not in firsts or ids[k] < ids[firsts[digest]]:
+                    firsts[digest] = k
+            stands = np.zeros(batch.num_rows, bool)
+            stands[list(firsts.values())] = True
             found = []
-            for rows, firsts, pasts in segments(offsets, length):
-                edges = np.concatenate([firsts, pasts[-1:]]) - firsts[0]
-                row, at, start, run, hashes = anchors(data[firsts[0] : pasts[-1]], edges, length)
-                begin = offsets[rows[row]] - firsts[0]
-                found.append((rows[row], at - begin, at - start, run, hashes))
+            for rows, begins, pasts in segments(offsets, length):
+                edges = np.concatenate([begins, pasts[-1:]]) - begins[0]
+                row, at, start, run, hashes = anchors(data[begins[0] : pasts[-1]], edges, length)
+                row, keep = rows[row], stands[rows[row]]
+                at = at - (offsets[row] - begins[0])
+                start = start - (offsets[row] - begins[0])
+                found.append((row[keep], (at << 14 | at - start << 7 | run)[keep], hashes[keep]))
             if not found:
                 continue
-            row, at, back, run, hashes = map(np.concatenate, zip(*found))
+            row, packed, hashes = map(np.concatenate, zip(*found))
             if not len(row):
                 continue
-            place = mixed(texts[row] + mixed(at.astype(np.uint64) + np.uint64(1)))  # equal in equal texts
-            order = np.lexsort((back, ids[row], place, hashes))
-            row, at, back, run, hashes, place = (x[order] for x in (row, at, back, run, hashes, place))
-            new_place = np.r_[True, (hashes[1:] != hashes[:-1]) | (place[1:] != place[:-1])]
-            keep = ids[row] == ids[row][np.flatnonzero(new_place)][np.cumsum(new_place) - 1]  # the first of equal texts
-            key, travels, known = travel_keys(hashes, place)
+            order = np.lexsort((packed, ids[row], hashes))
+            owner, packed, hashes = ids[row][order], packed[order], hashes[order]
+            key, travels, known = travel_keys(hashes, place_hashes(owner, packed))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(key.view(np.int64)[keep]),
-                    pa.array(hashes.view(np.int64)[keep], mask=travels[keep]),
-                    pa.array(place.view(np.int64)[keep]),
-                    pa.array(ids[row][keep]),
-                    pa.array((at << 14 | back << 7 | run)[keep]),
-                    pa.array(known[keep]),
+                    pa.array(key.view(np.int64)),
+                    pa.array(hashes.view(np.int64), mask=travels),
+                    pa.array(owner),
+                    pa.array(packed),
+                    pa.array(known),
                 ],
-                ["key", "hash", "place", "id", "packed", "known"],
+                ["key", "hash", "id", "packed", "known"],
             )
 
     return work
 
 
+def place_hashes(ids: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Tells anchors apart by text and place (not by run: a text worked on in parts may have an anchor twice)."""
+    return mixed(mixed(ids.view(np.uint64)) + (packed >> 14).view(np.uint64))
+
+
 def places(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column(batch.schema.names.index("place")).to_numpy()
+    names = batch.schema.names
+    return place_hashes(batch.column(names.index("id")).to_numpy(), batch.column(names.index("packed")).to_numpy())
 
 
 def stretch_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -377,21 +384,21 @@ def repeats_removed(
     )
     firsts = nodes.groupBy("sha").agg(F.min("id").alias("first"))
     found = rows.filter(F.col("id").isNotNull() & (F.octet_length("text") >= length)).mapInArrow(
-        anchor_rows(length), "key long, hash long, place long, id long, packed long, known boolean"
+        anchor_rows(length), "key long, hash long, id long, packed long, known boolean"
     )
-    spots = (
+    stands = firsts.filter(F.col("first").isNotNull()).select(F.col("first").alias("id")).distinct()
+    spots = cut(
         found.repartition("key")
-        .sortWithinPartitions("key", "place")
+        .sortWithinPartitions("key", "id", "packed")
         .mapInArrow(repeated_rows("key", "known", places), found.schema)
-        .groupBy(F.coalesce("hash", "key").alias("hash"), "place", "packed")
-        .agg(F.min("id").alias("id"))
+        .select(F.coalesce("hash", "key").alias("hash"), "id", "packed")
+        .join(stands, "id", "left_semi")
+        .distinct()
         .groupBy("id")
         .agg(F.collect_list(F.struct("hash", "packed")).alias("spots"))
     )
-    spots = cut(spots)
-    texts = cut(
-        rows.join(spots.select("id").hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
-    )
+    # Both joins below take the texts from one shuffle.
+    texts = likely(rows, spots, "id").join(spots.select("id").hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
     stretches = texts.join(spots, "id").select("id", "text", "spots").mapInArrow(
         stretch_rows(length), "key long, id long, first long, run long, stretch binary"
     )
