@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendcadence.functions import text as T
 from spendcadence.operators import ordered as O
-from spendcadence.session import ensure_checkpoint_dir
 
 TOLERANCE = 0.05
 SLACK = 0.5
@@ -42,24 +41,14 @@ def subscription_charges(classified: DataFrame, key: str = "account_id", include
 
 
 def price_pairs(
-    charges: DataFrame,
-    key: str = "account_id",
-    hot: DataFrame | None = None,
-    hot_rows: int = O.HOT_ROWS,
-    block_rows: int = O.BLOCK_ROWS,
+    charges: DataFrame, key: str = "account_id", hot_rows: int = O.HOT_ROWS, block_rows: int = O.BLOCK_ROWS
 ) -> DataFrame:
     """Every charge with the previous charge of the same vendor."""
     return O.with_previous(
-        charges, [key, "vendor"], "date", "seq", "debit", "previous", hot, hot_rows, block_rows
+        charges, [key, "vendor"], "date", "seq", "debit", "previous", hot_rows=hot_rows, block_rows=block_rows
     )
 
 
-def hot_series(charges: DataFrame, key: str = "account_id", hot_rows: int = O.HOT_ROWS) -> DataFrame:
-    """The (key, vendor) series that need blocks, found in one pass and kept as a small checkpoint."""
-    ensure_checkpoint_dir(charges.sparkSession)
-    return O.hot_keys(charges, [key, "vendor"], hot_rows).checkpoint()
-
-
 def _relative_change() -> Column:
     return (F.col("debit") - F.col("previous")) / F.col("previous")
 
@@ -109,52 +98,6 @@ def trial_conversion(pairs: DataFrame) -> DataFrame:
 
 # --- drift -------------------------------------------------------------------
 
-_POINT = "struct<date:date,seq:bigint,x:double>"
-_STATE = f"struct<pos:double,neg:double,alarms:array<struct<date:date,seq:bigint,x:double,up:boolean>>>"
-
-
-def _drift_step(mean: Column, std: Column, threshold: float, slack: float, keep_alarms: bool):
-    """One step of the two-sided cumulative sum; a side restarts at 0 after its alarm."""
-
-    def step(state: Column, point: Column) -> Column:
-        pos = F.greatest(F.lit(0.0), state["pos"] + (point["x"] - mean) - slack * std)
-        neg = F.greatest(F.lit(0.0), state["neg"] + (mean - point["x"]) - slack * std)
-        limit = threshold * std
-        reset_pos = F.when(pos > limit, F.lit(0.0)).otherwise(pos)
-        reset_neg = F.when(neg > limit, F.lit(0.0)).otherwise(neg)
-        if not keep_alarms:
-            return F.struct(reset_pos.alias("pos"), reset_neg.alias("neg"))
-
-        def alarm(up: bool) -> Column:
-            return F.array(
-                F.struct(
-                    point["date"].alias("date"), point["seq"].alias("seq"), point["x"].alias("x"),
-                    F.lit(up).alias("up"),
-                )
-            )
-
-        raised_up = F.when(pos > limit, F.concat(state["alarms"], alarm(True))).otherwise(state["alarms"])
-        raised = F.when(neg > limit, F.concat(raised_up, alarm(False))).otherwise(raised_up)
-        return F.struct(reset_pos.alias("pos"), reset_neg.alias("neg"), raised.alias("alarms"))
-
-    return step
-
-
-def _alarms(points: Column, pos: Column, neg: Column, threshold: float, slack: float) -> Column:
-    start = F.struct(
-        pos.alias("pos"),
-        neg.alias("neg"),
-        F.expr("cast(array() as array<struct<date:date,seq:bigint,x:double,up:boolean>>)").alias("alarms"),
-    )
-    step = _drift_step(F.col("mean"), F.col("std"), threshold, slack, keep_alarms=True)
-    return F.aggregate(points, start, step)["alarms"]
-
-
-def _end_state(points: Column, pos: Column, neg: Column, threshold: float, slack: float) -> Column:
-    step = _drift_step(F.col("mean"), F.col("std"), threshold, slack, keep_alarms=False)
-    return F.aggregate(points, F.struct(pos.alias("pos"), neg.alias("neg")), step)
-
-
 def _moments(df: DataFrame) -> DataFrame:
     """Mean and population deviation from exact integer cent sums."""
     n, s, q = F.col("n"), F.col("s"), F.col("q")
@@ -168,70 +111,43 @@ def _moments(df: DataFrame) -> DataFrame:
 
 
 def cusum_drift(
-    charges: DataFrame,
-    key: str = "account_id",
-    threshold: float = THRESHOLD,
-    slack: float = SLACK,
-    hot: DataFrame | None = None,
-    hot_rows: int = O.HOT_ROWS,
-    block_rows: int = O.BLOCK_ROWS,
+    charges: DataFrame, key: str = "account_id", threshold: float = THRESHOLD, slack: float = SLACK
 ) -> DataFrame:
     """Drift alarms per (key, vendor): ``date, seq, old_amount`` (mean), ``new_amount, is_up``.
 
-    The sum restarts after an alarm, so it is a fold over the ordered series.
-    An ordinary series is one array of at most ``hot_rows`` points.  A hot one
-    becomes blocks folded in parallel; each round hands every block the end
-    state of the block before it, until no state changes.  That is exact: after
-    round r the first r blocks are final, and sums that touch zero stop the
-    spread of a correction, so few rounds are needed.
+    A side of the two-sided sum restarts at 0 after its alarm, so the sum is a fold over the ordered series.  It
+    streams, with the two sums as its only state, and emits an alarm with the charge that raised it.
     """
     keys = [key, "vendor"]
-    hot = hot_series(charges, key, hot_rows) if hot is None else hot
-    ordinary = hot.isEmpty()
-    part = F.floor(F.col("seq") / block_rows).cast("long")
-    marked = O.no_blocks(charges) if ordinary else O.mark_blocks(charges, keys, F.col("date"), part, hot=hot)
     cents = F.round(F.col("debit") * 100).cast("decimal(18,0)")
-    blocks = marked.groupBy(*keys, *O.BLOCK).agg(
-        F.collect_list(F.struct("date", "seq", F.col("debit").alias("x"))).alias("points"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum(cents).alias("s"),
-        F.sum(cents * cents).alias("q"),
-    ).withColumn("points", F.array_sort("points"))
-    single = _moments(blocks.filter(F.col("_block").isNull()).filter(F.col("n") >= 3)).filter(F.col("std") > 0)
-    zero = F.lit(0.0)
-    found = single.select(*keys, "mean", _alarms(F.col("points"), zero, zero, threshold, slack).alias("alarms"))
-    if not ordinary:
-        found = found.unionByName(_hot_alarms(blocks, keys, threshold, slack))
-    return found.select(*keys, "mean", F.inline("alarms")).select(
-        *keys, "date", "seq", F.col("mean").alias("old_amount"), F.col("x").alias("new_amount"),
-        F.col("up").alias("is_up"),
+    moments = charges.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(cents).alias("s"), F.sum(cents * cents).alias("q")
     )
+    series = charges.join(_moments(moments.filter(F.col("n") >= 3)).filter(F.col("std") > 0), keys)
 
-
-def _hot_alarms(blocks: DataFrame, keys: list[str], threshold: float, slack: float) -> DataFrame:
-    cut = blocks.filter(F.col("_block").isNotNull())
-    totals = _moments(cut.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")]))
-    fixed = cut.drop("n", "s", "q").join(totals.filter(F.col("std") > 0), keys).checkpoint()
-    ids = [*keys, *O.BLOCK]
-    chain = Window.partitionBy(*keys).orderBy(*O.BLOCK)
-    start = fixed.select(*ids, F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"))
-    while True:
-        ended = fixed.join(start, ids).select(
-            *ids, F.col("pos").alias("was_pos"), F.col("neg").alias("was_neg"),
-            _end_state(F.col("points"), F.col("pos"), F.col("neg"), threshold, slack).alias("end"),
-        )
-        handed = ended.select(
-            *ids, "was_pos", "was_neg",
-            F.coalesce(F.lag("end.pos").over(chain), F.lit(0.0)).alias("pos"),
-            F.coalesce(F.lag("end.neg").over(chain), F.lit(0.0)).alias("neg"),
-        ).checkpoint()
-        moved = (F.col("pos") != F.col("was_pos")) | (F.col("neg") != F.col("was_neg"))
-        start = handed.select(*ids, "pos", "neg")
-        if handed.filter(moved).isEmpty():
-            break
-    return fixed.join(start, ids).select(
-        *keys, "mean", _alarms(F.col("points"), F.col("pos"), F.col("neg"), threshold, slack).alias("alarms")
+    def step(state: list[float], row: dict) -> dict | None:
+        x, mean, std = row["debit"], row["mean"], row["std"]
+        state[0] = max(0.0, state[0] + (x - mean) - slack * std)
+        state[1] = max(0.0, state[1] + (mean - x) - slack * std)
+        limit = threshold * std
+        raised = [side > limit for side in state]
+        for k in (0, 1):
+            if raised[k]:
+                state[k] = 0.0
+        if not any(raised):
+            return None
+        return {"date": row["date"], "seq": row["seq"], "old_amount": mean, "new_amount": x, "up": raised[0], "down": raised[1]}
+
+    alarms = O.fold_in_order(
+        series.select(*keys, "date", "seq", "debit", "mean", "std"),
+        keys,
+        ["date", "seq"],
+        lambda: [0.0, 0.0],
+        step,
+        "date date, seq bigint, old_amount double, new_amount double, up boolean, down boolean",
     )
+    sides = F.array_compact(F.array(F.when(F.col("up"), F.lit(True)), F.when(F.col("down"), F.lit(False))))
+    return alarms.select(*keys, "date", "seq", "old_amount", "new_amount", F.explode(sides).alias("is_up"))
 
 
 def label_drift(alarms: DataFrame) -> DataFrame:
@@ -260,13 +176,12 @@ def detect_price_changes(
 ) -> DataFrame:
     """Pairwise findings, plus drift alarms on dates without one for that subscription."""
     charges = subscription_charges(classified, key)
-    hot = hot_series(charges, key, hot_rows)
-    pairs = price_pairs(subscription_charges(classified, key, include_zero), key, hot, hot_rows, block_rows)
+    pairs = price_pairs(subscription_charges(classified, key, include_zero), key, hot_rows, block_rows)
     keep = [key, "vendor", *FINDING]
     jumps = label_price_change(pairwise_price_change(pairs)).select(*keep)
     if include_zero:
         jumps = jumps.unionByName(trial_conversion(pairs).select(*keep))
-    drift = label_drift(cusum_drift(charges, key, hot=hot, hot_rows=hot_rows, block_rows=block_rows)).select(*keep)
+    drift = label_drift(cusum_drift(charges, key)).select(*keep)
     fresh = drift.join(jumps.select(key, "vendor", "date").distinct(), [key, "vendor", "date"], "left_anti")
     return (
         jumps.unionByName(fresh)

@@ -14,10 +14,13 @@ order; only one small edge row per block is then windowed per key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 HOT_ROWS = 1_000_000
 BLOCK_ROWS = 1_000_000
@@ -25,11 +28,6 @@ BLOCK_ROWS = 1_000_000
 BLOCK = ["_block", "_part"]
 
 
-def no_blocks(df: DataFrame) -> DataFrame:
-    """The block columns of a table without hot keys."""
-    return df.withColumns({"_block": F.lit(None).cast("date"), "_part": F.lit(0).cast("bigint")})
-
-
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than ``hot_rows`` rows: a map-side combined count, tiny output."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows).select(*keys)
@@ -121,3 +119,45 @@ def with_rank(
         .withColumn(name, (F.col(name) + F.coalesce(F.col("_offset"), F.lit(0))).cast("int"))
         .drop("_offset", *BLOCK)
     )
+
+
+def fold_in_order(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    start: Callable[[], object],
+    step: Callable[[object, dict], dict | None],
+    schema: str,
+    end: Callable[[object], dict | None] | None = None,
+) -> DataFrame:
+    """Fold every key's rows in order, streaming: memory holds one batch and one state however long a series is.
+
+    ``step(state, row)`` changes the state and may return a record for the row; ``end(state)`` may return one for
+    the key.  Records are the columns of ``schema`` that follow ``keys``.
+    """
+    names = list(keys)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for batch in batches:
+            found: list[dict] = []
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in names)
+                if key != current:
+                    if current is not None and end is not None:
+                        add(found, current, end(state))
+                    current, state = key, start()
+                add(found, key, step(state, row))
+            yield pa.RecordBatch.from_pylist(found, schema=arrow)
+        if current is not None and end is not None:
+            last: list[dict] = []
+            add(last, current, end(state))
+            yield pa.RecordBatch.from_pylist(last, schema=arrow)
+
+    def add(found: list[dict], key: tuple, record: dict | None) -> None:
+        if record is not None:
+            found.append(dict(zip(names, key)) | record)
+
+    kinds = T.StructType([df.schema[k] for k in names] + T.StructType.fromDDL(schema).fields)
+    arrow = to_arrow_schema(kinds)
+    return df.repartition(*names).sortWithinPartitions(*names, *order).mapInArrow(work, kinds)

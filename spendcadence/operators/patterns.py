@@ -9,88 +9,45 @@ from pyspark.sql import functions as F
 
 from spendcadence.functions import rules as R
 from spendcadence.functions import text as T
-from spendcadence.session import ensure_checkpoint_dir
+from spendcadence.operators.ordered import fold_in_order
 
 TOLERANCE = 0.05
-LEADER_BLOCK = 1000
-
-LEADERS_TYPE = "array<double>"
 
 
 def _within(amount: Column, leader: Column, tolerance: float) -> Column:
     return F.abs(amount - leader) / leader < tolerance
 
 
-def _fold_leaders(amounts: Column, tolerance: float) -> Column:
-    """Leaders of an ordered array: a value close to none of them becomes one."""
-    return F.aggregate(
-        amounts,
-        F.expr(f"cast(array() as {LEADERS_TYPE})"),
-        lambda found, x: F.when(F.exists(found, lambda leader: _within(x, leader, tolerance)), found).otherwise(
-            F.concat(found, F.array(x))
-        ),
-    )
-
-
-def amount_leaders(
-    credits: DataFrame, key: str = "account_id", tolerance: float = TOLERANCE, block: int = LEADER_BLOCK
-) -> DataFrame:
+def amount_leaders(credits: DataFrame, key: str = "account_id", tolerance: float = TOLERANCE) -> DataFrame:
     """Ordered leader array per key, from positive ``credit`` values in ``seq`` order.
 
-    Equal amounts always join the same leader, so the input shrinks to distinct
-    amounts first (map-side combined).  Leaders differ by the tolerance, which
-    bounds them to a few hundred per key whatever the data.  A key with more
-    than ``block`` distinct amounts is resolved in exact rounds: fold its first
-    ``block`` open amounts, drop every amount the new leaders cover, repeat.
+    An amount close to no leader becomes one.  Equal amounts always join the same leader, so the input shrinks to
+    distinct amounts first (map-side combined); these are folded in order with the leaders as state, which differ
+    by the tolerance and so are a few hundred per key whatever the data.
     """
     distinct = (
         credits.filter(F.col("credit") > 0)
         .groupBy(key, F.col("credit").alias("amount"))
         .agg(F.min("seq").alias("first_seq"))
     )
-    crowded = distinct.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block).select(key)
-    if crowded.isEmpty():
-        return _head_leaders(distinct, key, tolerance)
-    ensure_checkpoint_dir(distinct.sparkSession)
-    open_amounts = distinct.checkpoint()
-    rounds = []
-    while not open_amounts.isEmpty():
-        # row_number <= block is pushed below the shuffle as a group limit, so
-        # no task receives more than ``block`` rows per key and input partition.
-        nth = F.row_number().over(Window.partitionBy(key).orderBy("first_seq"))
-        head = open_amounts.withColumn("_nth", nth).filter(F.col("_nth") <= block).drop("_nth")
-        found = _head_leaders(head, key, tolerance).checkpoint()
-        rounds.append(found.withColumn("_round", F.lit(len(rounds))))
-        covered = F.exists("leaders", lambda leader: _within(F.col("amount"), leader, tolerance))
-        open_amounts = open_amounts.join(found, key).filter(~covered).drop("leaders").checkpoint()
-    together = rounds[0]
-    for later in rounds[1:]:
-        together = together.unionByName(later)
-    return (
-        together.groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("_round", "leaders"))).alias("_all"))
-        .select(key, F.flatten(F.col("_all.leaders")).alias("leaders"))
-    )
 
+    def step(leaders: list[float], row: dict) -> None:
+        amount = row["amount"]
+        if not any(abs(amount - leader) / leader < tolerance for leader in leaders):
+            leaders.append(amount)
 
-def _head_leaders(amounts: DataFrame, key: str, tolerance: float) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("first_seq", "amount")))
-    return (
-        amounts.groupBy(key)
-        .agg(ordered.alias("_ordered"))
-        .select(key, _fold_leaders(F.col("_ordered.amount"), tolerance).alias("leaders"))
+    return fold_in_order(
+        distinct, [key], ["first_seq"], list, step, "leaders array<double>", end=lambda leaders: {"leaders": leaders}
     )
 
 
-def cluster_amounts(
-    credits: DataFrame, key: str = "account_id", tolerance: float = TOLERANCE, block: int = LEADER_BLOCK
-) -> DataFrame:
+def cluster_amounts(credits: DataFrame, key: str = "account_id", tolerance: float = TOLERANCE) -> DataFrame:
     """Clusters per key and day: ``leader_no, leader, date, occurrences, total``.
 
     The credits are pre-aggregated by (key, amount, date) before anything is
     joined, so repeated pay amounts of a hot account collapse map-side.
     """
-    leaders = amount_leaders(credits, key, tolerance, block)
+    leaders = amount_leaders(credits, key, tolerance)
     daily = (
         credits.filter(F.col("credit") > 0)
         .groupBy(key, F.col("credit").alias("amount"), "date")
@@ -159,11 +116,9 @@ def pay_frequency(first_date: Column, last_date: Column, occurrences: Column) ->
     return F.when((occurrences >= 2) & (mean_gap <= 18), F.lit("biweekly")).otherwise(F.lit("monthly"))
 
 
-def detect_salary(
-    tx: DataFrame, key: str = "account_id", tolerance: float = TOLERANCE, block: int = LEADER_BLOCK
-) -> DataFrame:
+def detect_salary(tx: DataFrame, key: str = "account_id", tolerance: float = TOLERANCE) -> DataFrame:
     """Salary pattern per key; keys without a repeated credit have no row."""
-    best = salary_group(cluster_totals(cluster_amounts(tx, key, tolerance, block), key), key)
+    best = salary_group(cluster_totals(cluster_amounts(tx, key, tolerance), key), key)
     return best.select(
         key,
         T.half_even(F.col("total").cast("double") / F.col("occurrences"), 2).alias("amount"),

@@ -35,16 +35,38 @@ def test_step_raises_one_alarm_at_the_end(spark):
     assert [(r["seq"], r["is_up"], r["new_amount"]) for r in found] == [(6, True, 20.0)]
 
 
-@pytest.mark.parametrize("hot_rows", [40, 10_000])
-def test_drift_equals_brute_force(spark, hot_rows):
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_drift_equals_brute_force(spark, batch):
     rng = random.Random(11)
     data = {"long": [round(rng.uniform(5, 30), 2) for _ in range(300)], "flat": [9.0] * 100, "short": [1, 2],
             "mid": [round(rng.uniform(5, 30), 2) for _ in range(30)]}
-    found = CH.cusum_drift(charges(spark, data), hot_rows=hot_rows, block_rows=50).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    found = CH.cusum_drift(charges(spark, data)).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     expected = {(v, i, up) for v, xs in data.items() for i, up in brute_drift(xs)}
     assert {(r["vendor"], r["seq"], r["is_up"]) for r in found} == expected and len(found) == len(expected)
 
 
+def test_hundred_thousand_alarms_in_one_series(spark):
+    df = spark.range(200_000).selectExpr(
+        "1 AS account_id", "'a' AS vendor", "id AS seq", "date_add(date'2000-01-01', cast(id AS int)) AS date",
+        "IF(id % 2 = 0, 1D, 9D) AS debit",
+    )
+    expected = brute_drift([1.0 if i % 2 == 0 else 9.0 for i in range(2000)])
+    found = CH.cusum_drift(df)
+    assert found.filter("seq < 2000").count() == len(expected)
+    assert found.count() == len(brute_drift([1.0 if i % 2 == 0 else 9.0 for i in range(200_000)]))
+
+
+def test_plans_start_no_job(spark):
+    data = charges(spark, {"a": [10, 10, 20, 20]})
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plans-only", "no job expected")
+    CH.cusum_drift(data)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(tracker.getJobIdsForGroup("plans-only")) == []
+
+
 def test_labels_on_both_sides_of_every_threshold(spark):
     data = {"a": [100, 105], "b": [100, 105.01], "c": [100, 120], "d": [100, 120.5], "e": [100, 150], "f": [100, 150.5],
             "g": [100, 50], "h": [100, 49.5], "i": [100, 95]}

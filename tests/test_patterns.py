@@ -25,12 +25,11 @@ def test_sample_leaders(spark):
     assert [(r["leader"], r["occurrences"]) for r in clusters] == [(100.0, 5), (250.0, 2), (106.0, 1)]
 
 
-@pytest.mark.parametrize("block", [3, 1000])
-def test_rounds_equal_sequential_scan(spark, block):
+def test_fold_equals_sequential_scan(spark):
     rng = random.Random(3)
     data = {k: [round(rng.uniform(1, 500), 2) for _ in range(120)] for k in range(4)}
     data[9] = [50.0] * 40
-    found = PT.amount_leaders(credits(spark, data), block=block).collect()
+    found = PT.amount_leaders(credits(spark, data)).collect()
     assert {r["account_id"]: r["leaders"] for r in found} == {k: brute_leaders(v) for k, v in data.items()}
 
 
