@@ -383,29 +383,34 @@ def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
     return RP.evaluation_report(model.predict(test), model)
 
 
-def travel_documents(spark: SparkSession, sf: str, part_rows: int = RP.PART_ROWS) -> DataFrame:
+def travel_documents(spark: SparkSession, sf: str) -> DataFrame:
     events = E.events_in_horizon(A.calendar_events(spark, sf), A.TODAY_TRAVEL, 6)
     subscriptions = A.local_subscriptions(spark, sf)
     recs = recommendations(spark, sf)
     return RP.travel_report(
         events, E.events_preview(events), merged(spark, sf), subscriptions, recs, TV.total_savings(recs),
-        TV.local_split(subscriptions), part_rows=part_rows,
+        TV.local_split(subscriptions),
     )
 
 
 @query(
     "snk_06_travel_report",
     S.build(
-        """SELECT user_id, coalesce(e.n, 0)::BIGINT AS events_scanned, least(coalesce(e.n, 0), 15)::BIGINT AS events_preview,
+        """SELECT user_id, '' AS month, coalesce(e.n, 0)::BIGINT AS events_scanned, least(coalesce(e.n, 0), 15)::BIGINT AS events_preview,
                   coalesce(m.n, 0)::BIGINT AS away_periods, coalesce(s.n, 0)::BIGINT AS processed_subscriptions,
-                  coalesce(r.n, 0)::BIGINT AS recommendations, coalesce(r.saved, 0)::DOUBLE AS total_savings,
+                  s.names AS subscription_names, 0::BIGINT AS recommendations, NULL AS recommended, coalesce(r.saved, 0)::DOUBLE AS total_savings,
                   coalesce(s.local, 0)::BIGINT AS local_count, coalesce(s.n - s.local, 0)::BIGINT AS portable_count
-           FROM (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE is_local) AS local FROM locals GROUP BY user_id) s
+           FROM (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE is_local) AS local, string_agg(name, ',' ORDER BY name) AS names
+                 FROM locals GROUP BY user_id) s
            FULL JOIN (SELECT user_id, count(*) AS n FROM merged GROUP BY user_id) m USING (user_id)
            FULL JOIN (SELECT user_id, count(*) AS n FROM calendar WHERE start_date < DATE '1998-01-01' + 182
                         AND (end_date > DATE '1998-01-01' OR start_date >= DATE '1998-01-01') GROUP BY user_id) e USING (user_id)
-           LEFT JOIN (SELECT user_id, count(*) AS n, sum(CAST(round_even(net_savings, 2) AS DECIMAL(18, 2))) AS saved
-                      FROM recommendations GROUP BY user_id) r USING (user_id)""",
+           LEFT JOIN (SELECT user_id, sum(CAST(round_even(net_savings, 2) AS DECIMAL(18, 2))) AS saved
+                      FROM recommendations GROUP BY user_id) r USING (user_id)
+           UNION ALL
+           SELECT user_id, strftime(CAST(departure_date AS DATE), '%Y-%m'), 0, 0, 0, 0, NULL, count(*),
+                  string_agg(subscription, ',' ORDER BY subscription, departure_date), 0, 0, 0
+           FROM recommendations GROUP BY ALL""",
         ["locals", "merged", "calendar", "recommendations"],
     ),
 )
@@ -414,6 +419,9 @@ def travel_report(spark: SparkSession, sf: str) -> DataFrame:
     numbers = ["events_scanned", "total_savings", "local_count", "portable_count"]
     return travel_documents(spark, sf).select(
         "user_id",
+        "month",
         *[F.coalesce(F.size(c), F.lit(0)).cast("bigint").alias(c) for c in lists],
         *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers],
+        F.array_join("processed_subscriptions.name", ",").alias("subscription_names"),
+        F.array_join("recommendations.subscription", ",").alias("recommended"),
     )

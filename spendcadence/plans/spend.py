@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -546,8 +547,9 @@ def account_summary(spark: SparkSession, sf: str) -> DataFrame:
 # --- sinks ----------------------------------------------------------------------
 
 
-def statement_documents(spark: SparkSession, sf: str, part_rows: int = RP.PART_ROWS) -> DataFrame:
-    rows = classified(spark, sf)
+def statement_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """All sections read one classified table, kept on the executors' disks once the documents are computed."""
+    rows = classified(spark, sf).persist(StorageLevel.DISK_ONLY)
     subscriptions, salary, expenses = (
         PT.detect_subscriptions(rows), PT.detect_salary(rows), PT.detect_expenses(rows)
     )
@@ -555,35 +557,51 @@ def statement_documents(spark: SparkSession, sf: str, part_rows: int = RP.PART_R
     return RP.statement_report(
         rows, salary, expenses, risks, RK.paycycle_map(salary, subscriptions), CH.detect_price_changes(rows),
         RN.predict_renewals(rows, A.TODAY_RENEWALS), RK.account_summary(risks, salary, expenses),
-        CL.category_counts(rows), part_rows=part_rows,
+        CL.category_counts(rows),
     )
 
 
-def _size(name: str):
-    return F.coalesce(F.size(name), F.lit(0)).cast("bigint")
+def _names(path: str):
+    return F.array_join(path, ",")
 
 
 @query(
     "snk_01_statement_report",
     S.build(
-        """SELECT a.account_id, p.amount AS salary, coalesce(r.n, 0)::BIGINT AS subscriptions, coalesce(e.n, 0)::BIGINT AS expenses,
-                  (CASE WHEN p.amount IS NULL THEN 0 ELSE 30 END)::BIGINT AS paycycle_map, a.n AS transactions, a.categories,
-                  coalesce(j.n, 0)::BIGINT + coalesce(d.n, 0)::BIGINT AS price_changes, coalesce(q.n, 0)::BIGINT AS renewal_predictions
-           FROM (SELECT account_id, count(*) AS n, count(DISTINCT category) AS categories FROM cls GROUP BY ALL) a
-           LEFT JOIN salary p USING (account_id)
-           LEFT JOIN (SELECT account_id, count(*) AS n FROM risks GROUP BY ALL) r USING (account_id)
-           LEFT JOIN (SELECT account_id, count(*) AS n FROM expenses GROUP BY ALL) e USING (account_id)
-           LEFT JOIN (SELECT account_id, count(*) AS n FROM jumps GROUP BY ALL) j USING (account_id)
-           LEFT JOIN (SELECT account_id, count(*) AS n FROM drift d WHERE NOT EXISTS (SELECT 1 FROM jumps j
-                WHERE j.account_id = d.account_id AND j.vendor = d.vendor AND j.date = d.date) GROUP BY ALL) d USING (account_id)
-           LEFT JOIN (SELECT account_id, count(*) AS n FROM profile GROUP BY ALL) q USING (account_id)""",
+        f"""SELECT account_id, '' AS month, amount AS salary, categories, subscriptions, expenses,
+                   (CASE WHEN amount IS NULL THEN 0 ELSE 30 END)::INT AS paycycle_days, NULL::BIGINT AS transactions,
+                   NULL AS transaction_texts, NULL AS price_changes, predictions
+            FROM (SELECT account_id, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM cls GROUP BY ALL)
+            LEFT JOIN (SELECT account_id, amount FROM salary) USING (account_id)
+            LEFT JOIN (SELECT account_id, string_agg(name, ',' ORDER BY risk_score DESC, name) AS subscriptions
+                       FROM risks GROUP BY ALL) USING (account_id)
+            LEFT JOIN (SELECT account_id, string_agg(name, ',' ORDER BY name) AS expenses FROM expenses GROUP BY ALL) USING (account_id)
+            LEFT JOIN (SELECT account_id, string_agg(subscription, ',' ORDER BY days_until_charge, subscription) AS predictions
+                       FROM ({_PREDICTION_SQL}) GROUP BY ALL) USING (account_id)
+            UNION ALL
+            SELECT account_id, month, NULL, NULL, NULL, NULL, 0, n, texts, changes, NULL
+            FROM (SELECT account_id, strftime(date, '%Y-%m') AS month, count(*) AS n,
+                         md5(string_agg(description, '|' ORDER BY seq)) AS texts FROM cls GROUP BY ALL)
+            LEFT JOIN (SELECT account_id, substr(date, 1, 7) AS month,
+                              string_agg(type, ',' ORDER BY date, subscription, type, new_amount) AS changes
+                       FROM ({CHANGES_SQL}) GROUP BY ALL) USING (account_id, month)""",
         ["cls", "salary", "risks", "expenses", "jumps", "drift", "profile"],
     ),
 )
 def statement_report(spark: SparkSession, sf: str) -> DataFrame:
-    lists = ["subscriptions", "expenses", "paycycle_map", "transactions", "categories", "price_changes", "renewal_predictions"]
+    transactions = F.col("transactions")
     return statement_documents(spark, sf).select(
-        "account_id", F.col("salary.amount").alias("salary"), *[_size(c).alias(c) for c in lists]
+        "account_id",
+        "month",
+        F.col("salary.amount").alias("salary"),
+        _names("categories.category").alias("categories"),
+        _names("subscriptions.subscription").alias("subscriptions"),
+        _names("expenses.name").alias("expenses"),
+        F.coalesce(F.size("paycycle_map"), F.lit(0)).alias("paycycle_days"),
+        F.when(transactions.isNotNull(), F.size(transactions).cast("bigint")).alias("transactions"),
+        F.md5(F.array_join("transactions.description", "|")).alias("transaction_texts"),
+        _names("price_changes.type").alias("price_changes"),
+        _names("renewal_predictions.subscription").alias("predictions"),
     )
 
 

@@ -397,11 +397,11 @@ def exam_alert(spark: SparkSession, sf: str) -> DataFrame:
     return exam_alerts(spark, sf)
 
 
-def usage_documents(spark: SparkSession, sf: str, part_rows: int = RP.PART_ROWS) -> DataFrame:
+def usage_documents(spark: SparkSession, sf: str) -> DataFrame:
     rows = verdicts(spark, sf)
     insights = PF.category_insight(rows)
     return RP.usage_report(
-        U.nest_verdict(rows), PF.portfolio_summary(rows, insights), insights, exam_alerts(spark, sf), part_rows=part_rows
+        U.nest_verdict(rows), PF.portfolio_summary(rows, insights), insights, exam_alerts(spark, sf)
     )
 
 
@@ -409,8 +409,9 @@ def usage_documents(spark: SparkSession, sf: str, part_rows: int = RP.PART_ROWS)
     "snk_05_usage_report",
     S.build(
         f"""SELECT user_id, coalesce(v.n, 0)::BIGINT AS results, coalesce(i.n, 0)::BIGINT AS category_insights, v.n AS "count",
-                   x.n IS NOT NULL AS has_exam_alert
-            FROM (SELECT user_id, count(*) AS n FROM verdicts GROUP BY user_id) v
+                   x.n IS NOT NULL AS has_exam_alert, v.apps, v.actions
+            FROM (SELECT user_id, count(*) AS n, string_agg(app_name, ',' ORDER BY app_name) AS apps,
+                         string_agg(action, ',' ORDER BY app_name) AS actions FROM verdicts GROUP BY user_id) v
             FULL JOIN (SELECT user_id, count(*) AS n FROM ({_EXAMS_SQL}) WHERE user_id % 4 = 0
                          AND user_id IN (SELECT user_id FROM events) GROUP BY user_id) x USING (user_id)
             LEFT JOIN (SELECT user_id, count(*) AS n FROM insights GROUP BY user_id) i USING (user_id)""",
@@ -423,5 +424,7 @@ def usage_report(spark: SparkSession, sf: str) -> DataFrame:
         *[F.coalesce(F.size(c), F.lit(0)).cast("bigint").alias(c) for c in ("results", "category_insights")],
         "count",
         F.col("exam_alert").isNotNull().alias("has_exam_alert"),
+        F.array_join("results.app_name", ",").alias("apps"),
+        F.array_join("results.action", ",").alias("actions"),
     )
 

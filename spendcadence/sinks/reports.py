@@ -1,9 +1,8 @@
 """Report documents and flat exports.
 
-A report is one nested document per account or user.  A list that may grow
-without bound (transactions, charges of a busy account) is cut into parts of at
-most ``part_rows`` entries; part 0 is the whole document of every account whose
-lists fit, so nothing is dropped and no task holds more than one part.
+A report has one header document per account or user, with what its meaning bounds (a salary, the days of a
+month, vendors, categories, subscriptions), and one document per calendar month with what time keeps adding:
+transactions, price changes, travel recommendations.  The rule is the same for every account, whatever its size.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spendcadence.operators.travel_model import TravelModel, evaluate_model
 
-PART_ROWS = 10_000
+HEADER = ""  # the month of a header document
 
 
 def transaction_export(classified: DataFrame, key: str = "account_id") -> DataFrame:
@@ -27,47 +26,37 @@ def transaction_export(classified: DataFrame, key: str = "account_id") -> DataFr
 
 
 def section(
-    rows: DataFrame, key: str, name: str, entry: Column, order: Sequence[str], seq: str | None = None,
-    part_rows: int = PART_ROWS,
+    rows: DataFrame, key: str, name: str, entry: Column, order: Sequence[str], month: Column | None = None
 ) -> DataFrame:
-    """(key, part, name): sorted entries in bounded parts.
-
-    Parts of an oversized list follow ``seq`` blocks (seq is unique per key)
-    or, without one, an even hash split.
-    """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    spread = (
-        F.floor(F.col(seq) / part_rows)
-        if seq
-        else F.pmod(F.xxhash64(*order), F.ceil(F.col("_n") / part_rows))
-    )
-    part = F.when(F.col("_n") <= part_rows, F.lit(0)).otherwise(spread + 1).cast("bigint")
+    """(key, month, name): sorted entries, in the header or by calendar month."""
     sort_key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
 
     def by_key(a: Column, b: Column) -> Column:
         return F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
 
     return (
-        rows.join(sizes, key)
-        .withColumn("part", part)
-        .groupBy(key, "part")
+        rows.groupBy(key, (F.lit(HEADER) if month is None else month).alias("month"))
         .agg(F.array_sort(F.collect_list(F.struct(sort_key.alias("k"), entry.alias("e"))), by_key).alias("_sorted"))
-        .select(key, "part", F.col("_sorted.e").alias(name))
+        .select(key, "month", F.col("_sorted.e").alias(name))
     )
 
 
 def single(rows: DataFrame, key: str, name: str, entry: Column) -> DataFrame:
-    """(key, part 0, name) for sections with one record per key."""
-    return rows.select(key, F.lit(0).cast("bigint").alias("part"), entry.alias(name))
+    """(key, header, name) for sections with one record per key."""
+    return rows.select(key, F.lit(HEADER).alias("month"), entry.alias(name))
+
+
+def month_of(day: str) -> Column:
+    return F.date_format(F.col(day).cast("date"), "yyyy-MM")
 
 
 def assemble_document(sections: Sequence[DataFrame], key: str) -> DataFrame:
-    """All sections side by side, one row per key and part (one shuffle, no chain of joins)."""
+    """All sections side by side, one row per key and month (one shuffle, no chain of joins)."""
     together = sections[0]
     for more in sections[1:]:
         together = together.unionByName(more, allowMissingColumns=True)
-    names = [c for c in together.columns if c not in (key, "part")]
-    return together.groupBy(key, "part").agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
+    names = [c for c in together.columns if c not in (key, "month")]
+    return together.groupBy(key, "month").agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
 
 
 def statement_report(
@@ -81,9 +70,8 @@ def statement_report(
     summary: DataFrame,
     categories: DataFrame,
     key: str = "account_id",
-    part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """One nested document per account (per part for oversized ones).
+    """One nested header document per account, and one per month with transactions and price changes.
 
     Accounts without a salary keep their other sections.
     """
@@ -91,8 +79,8 @@ def statement_report(
     def record(df: DataFrame) -> Column:
         return F.struct(*[c for c in df.columns if c != key])
 
-    def listed(df: DataFrame, name: str, order: Sequence[str], seq: str | None = None) -> DataFrame:
-        return section(df, key, name, record(df), order, seq, part_rows)
+    def listed(df: DataFrame, name: str, order: Sequence[str], month: Column | None = None) -> DataFrame:
+        return section(df, key, name, record(df), order, month)
 
     export = classified.select(key, "seq", *[c for c in transaction_export(classified, key).columns if c != key])
     export = export.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
@@ -102,19 +90,18 @@ def statement_report(
         single(salary, key, "salary", record(salary)),
         single(summary, key, "summary", record(summary)),
         listed(categories, "categories", ["category"]),
-        section(risk_rows, key, "subscriptions", record(risks), ["_low_first", "subscription"], None, part_rows),
+        section(risk_rows, key, "subscriptions", record(risks), ["_low_first", "subscription"]),
         listed(expenses, "expenses", ["name"]),
         listed(cycle, "paycycle_map", ["day"]),
-        section(export, key, "transactions", tx_record, ["seq"], "seq", part_rows),
-        listed(changes, "price_changes", ["date", "subscription", "type", "new_amount"]),
+        section(export, key, "transactions", tx_record, ["seq"], month_of("date")),
+        listed(changes, "price_changes", ["date", "subscription", "type", "new_amount"], month_of("date")),
         listed(predictions, "renewal_predictions", ["days_until_charge", "subscription"]),
     ]
     return assemble_document(sections, key)
 
 
 def usage_report(
-    nested: DataFrame, portfolio: DataFrame, insights: DataFrame, alerts: DataFrame, key: str = "user_id",
-    part_rows: int = PART_ROWS,
+    nested: DataFrame, portfolio: DataFrame, insights: DataFrame, alerts: DataFrame, key: str = "user_id"
 ) -> DataFrame:
     """Verdicts, portfolio with its categories, count and exam alert per user."""
 
@@ -124,9 +111,9 @@ def usage_report(
     counts = portfolio.select(key, F.col("subscriptions").alias("count"))
     insight_rows = insights.withColumn("_high_first", -F.col("total_monthly_cost"))
     sections = [
-        section(nested, key, "results", record(nested), ["app_name"], None, part_rows),
+        section(nested, key, "results", record(nested), ["app_name"]),
         single(portfolio, key, "portfolio", record(portfolio)),
-        section(insight_rows, key, "category_insights", record(insights), ["_high_first", "category"], None, part_rows),
+        section(insight_rows, key, "category_insights", record(insights), ["_high_first", "category"]),
         single(counts, key, "count", F.col("count")),
         single(alerts, key, "exam_alert", record(alerts)),
     ]
@@ -142,9 +129,8 @@ def travel_report(
     totals: DataFrame,
     split: DataFrame,
     key: str = "user_id",
-    part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Events scanned, preview, away periods, subscriptions, recommendations and totals per user."""
+    """Events scanned, preview, away periods, subscriptions and totals per user; recommendations by month of departure."""
 
     def record(df: DataFrame) -> Column:
         return F.struct(*[c for c in df.columns if c != key])
@@ -152,12 +138,12 @@ def travel_report(
     scanned = events.groupBy(key).agg(F.count(F.lit(1)).alias("events_scanned"))
     sections = [
         single(scanned, key, "events_scanned", F.col("events_scanned")),
-        section(preview, key, "events_preview", record(preview), ["position"], None, part_rows),
-        section(away, key, "away_periods", record(away), ["departure_date", "reason"], None, part_rows),
-        section(subscriptions, key, "processed_subscriptions", record(subscriptions), ["name"], None, part_rows),
+        section(preview, key, "events_preview", record(preview), ["position"]),
+        section(away, key, "away_periods", record(away), ["departure_date", "reason"]),
+        section(subscriptions, key, "processed_subscriptions", record(subscriptions), ["name"]),
         section(
             recommendations, key, "recommendations", record(recommendations),
-            ["subscription", "departure_date"], None, part_rows,
+            ["subscription", "departure_date"], month_of("departure_date"),
         ),
         single(totals, key, "total_savings", F.col("total_savings")),
         single(split, key, "local_count", F.col("local_count")),
