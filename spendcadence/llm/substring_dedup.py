@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from spendcadence.llm.components import components, hub_join
 from spendcadence.llm.repeats import repeated_rows, travel_keys
-from spendcadence.llm.shared import cut, fresh
+from spendcadence.llm.shared import cut, fresh, likely
 from spendcadence.llm.shingles import BASE, INVERSE, PLACE, WHITE, WIDTH, blocks, buffers, mixed, powers, shingle_sets, word_hashes
 
 LEAST_WORDS = 20
@@ -255,7 +255,8 @@ def repeated_spans(docs: DataFrame, percent: int, id_col: str, text_col: str) ->
     )
     span = F.pmod("packed", F.lit(1 << SPAN)).cast("int")
     texts = (
-        rows.join(shown.hint("shuffle_hash"), "id")
+        likely(rows, shown, "id")
+        .join(shown.hint("shuffle_hash"), "id")
         .select(
             "content",
             F.substring(F.encode("text", "UTF-8"), (F.shiftright("packed", SPAN) + 1).cast("int"), span)
