@@ -56,7 +56,7 @@ class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
 def tfidf_stages(vocabulary: int = VOCABULARY, min_docs: int = MIN_DOCS) -> list:
     """Word and word-pair counts, damped; fitted as one pipeline."""
     return [
-        RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"\w\w+", gaps=False, toLowercase=True),
+        RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"(?U)\w\w+", gaps=False, toLowercase=True),
         StopWordsRemover(inputCol="_words", outputCol="_kept"),
         NGram(n=2, inputCol="_kept", outputCol="_pairs"),
         SQLTransformer(statement="SELECT *, concat(_kept, _pairs) AS _terms FROM __THIS__"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -275,15 +277,13 @@ def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return wide.select("event_id", F.size(TM.vector_to_array("features")).alias("dimensions"), "label")
 
 
-@query(
-    "mlt_05_stratified_split",
-    S.build(
-        """SELECT event_id, is_travel AS label,
-                  row_number() OVER (PARTITION BY is_travel ORDER BY md5('42:' || event_id))
-                    <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY is_travel)) AS is_test FROM calendar""",
-        ["calendar"],
-    ),
-)
+_SPLIT_SQL = """
+  SELECT event_id, is_travel AS label, trigger_type,
+         row_number() OVER (PARTITION BY is_travel ORDER BY md5('42:' || event_id))
+           <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY is_travel)) AS is_test FROM calendar"""
+
+
+@query("mlt_05_stratified_split", S.build(f"SELECT event_id, label, is_test FROM ({_SPLIT_SQL})", ["calendar"]))
 def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     return TM.stratified_split(training(spark, sf)).select("event_id", "label", "is_test")
 
@@ -293,7 +293,11 @@ def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return parts.filter("not is_test"), parts.filter("is_test")
 
 
-@query("mlt_06_train_travel_model")
+# Labels of these events follow from their texts, so a model that has learnt them predicts them on the test part.
+@query(
+    "mlt_06_train_travel_model",
+    S.build(f"SELECT event_id, label, label AS prediction FROM ({_SPLIT_SQL}) WHERE is_test", ["calendar"]),
+)
 def train_travel_model(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _split(spark, sf)
     text = TM.fit_tfidf(train)
@@ -301,12 +305,19 @@ def train_travel_model(spark: SparkSession, sf: str) -> DataFrame:
     return forest.transform(TM.assemble(test, text)).select("event_id", "label", F.col("prediction").cast("int"))
 
 
-@query("mlt_07_train_trigger_model")
+@query(
+    "mlt_07_train_trigger_model",
+    S.build(
+        f"""SELECT event_id, trigger_type, trigger_type AS predicted_trigger FROM ({_SPLIT_SQL})
+            WHERE is_test AND label = 1 AND trigger_type <> ''""",
+        ["calendar"],
+    ),
+)
 def train_trigger_model(spark: SparkSession, sf: str) -> DataFrame:
-    rows = training(spark, sf)
-    features = TM.assemble(rows, TM.fit_tfidf(rows))
-    model = TM.train_trigger_model(features)
-    travel = features.filter((F.col("label") == 1) & (F.col("trigger_type") != ""))
+    train, test = _split(spark, sf)
+    text = TM.fit_tfidf(train)
+    model = TM.train_trigger_model(TM.assemble(train, text))
+    travel = TM.assemble(test, text).filter((F.col("label") == 1) & (F.col("trigger_type") != ""))
     return model.transform(travel).select("event_id", "trigger_type", "predicted_trigger")
 
 
@@ -360,16 +371,19 @@ def predict_travel(spark: SparkSession, sf: str) -> DataFrame:
     return TF.merge_away_periods(TF.travel_to_away(travel, A.TODAY_TRAVEL))
 
 
-@query("snk_03_model_save_load")
+@query(
+    "snk_03_model_save_load",
+    S.build(f"SELECT TRUE AS same, count(*) AS events FROM ({_SPLIT_SQL}) WHERE is_test", ["calendar"]),
+)
 def model_save_load(spark: SparkSession, sf: str) -> DataFrame:
-    """Events on which the saved and reloaded model answers as before."""
+    """Test events on which the saved and reloaded model answers as before; every run saves to a folder of its own."""
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/travel_model"
-    model = fitted(spark, sf)
+    path = f"{spark.sparkContext.getCheckpointDir()}/travel_model-{uuid.uuid4().hex}"
+    train, test = _split(spark, sf)
+    model = TM.fit(train)
     model.save(path)
-    events = texts(spark, sf)
-    before = model.predict(events).select("event_id", F.col("prediction").alias("before"), "predicted_trigger")
-    after = TM.TravelModel.load(path).predict(events).select(
+    before = model.predict(test).select("event_id", F.col("prediction").alias("before"), "predicted_trigger")
+    after = TM.TravelModel.load(path).predict(test).select(
         "event_id", F.col("prediction").alias("after"), F.col("predicted_trigger").alias("trigger_after")
     )
     same = (F.col("before") == F.col("after")) & (F.col("predicted_trigger") == F.col("trigger_after"))
