@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spendcadence.functions import text as T
 from spendcadence.functions.fence import compute_once
+from spendcadence.operators.ordered import with_rank
 
 # Accepted header spellings, first non-empty one wins.
 ALIASES = {
@@ -30,6 +31,52 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
+MAX_COLUMNS = 32  # cells read from a row of a statement file
+FILE_NAME = r"^(\d+)_(.+)\.csv$"
+
+
+def read_statement_files(spark: SparkSession, path: str) -> DataFrame:
+    """Text cells of CSV files named ``<account>_<statement>.csv``, each laid out by its own header.
+
+    Rows carry account_id, statement_id and seq, which numbers an account's rows by statement and place in the
+    file.  Files can be split: a row's place is its block's offset and its number within the block.
+    """
+    names = [f"_c{i}" for i in range(MAX_COLUMNS)]
+    lines = spark.read.schema(", ".join(f"{c} string" for c in names)).csv(path).select(
+        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("_file"),
+        F.col("_metadata.file_block_start").alias("_at"),
+        F.monotonically_increasing_id().alias("_row"),
+        F.array(*names).alias("_cells"),
+    )
+    titles = F.transform("_cells", lambda c: F.lower(T.strip(F.regexp_replace(F.coalesce(c, F.lit("")), "^\ufeff", ""))))
+    lines = lines.withColumn("_titles", titles)
+    heading = F.arrays_overlap("_titles", F.lit(ALIASES["date"])) & F.arrays_overlap("_titles", F.lit(ALIASES["description"]))
+    lines = lines.withColumn("_heading", heading)
+    headers = (
+        lines.filter("_heading")
+        .groupBy("_file")
+        .agg(F.min_by("_titles", F.struct("_at", "_row")).alias("_header"))
+    )
+
+    def cell(spelling: str) -> Column:
+        return T.blank_to_null(F.get("_cells", (F.array_position("_header", spelling) - 1).cast("int")))
+
+    laid_out = (
+        lines.filter("NOT _heading")
+        .join(headers, "_file")
+        .select(
+            F.regexp_extract("_file", FILE_NAME, 1).try_cast("bigint").alias("account_id"),
+            F.regexp_extract("_file", FILE_NAME, 2).alias("statement_id"),
+            "_at",
+            "_row",
+            *[F.coalesce(*[cell(s) for s in spellings]).alias(target) for target, spellings in ALIASES.items()],
+        )
+    )
+    order = ["statement_id", "_at", "_row"]
+    numbered = with_rank(laid_out, ["account_id"], order, F.col("statement_id"), F.lit(0), "seq")
+    return numbered.select("account_id", "statement_id", F.col("seq").cast("bigint").alias("seq"), *ALIASES)
+
+
 def normalise_headers(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Map any known header spelling (case and blanks ignored) to the six standard text columns."""
     by_name = {name.lower().strip().lstrip("﻿"): name for name in raw.columns}

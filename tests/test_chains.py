@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from spendcadence.operators import patterns
-from spendcadence.sources import statement_text
+from spendcadence.sources import statement_csv, statement_text
 
 HEAD = "Statement Period: 01{0}24 to 28{0}24\n"
 
@@ -27,3 +27,26 @@ def test_long_pages_keep_line_order(spark):
     tx = statement_text.parse_statements(pages, 2024).orderBy("seq")
     assert [r.credit for r in tx.collect()] == [k + 1.0 for k in range(3000)]
     assert tx.agg(F.count_distinct("seq")).first()[0] == 3000
+
+
+def test_files_of_different_layouts(spark, tmp_path):
+    (tmp_path / "1_a.csv").write_text('Date,Description,Debit,Credit,Balance\n2024-01-02,"POS, SHOP",10.00,,90\n2024-01-03,PAY,,50.00,140\n')
+    (tmp_path / "1_b.csv").write_text("﻿Balance,Amount,Narrative,Post Date\n1,-5.00,FEE,04/02/2024\n")
+    (tmp_path / "2_a.csv").write_text("no header here\nDETAILS,Withdrawal,Deposit,Value Date\nX,,7.00,2024-03-01\n")
+    rows = statement_csv.read_statement_rows(
+        statement_csv.read_statement_files(spark, str(tmp_path)), ["account_id", "statement_id", "seq"]
+    )
+    found = [tuple(r) for r in rows.withColumn("date", F.col("date").cast("string")).orderBy("account_id", "seq").collect()]
+    assert [(r[0], r[1], r[4], r[5], r[6]) for r in found] == [
+        (1, "a", "POS, SHOP", 10.0, 0.0), (1, "a", "PAY", 0.0, 50.0), (1, "b", "FEE", 5.0, 0.0), (2, "a", "X", 0.0, 7.0),
+    ]
+    assert [r[2] for r in found if r[0] == 1] == [1, 2, 3]
+
+
+def test_split_files_keep_their_order(spark, tmp_path):
+    lines = "\n".join(f"2024-01-01,row {k},{k + 1}.00,,0" for k in range(4000))
+    (tmp_path / "7_x.csv").write_text("Date,Description,Debit,Credit,Balance\n" + lines + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    rows = statement_csv.read_statement_files(spark, str(tmp_path)).orderBy("seq").collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.description for r in rows] == [f"row {k}" for k in range(4000)]
