@@ -394,7 +394,7 @@ def model_save_load(spark: SparkSession, sf: str) -> DataFrame:
 def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _split(spark, sf)
     model = TM.fit(train)
-    return RP.evaluation_report(model.predict(test), model)
+    return RP.evaluation_report(model.predict(test), model, cv=TM.cross_validate(train))
 
 
 def travel_documents(spark: SparkSession, sf: str) -> DataFrame:
