@@ -84,6 +84,10 @@ def labeled_events(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_labeled_events(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled training events from CSV with a header."""
-    return labeled_events(spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path))
+def read_labeled_events(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """Labelled training events from CSV with a header.
+
+    Files are read in parts by many tasks; where quoted cells hold ``line_breaks``, a file is read by one.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", line_breaks)
+    return labeled_events(reader.csv(path))

@@ -149,3 +149,12 @@ def test_usage_and_travel_documents(spark, sf_small):
 def test_export_columns(spark, sf_small):
     export = RP.transaction_export(CL.classify_transactions(A.transactions(spark, sf_small)))
     assert export.columns == ["account_id", "date", "description", "debit", "credit", "category", "vendor_name", "is_subscription"]
+
+
+def test_labeled_event_files(spark, tmp_path):
+    text = 'event_summary,event_location,event_description,is_travel,trigger_type\nFlight,Miami,"to ""see""",1,vacation\nCall,,{},0,\n'
+    (tmp_path / "plain.csv").write_text(text.format("daily"))
+    rows = E.read_labeled_events(spark, str(tmp_path / "plain.csv")).orderBy("label").collect()
+    assert [(r["label"], r["trigger_type"]) for r in rows] == [(0, ""), (1, "vacation")]
+    (tmp_path / "broken.csv").write_text(text.format('"two\nlines"'))
+    assert E.read_labeled_events(spark, str(tmp_path / "broken.csv"), line_breaks=True).count() == 2
