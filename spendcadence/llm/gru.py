@@ -220,34 +220,48 @@ class Network:
             return self
         rng = np.random.default_rng(seed)
         label = np.asarray(labels, np.int64)
-        split_texts = [split(t) for t in texts]
-        lengths = np.fromiter(map(len, split_texts), np.int64, len(texts))
         vocabulary: dict[str, int] = {PADDING: 0}
-        ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in padded(split_texts)), np.int64)
-        words = Grams.of(list(vocabulary))
+        by_text, lengths = [], np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            words = split(text)
+            lengths[k] = len(words)
+            by_text.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in padded([words])), np.int32))
+        ids = np.concatenate(by_text)
+        known = Grams.of(list(vocabulary))
+        size = len(vocabulary)
+        del vocabulary, by_text
         begins, owner = windows(lengths)
-        own, gram = self.learn_evidence(words, ids, lengths, label)
+        own, gram = self.learn_evidence(known, ids, lengths, label)
 
         def rows(which: np.ndarray) -> np.ndarray:
             """Word rows of windows; a toxic text's words have rows of their own, without its own evidence."""
-            return (ids[begins[which][:, None] + np.arange(WINDOW)] + label[owner[which]][:, None] * len(vocabulary)).T
-
-        both = Grams(
-            np.tile(words.word, 2),
-            np.tile(words.gram, 2),
-            np.concatenate([words.first, words.first + len(words.gram)]),
-            np.tile(words.counts, 2),
-        )
+            return (ids[begins[which][:, None] + np.arange(WINDOW)] + label[owner[which]][:, None] * size).T
+
+        def row_inputs(used: np.ndarray) -> tuple[Grams, np.ndarray]:
+            picked, at = self.picked(known, used % size)
+            of = np.repeat(used // size, picked.counts)
+            return picked, self.inputs(picked, own[used // size, used % size], gram[of, at])
+
+        def all_projected() -> dict:
+            fed = {s: (np.empty((2 * size, 2 * HIDDEN), np.float32), np.empty((2 * size, HIDDEN), np.float32)) for s in "fb"}
+            for i in range(0, 2 * size, 20_000):
+                part = np.arange(i, min(i + 20_000, 2 * size))
+                for side, made in self.projected(row_inputs(part)[1]).items():
+                    for whole, piece in zip(fed[side], made):
+                        whole[part] = piece
+            return fed
+
         toxic = label == 1
         weight = np.where(toxic, 1.0, max(0.2, toxic.sum() / max(1, (~toxic).sum()) * 2)).astype(np.float32)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         step = 0
         for epoch in range(epochs):
             if epoch % 4 == 0:
-                fed = self.projected(self.inputs(both, own, gram))
+                fed = all_projected()
                 logit = np.concatenate(
                     [self.logits(fed, rows(np.arange(i, min(i + 4096, len(owner))))) for i in range(0, len(owner), 4096)]
                 )
+                del fed
                 order = np.lexsort((-logit, owner))
                 top = order[np.unique(owner[order], return_index=True)[1]]
             calm = np.flatnonzero(~toxic[owner])
@@ -256,12 +270,11 @@ class Network:
             for i in range(0, len(chosen), 64):
                 which = chosen[i : i + 64]
                 used, at = np.unique(rows(which), return_inverse=True)
-                picked = self.picked(both, used)
-                inputs = self.inputs(picked[0], own[used], gram[picked[1]])
+                picked, inputs = row_inputs(used)
                 g, d_inputs = self.gradients(inputs, at.reshape(WINDOW, -1), label[owner[which]], weight[owner[which]])
                 step += 1
                 self.adam(g, moments, step)
-                self.move_vectors(picked[0], d_inputs)
+                self.move_vectors(picked, d_inputs)
         return self
 
     @staticmethod
@@ -272,7 +285,7 @@ class Network:
         return Grams(grams.word[rows], grams.gram[at], first, counts), at
 
     def learn_evidence(self, words: Grams, ids: np.ndarray, lengths: np.ndarray, label: np.ndarray):
-        """Set the evidence tables; returns evidence by word and gram, first for other texts, then for toxic ones."""
+        """Set the evidence tables; returns evidence by word and by gram, a row for other texts and one for toxic ones."""
         texts = (int((label == 1).sum()), int((label == 0).sum()))
         lengths = np.maximum(lengths, WINDOW)
         ends = np.cumsum(lengths)
@@ -287,7 +300,7 @@ class Network:
             setattr(self, f"{k}_evidence", evidence(p, n, texts))
             calm = evidence(p, np.maximum(n - 1, 0), (texts[0], max(0, texts[1] - 1)))
             toxic = evidence(np.maximum(p - 1, 0), n, (max(0, texts[0] - 1), texts[1]))
-            out.append(np.concatenate([calm[buckets[k]], toxic[buckets[k]]]))
+            out.append(np.stack([calm[buckets[k]], toxic[buckets[k]]]))
         return out
 
     def adam(self, g: dict, moments: dict, step: int, rate: float = 0.01) -> None:

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from spendcadence.llm.gru import Network, Scorer
 
 MOST = (3000, 1000)  # training rows without and with the label
-LONGEST = 60_000
+LONGEST = 30_000
 THRESHOLD = 0.3
 TOGETHER = 256  # texts scored at once
 FOLDS, HELD_OUT = 4, 2
