@@ -7,8 +7,10 @@ between sets then save work, and none can lose a link:
 
 * equal sets are one class, represented by its smallest id;
 * in a list, which is ordered by set size, an entry meets only entries of sizes that can reach the threshold
-  (the rest of the list is skipped at once), whose positions leave enough tokens, and whose 512-bit parity
-  sketch is near enough (differing bits are a lower bound of differing tokens);
+  (the rest of the list is skipped at once), and whose 512-bit parity sketch is near enough (differing bits are
+  a lower bound of differing tokens);
+* a pair's number of lists and its last positions in them bound what it can share from above: behind the last
+  common position nothing but the rest of either set is left;
 * a set's answers are derived from those of a set found similar to it: first every set is tried against one
   partner only; sets linked that way share their answers, lists whose entries are all linked already are
   skipped whole, and elsewhere only pairs across components remain.  These are all tried, by the exact sets.
@@ -28,19 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendcadence.llm.components import components, hub_join
-from spendcadence.llm.shared import cut, filled, fresh
+from spendcadence.llm.repeats import repeated_rows, travel_keys
+from spendcadence.llm.shared import cut, filled, fresh, likely, written
 from spendcadence.llm.shingles import mixed, shingle_sets
 
 FREQUENT = 200_000  # tokens that come last in the order, at most
 OFTEN_HERE, OFTEN = 4, 24  # documents of a batch, and summed over batches, from which a token counts as frequent
 TOKENS_TOGETHER = 4_000_000  # tokens counted at once
 SKETCH_BITS = 512
-LIST_BLOCK = 4096
+LIST_BLOCK = 512
 ROWS_TOGETHER = 50_000  # entries worked on at once, unless a list's blocks hold more
 
 
@@ -102,17 +105,17 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def poster(frequent: np.ndarray, percent: int):
-    """Posts the prefix of every set, once for equal sets of a batch."""
+    """Posts the prefix of every set, once for equal sets of a batch: rows (key, hash, id, at, known)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            first: dict[tuple[int, int], int] = {}
-            prefixes: dict[tuple[int, int], np.ndarray] = {}
+            first: dict[bytes, int] = {}
+            prefixes: dict[bytes, np.ndarray] = {}
             for row, tokens in enumerate(shingle_sets(batch.column(1))):
-                if not len(tokens) or ids[row] is None:
+                if not len(tokens):
                     continue
-                key = (len(tokens), int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()[:8], "little", signed=True))
+                key = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
                 if key in first:
                     if ids[row] < ids[first[key]]:
                         first[key] = row
@@ -127,33 +130,43 @@ def poster(frequent: np.ndarray, percent: int):
                 continue
             counts = [len(p) for p in prefixes.values()]
             owners = np.repeat([first[key] for key in prefixes], counts)
-            classes = np.repeat(np.array([key[1] for key in prefixes], np.int64), counts)
+            tokens = np.concatenate(list(prefixes.values()))
+            at = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
+            order = np.lexsort((owners, tokens))
+            tokens, owners, at = tokens[order], owners[order], at[order]
+            key, travels, known = travel_keys(tokens, owners.astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(signed(np.concatenate(list(prefixes.values())))),
+                    pa.array(signed(key)),
+                    pa.array(signed(tokens), mask=travels),
                     batch.column(0).take(pa.array(owners)),
-                    pa.array(classes),
-                    pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in counts])),
+                    pa.array(at),
+                    pa.array(known),
                 ],
-                ["token", "id", "class", "at"],
+                ["key", "hash", "id", "at", "known"],
             )
 
     return work
 
 
+def owners(batch: pa.RecordBatch) -> np.ndarray:
+    """A number for each row that differs from the row before where the id does."""
+    ids = batch.column(batch.schema.names.index("id"))
+    return ids.to_numpy(zero_copy_only=False)
+
+
 def threshold(sizes: np.ndarray, percent: int) -> np.ndarray:
     """Tokens that sets of these summed sizes must share."""
     return -(-percent * sizes // (100 + percent))
 
 
-def near_pairs(lists: np.ndarray, sizes, at, sketches, labels, percent: int, one_each: bool):
+def near_pairs(lists: np.ndarray, sizes, sketches, labels, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of entries of one list that may be similar and bear different labels.
 
-    Entries come ordered by list and size.  ``one_each`` keeps looking only until an entry has a partner.
+    Entries come ordered by list and size.
     """
-    found_i, found_j = [], []
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     active = np.arange(len(lists) - 1)
-    lonely = np.ones(len(lists), bool)
     step = 1
     while len(active):
         other = active + step
@@ -162,28 +175,19 @@ def near_pairs(lists: np.ndarray, sizes, at, sketches, labels, percent: int, one
         active, other = active[open_], other[open_]
         open_ = sizes[other] * percent <= sizes[active] * 100
         active, other = active[open_], other[open_]
-        i, j = active, other
-        if one_each:
-            wanted = lonely[i] | lonely[j]
-            i, j = i[wanted], j[wanted]
-        need = threshold(sizes[i] + sizes[j], percent)
-        good = (labels[i] != labels[j]) & (np.minimum(sizes[i] - at[i], sizes[j] - at[j]) >= need)
-        i, j, need = i[good], j[good], need[good]
+        differ = labels[active] != labels[other]
+        i, j = active[differ], other[differ]
+        both = sizes[i] + sizes[j]
         differing = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64)
-        good = differing <= sizes[i] + sizes[j] - 2 * need
-        i, j = i[good], j[good]
-        found_i.append(i)
-        found_j.append(j)
-        if one_each:
-            lonely[i] = lonely[j] = False
+        good = differing <= both - 2 * threshold(both, percent)
+        found_i.append(i[good])
+        found_j.append(j[good])
         step += 1
-    if not found_i:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def pair_finder(percent: int, one_each: bool):
-    """Works on entries (token, part, id, n, at, sketch, label) that come ordered by token, part and n."""
+def pair_finder(percent: int):
+    """Rows (a, b, n_a, n_b, at_a, at_b) from entries (token, part, id, n, at, sketch, label) ordered by token, part, n."""
 
     def pairs(entries: pa.Table) -> pa.RecordBatch:
         token = entries["token"].to_numpy()
@@ -191,11 +195,10 @@ def pair_finder(percent: int, one_each: bool):
         new = np.r_[True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])]
         sketches = np.frombuffer(b"".join(entries["sketch"].to_pylist()), np.uint64).reshape(len(token), -1)
         labels = pa.compute.dictionary_encode(entries["label"].combine_chunks()).indices.to_numpy()
-        i, j = near_pairs(
-            np.cumsum(new), entries["n"].to_numpy(), entries["at"].to_numpy(), sketches, labels, percent, one_each
-        )
-        ids = entries["id"].combine_chunks()
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(i)), ids.take(pa.array(j))], ["a", "b"])
+        i, j = near_pairs(np.cumsum(new), entries["n"].to_numpy(), sketches, labels, percent)
+        sides = [entries.select(["id", "n", "at"]).take(pa.array(k)).combine_chunks() for k in (i, j)]
+        columns = [side[name].combine_chunks() for name in ("id", "n", "at") for side in sides]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "n_a", "n_b", "at_a", "at_b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -221,35 +224,76 @@ def pair_finder(percent: int, one_each: bool):
     return work
 
 
-def candidate_pairs(entries: DataFrame, percent: int, one_each: bool) -> DataFrame:
-    """Distinct (a, b), a > b, of entries (token, id, n, at, sketch, label) that may be linked and differ in label."""
-    mixed_lists = (
-        entries.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("_size"), F.min("label").alias("_low"), F.max("label").alias("_high"))
-        .filter("_low <> _high")
-        .select("token", F.ceil(F.col("_size") / LIST_BLOCK).cast("int").alias("_blocks"))
+def possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, shared), a > b, of the pairs (a, b, n_a, n_b, at_a, at_b; a row for each list) that may reach the threshold.
+
+    ``shared`` lists held both sets; behind their last place in common at most the rest of the smaller can be shared.
+    """
+    swapped = F.col("a") < F.col("b")
+
+    def side(one: str, other: str) -> Column:
+        return F.when(swapped, F.col(other)).otherwise(F.col(one))
+
+    names = [("a", "b"), ("b", "a"), ("n_a", "n_b"), ("n_b", "n_a"), ("at_a", "at_b"), ("at_b", "at_a")]
+    counted = (
+        pairs.select(*[side(one, other).alias(one) for one, other in names])
+        .groupBy("a", "b", "n_a", "n_b")
+        .agg(F.count(F.lit(1)).alias("shared"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    )
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
+    reach = (F.col("shared") + rest) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    return counted.filter(reach).select("a", "b", "shared")
+
+
+def first_partners(entries: DataFrame, percent: int) -> DataFrame:
+    """For each set one other (a, b): the one it meets most often as the smallest id of a list."""
+    least = entries.groupBy("token").agg(F.min(F.struct("id", "n", "at")).alias("_least"))
+    met = hub_join(entries, least, "token").select(
+        F.col("id").alias("a"), F.col("_least.id").alias("b"), F.col("n").alias("n_a"), F.col("_least.n").alias("n_b"),
+        F.col("at").alias("at_a"), F.col("_least.at").alias("at_b"),
+    )
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    found = possible(met.filter((F.col("a") != F.col("b")) & near), percent)
+    return found.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+
+
+def remaining_pairs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b), a > b, of entries (token, id, n, at, label) that may be linked and differ in label."""
+    lists = entries.groupBy("token").agg(
+        F.count(F.lit(1)).alias("_size"),
+        F.min("label").alias("_low"),
+        F.max("label").alias("_high"),
+        (F.min("n") * 100 >= F.max("n") * percent).alias("_near"),
+    )
+    # Lists of linked sets only are skipped whole, and so are two sets of sizes too different.
+    lists = lists.filter((F.col("_low") != F.col("_high")) & ((F.col("_size") > 2) | F.col("_near"))).select(
+        "token", F.ceil(F.col("_size") / LIST_BLOCK).cast("int").alias("_blocks")
     )
     # A list of several blocks is dealt as all pairs of blocks.
     block = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
     dealt = (
-        hub_join(entries, mixed_lists, "token")
+        hub_join(entries, lists, "token")
+        .join(nodes.select("id", "sketch"), "id")
         .withColumn("_own", block)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .withColumn("part", F.least("_own", "_other") * F.col("_blocks").cast("long") + F.greatest("_own", "_other"))
         .select("token", "part", "id", "n", "at", "sketch", "label")
     )
     kind = entries.schema["id"].dataType
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    return (
+    schema = T.StructType(
+        [T.StructField("a", kind), T.StructField("b", kind)]
+        + [T.StructField(c, T.LongType()) for c in ("n_a", "n_b")]
+        + [T.StructField(c, T.IntegerType()) for c in ("at_a", "at_b")]
+    )
+    found = (
         dealt.repartition("token", "part")
         .sortWithinPartitions("token", "part", "n", "id")
-        .mapInArrow(pair_finder(percent, one_each), schema)
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
+        .mapInArrow(pair_finder(percent), schema)
     )
+    return possible(found, percent).select("a", "b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose exact sets reach the threshold."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,6 +313,8 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 [batch.column(names.index("a")).filter(keep), batch.column(names.index("b")).filter(keep)], ["a", "b"]
             )
 
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = cut(likely(rows, wanted, "id").join(wanted.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]))
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("_text_a")), "a")
     both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("_text_b")), "b")
     return both.select("a", "b", "_text_a", "_text_b").mapInArrow(work, pairs.schema)
@@ -302,35 +348,43 @@ def components_of(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     )
     late = np.sort(np.array([r["token"] for r in frequent.collect()], np.int64).view(np.uint64))
 
-    # Inverted lists of the tokens that sets of more than one class post.
-    posted = rows.mapInArrow(
+    # The smallest id of equal sets stands for them.
+    some = F.col("id").isNotNull()
+    firsts = nodes.filter(some & (F.col("n") > 0)).groupBy("digest").agg(
+        F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+    )
+    firsts = cut(firsts.select("id", "n", "sketch"))
+
+    # Inverted lists of the tokens that more than one of them posts.
+    posted = rows.filter(some).mapInArrow(
         poster(late, percent),
         T.StructType(
-            [T.StructField("token", T.LongType()), kind, T.StructField("class", T.LongType()), T.StructField("at", T.IntegerType())]
+            [
+                T.StructField("key", T.LongType()),
+                T.StructField("hash", T.LongType()),
+                kind,
+                T.StructField("at", T.IntegerType()),
+                T.StructField("known", T.BooleanType()),
+            ]
         ),
     )
-    shared = posted.groupBy("token").agg(F.min("class").alias("_low"), F.max("class").alias("_high")).filter("_low <> _high")
-    lists = (
-        hub_join(posted, shared.select("token"), "token")
-        .groupBy("token", "class")
-        .agg(F.min("id").alias("id"), F.min("at").alias("at"))
-        .select("token", "id", "at")
+    lists = written(
+        posted.repartition("key")
+        .sortWithinPartitions("key", "id")
+        .mapInArrow(repeated_rows("key", "known", owners), posted.schema)
+        .select(F.coalesce("hash", "key").alias("token"), "id", "at")
+        .join(firsts.select("id", "n"), "id")
     )
-    lists = cut(lists.join(nodes.select("id", "n", "sketch").dropDuplicates(["id"]), "id"))
-    needed = lists.select("id").distinct()
-    texts = cut(rows.filter(F.col("id").isNotNull()).join(needed.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]))
 
     # One partner for each set, then what is left across components.
-    tried = candidate_pairs(lists.withColumn("label", F.col("id")), percent, one_each=True)
-    one = cut(tried.groupBy("a").agg(F.min("b").alias("b")))
-    links = cut(verified(one, texts, percent))
+    one = cut(first_partners(lists, percent))
+    links = cut(verified(one, rows, percent))
     found = components(links)
     labelled = lists.join(found.select(F.col("a").alias("id"), F.col("b").alias("_least")), "id", "left").withColumn(
         "label", F.coalesce("_least", "id")
     )
-    rest = candidate_pairs(labelled.drop("_least"), percent, one_each=False).join(one, ["a", "b"], "left_anti")
-    links = links.union(verified(rest, texts, percent))
-    found = components(links)
+    rest = cut(remaining_pairs(labelled.drop("_least"), firsts, percent).join(one, ["a", "b"], "left_anti"))
+    found = components(links.union(verified(rest, rows, percent)))
 
     # Classes of equal sets, and the component of each class.
     classes = (

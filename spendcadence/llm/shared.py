@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,6 +33,13 @@ def filled(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As :func:`cut`, as a compressed table: for many narrow rows that are read several times."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 RANK_ROWS = 20_000  # rows numbered in one go
 RANK_BLOCKS = 4096  # blocks of a group at most
 

@@ -93,7 +93,7 @@ def test_components_of_documents(documents):
 
 
 def test_list_work_in_small_batches(monkeypatch):
-    finder = ngram_join.pair_finder(80, one_each=False)
+    finder = ngram_join.pair_finder(80)
     monkeypatch.setattr(ngram_join, "ROWS_TOGETHER", 3)
     rng = random.Random(2)
     entries = []
@@ -103,6 +103,7 @@ def test_list_work_in_small_batches(monkeypatch):
     entries.sort(key=lambda e: (e[0], e[1], e[3], e[2]))
     names = ["token", "part", "id", "n", "at", "sketch", "label"]
     table = pa.table({n: [e[k] for e in entries] for k, n in enumerate(names)})
+    assert table["id"].type == pa.int64()
     for size in (1, 2, 5, 100):
         out = pa.Table.from_batches(finder(iter(table.to_batches(max_chunksize=size))))
         rows = sorted(zip(out["a"].to_pylist(), out["b"].to_pylist()))
