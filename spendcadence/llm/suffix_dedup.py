@@ -41,8 +41,8 @@ from spendcadence.llm.shingles import BASE, BYTE, INVERSE, blocks, buffers, mixe
 GRAM = 24
 CHUNK = 1 << 20  # windows of one text worked on at once
 PLACES = 21  # bits for a place within a block
-STRETCHES_TOGETHER = 32 << 20  # bytes of different stretches in one batch
-WINDOWS_TOGETHER = 400_000  # windows to a suffix array
+STRETCHES_TOGETHER = 8 << 20  # bytes of different stretches in one batch
+WINDOWS_TOGETHER = 150_000  # windows to a suffix array
 
 
 @lru_cache(maxsize=2)
