@@ -26,7 +26,7 @@ An empty table gives an empty result.  Columns besides id and text are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -200,6 +200,12 @@ def pair_finder(percent: int):
         columns = [side[name].combine_chunks() for name in ("id", "n", "at") for side in sides]
         return pa.RecordBatch.from_arrays(columns, ["a", "b", "n_a", "n_b", "at_a", "at_b"])
 
+    return by_lists(pairs, ROWS_TOGETHER)
+
+
+def by_lists(pairs: Callable[[pa.Table], pa.RecordBatch], together: int):
+    """Hands ``pairs`` tables of whole lists from entries ordered by token and part, of about ``together`` rows."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -208,7 +214,7 @@ def pair_finder(percent: int):
                 continue
             held.append(batch)
             rows += batch.num_rows
-            if rows < ROWS_TOGETHER:
+            if rows < together:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             token, part = table["token"].to_numpy(), table["part"].to_numpy()
@@ -257,8 +263,8 @@ def first_partners(entries: DataFrame, percent: int) -> DataFrame:
     return found.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
 
 
-def remaining_pairs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a > b, of entries (token, id, n, at, label) that may be linked and differ in label."""
+def dealt_lists(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The entries (token, id, n, label) of lists that hold several labels, by parts, with the columns of ``nodes`` (id)."""
     lists = entries.groupBy("token").agg(
         F.count(F.lit(1)).alias("_size"),
         F.min("label").alias("_low"),
@@ -271,13 +277,20 @@ def remaining_pairs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataF
     )
     # A list of several blocks is dealt as all pairs of blocks.
     block = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
-    dealt = (
+    return (
         hub_join(entries, lists, "token")
-        .join(nodes.select("id", "sketch"), "id")
+        .join(nodes, "id")
         .withColumn("_own", block)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .withColumn("part", F.least("_own", "_other") * F.col("_blocks").cast("long") + F.greatest("_own", "_other"))
-        .select("token", "part", "id", "n", "at", "sketch", "label")
+        .drop("_own", "_other", "_blocks")
+    )
+
+
+def remaining_pairs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b), a > b, of entries (token, id, n, at, label) that may be linked and differ in label."""
+    dealt = dealt_lists(entries, nodes.select("id", "sketch"), percent).select(
+        "token", "part", "id", "n", "at", "sketch", "label"
     )
     kind = entries.schema["id"].dataType
     schema = T.StructType(

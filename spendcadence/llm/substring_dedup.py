@@ -5,14 +5,15 @@ Two kinds of paragraph are looked at.
 * A line of at least ``LEAST_WORDS`` words.  Its five-word shingles give a MinHash signature of ``BANDS`` bands of
   ``ROWS`` values; lines that collide in a band are candidates, and those whose exact Jaccard similarity reaches
   ``percent`` are linked (at a similarity of 0.8 a pair shares a band with a probability of 0.986).  Lines of equal
-  words are one node.  Of each connected component the line that comes first stays, the others go.
+  words are one node.  Every line is first tried against the smallest of its band's bucket, then all pairs of a bucket
+  that are not linked yet are judged, by sizes and sketches first and by the exact sets last.  Of each connected component the line that comes first stays, the others go.
 * A passage inside other text.  Texts are cut into pieces where the hash of a word pair is smallest among its
   neighbours, so that a passage is cut alike wherever it stands.  A piece is one band of its whole signature: pieces
   collide if their words are equal.  The first occurrence of a piece stays; consecutive pieces that are not the first
   make a passage, and passages of at least ``LEAST_WORDS`` words go.
 
-First is by id, then by place.  Nothing is gathered by key: collisions are star links to the smallest member, found
-by pre-aggregation, and hot keys are split (see :mod:`spendcadence.llm.repeats` and ``hub_join``).
+First is by id, then by place.  Nothing is gathered by key: smallest members are found by pre-aggregation, buckets are
+dealt as pairs of blocks, and hot keys are split (see :mod:`spendcadence.llm.repeats` and ``hub_join``).
 
 Words are those of :mod:`spendcadence.llm.shingles`.  What goes is cut together with the white space that follows
 it; a text may become empty but its row stays.  Null text stays null.  Rows with a null id keep their text and are no
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendcadence.llm.components import components, hub_join
+from spendcadence.llm.ngram_join import by_lists, dealt_lists, near_pairs, sketch
 from spendcadence.llm.repeats import repeated_rows, travel_keys
 from spendcadence.llm.shared import cut, fresh, likely
 from spendcadence.llm.shingles import BASE, INVERSE, PLACE, WHITE, WIDTH, blocks, buffers, mixed, powers, shingle_sets, word_hashes
 
 LEAST_WORDS = 20
 BANDS, ROWS = 6, 3
+LINES_TOGETHER = 4096  # colliding lines judged at once, unless a bucket's blocks hold more
 REACH = 4  # words on either side among which a cut's hash is the smallest
 LEAST_PIECE = REACH + 1
 SPAN = 31  # bits of a paragraph's length in bytes; the rest of a long is where it begins
@@ -169,6 +172,83 @@ def similar_lines(percent: int):
     return work
 
 
+def line_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n): the set size of each row (content, line)."""
+    for batch in batches:
+        sizes = [len(tokens) for tokens in shingle_sets(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["id", "n"])
+
+
+def linker(percent: int):
+    """Pairs (a, b) that link all similar entries (token, part, id, n, label, line) of a list, ordered by token, part, n.
+
+    Every pair of different labels is judged by its exact sets unless pairs found before link it already, so a list
+    gives fewer pairs than it has entries.
+    """
+
+    def pairs(entries: pa.Table) -> pa.RecordBatch:
+        token, part = entries["token"].to_numpy(), entries["part"].to_numpy()
+        new = np.r_[True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])]
+        coded = entries["line"].combine_chunks().dictionary_encode()
+        sets = list(shingle_sets(coded.dictionary))
+        which = coded.indices.to_numpy()
+        sketches = np.frombuffer(b"".join(sketch(x) for x in sets), np.uint64).reshape(len(sets), -1)[which]
+        labels = pa.compute.dictionary_encode(entries["label"].combine_chunks()).indices.to_numpy()
+        found = near_pairs(np.cumsum(new), entries["n"].to_numpy(), sketches, labels, percent)
+        leader = list(range(int(labels.max()) + 1))
+
+        def top(x: int) -> int:
+            while leader[x] != x:
+                leader[x] = x = leader[leader[x]]
+            return x
+
+        good = []
+        for i, j in zip(*(side.tolist() for side in found)):
+            a, b = top(labels[i]), top(labels[j])
+            if a == b:
+                continue
+            x, y = sets[which[i]], sets[which[j]]
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * shared >= percent * (len(x) + len(y) - shared):
+                leader[a] = b
+                good.append((i, j))
+        ids = entries["id"].to_numpy()
+        i, j = np.array(good, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(ids[j], pa.int64())], ["a", "b"])
+
+    return by_lists(pairs, LINES_TOGETHER)
+
+
+def line_links(links: DataFrame, contents: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The similar pairs (a, b) that connect all similar pairs of a bucket.
+
+    ``links`` are pairs to try first, ``contents`` (key, content) the buckets, ``texts`` (content, line) the lines.
+    """
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        with_a = pairs.join(texts.select(F.col("content").alias("a"), F.col("line").alias("_text_a")), "a")
+        both = with_a.join(texts.select(F.col("content").alias("b"), F.col("line").alias("_text_b")), "b")
+        return both.select("a", "b", "_text_a", "_text_b").mapInArrow(similar_lines(percent), "a long, b long")
+
+    one = cut(judged(links))
+    linked = components(one).select(F.col("a").alias("id"), F.col("b").alias("_to"))
+    sizes = cut(texts.select("content", "line").mapInArrow(line_sizes, "id long, n long"))
+    entries = (
+        contents.select(F.col("key").alias("token"), F.col("content").alias("id"))
+        .join(sizes, "id")
+        .join(linked, "id", "left")
+        .select("token", "id", "n", F.coalesce("_to", "id").alias("label"))
+    )
+    rest = (
+        dealt_lists(entries, texts.select(F.col("content").alias("id"), "line"), percent)
+        .select("token", "part", "id", "n", "label", "line")
+        .repartition("token", "part")
+        .sortWithinPartitions("token", "part", "n", "id")
+        .mapInArrow(linker(percent), "a long, b long")
+    )
+    return one.union(rest)
+
+
 def taken_out(text: str, spans: list[dict]) -> str:
     """The text without its repeated lines, and without passages that are long enough."""
     data = text.encode()
@@ -238,7 +318,7 @@ def repeated_spans(docs: DataFrame, percent: int, id_col: str, text_col: str) ->
         F.struct("id", "packed") != F.col("_first")
     )
 
-    # Lines: nodes are contents; a band links its contents to the smallest of them.
+    # Lines: nodes are contents; a band tries its contents against the smallest of them first.
     bands = repeated.filter("content IS NOT NULL")
     lines = bands.select("content", "id", "packed").distinct()
     contents = bands.select("key", "content").distinct()
@@ -266,12 +346,7 @@ def repeated_spans(docs: DataFrame, percent: int, id_col: str, text_col: str) ->
         .dropDuplicates(["content"])
     )
     texts = cut(texts)
-    pairs = links.join(texts.select(F.col("content").alias("a"), F.col("line").alias("_text_a")), "a").join(
-        texts.select(F.col("content").alias("b"), F.col("line").alias("_text_b")), "b"
-    )
-    clusters = components(
-        pairs.select("a", "b", "_text_a", "_text_b").mapInArrow(similar_lines(percent), "a long, b long")
-    )
+    clusters = components(line_links(links, contents, texts, percent))
     named = lines.join(clusters.select(F.col("a").alias("content"), F.col("b").alias("_to")), "content", "left").select(
         F.coalesce("_to", "content").alias("cluster"), "id", "packed"
     )

@@ -182,6 +182,36 @@ def test_near_copies_of_lines_go(frame):
     assert len(left[4].split()) > 40
 
 
+def colliding_components(rows, percent=80):
+    """id -> smallest id reachable over pairs of lines (a text each) that share a band and reach the threshold."""
+    holders = defaultdict(list)
+    for i, text in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        words, starts, _, row = shingles.word_hashes(data, np.array([0, len(data)]))
+        for key in substring_dedup.line_bands(data, words, starts, row)[3]:
+            holders[int(key[0])].append(i)
+    sets, leader = {i: shingle_set(t) for i, t in rows}, {i: i for i, _ in rows}
+    for a, b in sorted({(a, b) for held in holders.values() for a in held for b in held if a < b}):
+        shared = len(sets[a] & sets[b])
+        if 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
+            low, high = sorted((leader[a], leader[b]))
+            leader = {i: low if top == high else top for i, top in leader.items()}
+    return leader
+
+
+def test_variants_of_a_base_line_go(frame, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 4)
+    rng = random.Random(12)
+    texts = []
+    for variants in (1, 3, 3, 5, 10, 10, 20):
+        base = prose(rng, 100)
+        texts += [base, *(edited(rng, base, 2) for _ in range(variants))]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    left = {r.doc_id: r.text for r in substring_dedup.remove_repeats(frame(rows)).collect()}
+    assert {i for i, text in left.items() if text} == set(colliding_components(rows).values())
+
+
 def test_repeats_in_odd_rows(odd, empty):
     given = [(r.doc_id, r.text) for r in odd.collect()]
     left = substring_dedup.remove_repeats(odd)
