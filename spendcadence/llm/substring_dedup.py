@@ -7,10 +7,11 @@ Two kinds of paragraph are looked at.
   ``percent`` are linked (at a similarity of 0.8 a pair shares a band with a probability of 0.986).  Lines of equal
   words are one node.  Every line is first tried against the smallest of its band's bucket, then all pairs of a bucket
   that are not linked yet are judged, by sizes and sketches first and by the exact sets last.  Of each connected component the line that comes first stays, the others go.
-* A passage inside other text.  Texts are cut into pieces where the hash of a word pair is smallest among its
-  neighbours, so that a passage is cut alike wherever it stands.  A piece is one band of its whole signature: pieces
-  collide if their words are equal.  The first occurrence of a piece stays; consecutive pieces that are not the first
-  make a passage, and passages of at least ``LEAST_WORDS`` words go.
+* A passage of ``LEAST_WORDS`` words, wherever it stands in what those lines leave.  Of the runs of ``SEED`` words in
+  a passage the one of least hash is its seed, so equal passages have equal seeds; only passages whose seed repeats
+  are looked at, and they collide if all their words are equal.  The first occurrence stays; the words of the
+  others go, unless it overlaps them.  A passage whose words recur after at most ``PERIOD`` words is no repeat of one in
+  the same document.
 
 First is by id, then by place.  Nothing is gathered by key: smallest members are found by pre-aggregation, buckets are
 dealt as pairs of blocks, and hot keys are split (see :mod:`spendcadence.llm.repeats` and ``hub_join``).
@@ -40,8 +41,8 @@ from spendcadence.llm.shingles import BASE, INVERSE, PLACE, WHITE, WIDTH, blocks
 LEAST_WORDS = 20
 BANDS, ROWS = 6, 3
 LINES_TOGETHER = 4096  # colliding lines judged at once, unless a bucket's blocks hold more
-REACH = 4  # words on either side among which a cut's hash is the smallest
-LEAST_PIECE = REACH + 1
+SEED = 8  # words
+PERIOD = 4  # words
 SPAN = 31  # bits of a paragraph's length in bytes; the rest of a long is where it begins
 EMPTY = np.zeros(0, np.int64)
 
@@ -84,24 +85,28 @@ def content_hashes(words: np.ndarray, first: np.ndarray, past: np.ndarray) -> np
     return mixed((sums[past] - sums[first]) * powers(INVERSE, len(words) + 1)[first] + (past - first).astype(np.uint64))
 
 
-def pieces(words, row):
-    """(first word, past word) of the pieces of each row, cut where a word pair's hash is least of its neighbours'."""
-    size = len(words)
-    rank = mixed(words * PLACE[0] + np.r_[words[1:], words[:1]] * PLACE[1])
-    least = np.ones(size, bool)
-    for step in range(1, min(REACH, size - 1) + 1):
-        near = row[step:] == row[:-step]
-        least[step:] &= ~near | (rank[step:] < rank[:-step])
-        least[:-step] &= ~near | (rank[:-step] <= rank[step:])
-    edge = row_edges(row)
-    first = np.flatnonzero(least | edge)
-    past = np.r_[first[1:], size]
-    wide = past - first >= LEAST_PIECE
-    return first[wide], past[wide]
+def seeds(words, row) -> tuple[np.ndarray, np.ndarray]:
+    """The first words of the passages inside a row, and of the seed of each."""
+    places = len(words) - LEAST_WORDS + 1
+    if places <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.arange(len(words) - SEED + 1)
+    rank = mixed(content_hashes(words, first, first + SEED))
+    least = np.lib.stride_tricks.sliding_window_view(rank, LEAST_WORDS - SEED + 1).argmin(axis=1)
+    whole = np.flatnonzero(row[:places] == row[LEAST_WORDS - 1 :])
+    return whole, whole + least[whole]
+
+
+def past_bytes(starts, row, begin, end):
+    """A paragraph's bytes reach to the next word, or to the end of the text."""
+    following = np.r_[starts[1:], 0]
+    last = np.r_[row[1:] != row[:-1], True]
+    following[last] = end[row[last]]
+    return following
 
 
 def paragraph_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, hash, content, id, packed, known): the bands of lines (with content) and pieces (without)."""
+    """Rows (key, hash, content, id, packed, known): the bands of lines (with content) and seeds (without)."""
     for batch in batches:
         ids = batch.column(0).to_numpy()
         data, offsets = buffers(batch.column(1))
@@ -112,10 +117,7 @@ def paragraph_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if not len(words):
                 continue
             begin = offsets[low:high] - offsets[low]
-            # a paragraph's bytes reach to the next word, or to the end of the text
-            following = np.r_[starts[1:], len(part)]
-            last = np.r_[row[1:] != row[:-1], True]
-            following[last] = (offsets[low + 1 : high + 1] - offsets[low])[row[last]]
+            following = past_bytes(starts, row, begin, offsets[low + 1 : high + 1] - offsets[low])
 
             def packed(first, past):
                 at = starts[first] - begin[row[first]]
@@ -124,7 +126,8 @@ def paragraph_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             first, past, content, keys = line_bands(part, words, starts, row)
             for key in keys:
                 found.append((key, content, np.ones(len(first), bool), row[first] + low, packed(first, past)))
-            first, past = pieces(words, row)
+            first = np.unique(seeds(words, row)[1])
+            past = first + SEED
             content = content_hashes(words, first, past)
             found.append((content, content, np.zeros(len(first), bool), row[first] + low, packed(first, past)))
         if not found:
@@ -249,20 +252,125 @@ def line_links(links: DataFrame, contents: DataFrame, texts: DataFrame, percent:
     return one.union(rest)
 
 
+def marks_of(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first bytes of a row's seeds, and the first and past bytes of its lines that go."""
+    values = column[k].values
+    at, size = values.field("at").to_numpy(), values.field("size").to_numpy()
+    line = size > 0
+    return at[~line], at[line], at[line] + size[line]
+
+
+def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (id, marks) with a seed outside the lines that go."""
+    for batch in batches:
+        keep = []
+        for k in range(batch.num_rows):
+            seed, first, past = marks_of(batch.column(1), k)
+            first.sort()
+            past.sort()
+            keep.append(bool(((np.searchsorted(first, seed, "right") == np.searchsorted(past, seed, "right"))).any()))
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def all_of(good: np.ndarray, count: int, size: int) -> np.ndarray:
+    """For the first ``count`` places whether ``size`` places from there on are good."""
+    sums = np.r_[0, np.cumsum(good)]
+    return sums[size : size + count] - sums[:count] == size
+
+
+def passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, packed, periodic, known) of passages whose seeds repeat, from rows (id, text, marks).
+
+    Of equal passages of a batch the first travels under its hash; the others are known to go, neighbours as one span.
+    """
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        data, offsets = buffers(batch.column(1))
+        keys, rows, spans, order, regular = [], [], [], [], []
+        for low, high in blocks(offsets):
+            part = data[offsets[low] : offsets[high]]
+            words, starts, _, row = word_hashes(part, offsets[low : high + 1] - offsets[low])
+            count = len(words) - LEAST_WORDS + 1
+            if count <= 0:
+                continue
+            begin, end = offsets[low:high] - offsets[low], offsets[low + 1 : high + 1] - offsets[low]
+            following = past_bytes(starts, row, begin, end)
+            seed_at, firsts, pasts = [], [], []
+            for k in range(high - low):
+                for held, found in zip((seed_at, firsts, pasts), marks_of(batch.column(2), low + k)):
+                    held.append(found + begin[k])
+            change = np.zeros(len(words) + 1, np.int64)
+            np.add.at(change, np.searchsorted(starts, np.concatenate(firsts)), 1)
+            np.add.at(change, np.searchsorted(starts, np.concatenate(pasts)), -1)
+            first, seed = seeds(words, row)
+            stays = all_of(np.cumsum(change[:-1]) == 0, count, LEAST_WORDS)
+            first = first[np.isin(starts[seed], np.concatenate(seed_at)) & stays[first]]
+            periodic = np.zeros(count, bool)
+            for step in range(1, PERIOD + 1):
+                periodic |= all_of(words[step:] == words[:-step], count, LEAST_WORDS - step)
+            keys.append(content_hashes(words, first, first + LEAST_WORDS))
+            rows.append(row[first] + low)
+            spans.append((starts[first] - begin[row[first]]) << SPAN | (following[first + LEAST_WORDS - 1] - starts[first]))
+            order.append(first)
+            regular.append(periodic[first])
+        if not keys or not sum(map(len, keys)):
+            continue
+        keys, rows, spans, order, periodic = map(np.concatenate, (keys, rows, spans, order, regular))
+        sort = np.lexsort((spans, ids[rows], keys))
+        new = np.r_[True, keys[sort][1:] != keys[sort][:-1]]
+        least = np.empty(len(sort), np.int64)
+        least[sort] = sort[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        known = is_later(ids[rows], spans, periodic, ids[rows][least], past_of(spans)[least])
+        at = np.flatnonzero(known)
+        joined = np.r_[False, (rows[at][1:] == rows[at][:-1]) & (order[at][1:] <= order[at][:-1] + LEAST_WORDS)][: len(at)]
+        head, tail = at[~joined], at[np.r_[~joined[1:], True][: len(at)]]
+        merged = (spans[head] >> SPAN) << SPAN | (past_of(spans)[tail] - (spans[head] >> SPAN))
+        travel = np.flatnonzero(~known)
+        places = place_hashes(ids[rows[head]], merged)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.r_[keys[travel], places].view(np.int64)),
+                pa.array(ids[np.r_[rows[travel], rows[head]]]),
+                pa.array(np.r_[spans[travel], merged]),
+                pa.array(np.r_[periodic[travel], np.zeros(len(head), bool)]),
+                pa.array(np.r_[np.zeros(len(travel), bool), np.ones(len(head), bool)]),
+            ],
+            ["key", "id", "packed", "periodic", "known"],
+        )
+
+
+def past_of(spans: np.ndarray) -> np.ndarray:
+    return (spans >> SPAN) + (spans & ((1 << SPAN) - 1))
+
+
+def is_later(ids, spans, periodic, first_ids, first_pasts) -> np.ndarray:
+    """Whether passages go, given where the first of their equals stands."""
+    return (ids != first_ids) | (~periodic & (spans >> SPAN >= first_pasts))
+
+
+def later_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, packed) of the rows that go, of rows ordered by known, key, id, packed."""
+    held = None  # key, id and past byte of the first passage of the last key
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, ids, spans = (batch.column(k).to_numpy() for k in range(3))
+        periodic, known = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
+        new = np.r_[held is None or key[0] != held[0], key[1:] != key[:-1]]
+        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        first_ids, first_pasts = ids[at], past_of(spans)[at]
+        if held is not None:
+            first_ids[at < 0], first_pasts[at < 0] = held[1:]
+        going = known | is_later(ids, spans, periodic, first_ids, first_pasts)
+        held = key[-1], first_ids[-1], first_pasts[-1]
+        yield batch.filter(pa.array(going)).select(["id", "packed"])
+
+
 def taken_out(text: str, spans: list[dict]) -> str:
-    """The text without its repeated lines, and without passages that are long enough."""
+    """The text without its repeated lines and passages."""
     data = text.encode()
-    gone = [(s["first"], s["past"]) for s in spans if s["line"]]
-    passage: list[int] = []
-    for s in sorted((s["first"], s["past"]) for s in spans if not s["line"]):
-        if passage and s[0] <= passage[1]:
-            passage[1] = max(passage[1], s[1])
-            continue
-        gone += long_passage(data, passage)
-        passage = list(s)
-    gone += long_passage(data, passage)
     at, kept = 0, []
-    for first, past in sorted(gone):
+    for first, past in sorted((s["first"], s["past"]) for s in spans):
         if first > at:
             kept.append(data[at:first])
         at = max(at, past)
@@ -270,10 +378,6 @@ def taken_out(text: str, spans: list[dict]) -> str:
     return b"".join(kept).decode()
 
 
-def long_passage(data: bytes, passage: list[int]) -> list[tuple[int, int]]:
-    return [tuple(passage)] if passage and len(data[passage[0] : passage[1]].split()) >= LEAST_WORDS else []
-
-
 def cutter(text_at: int, spans_at: int, removed_col: str):
     """Puts the remaining text in place of the text, and the bytes removed in place of the spans."""
 
@@ -299,7 +403,7 @@ def smallest(name: str) -> Column:
 
 
 def repeated_spans(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """_id and its repeated paragraphs, _spans: array of (first, past, line)."""
+    """_id and its repeated paragraphs, _spans: array of (first, past)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(
         F.col("id").isNotNull() & (F.octet_length("text") > 0)
     )
@@ -313,11 +417,6 @@ def repeated_spans(docs: DataFrame, percent: int, id_col: str, text_col: str) ->
         .select(F.coalesce("hash", "key").alias("key"), "content", "id", "packed")
         .distinct()
     )
-    pieces_found = repeated.filter("content IS NULL").select("key", "id", "packed")
-    again = hub_join(pieces_found, pieces_found.groupBy("key").agg(smallest("_first")), "key").filter(
-        F.struct("id", "packed") != F.col("_first")
-    )
-
     # Lines: nodes are contents; a band tries its contents against the smallest of them first.
     bands = repeated.filter("content IS NOT NULL")
     lines = bands.select("content", "id", "packed").distinct()
@@ -353,14 +452,29 @@ def repeated_spans(docs: DataFrame, percent: int, id_col: str, text_col: str) ->
     going = hub_join(named, named.groupBy("cluster").agg(smallest("_first")), "cluster").filter(
         F.struct("id", "packed") != F.col("_first")
     )
-    spans = again.select("id", "packed", F.lit(False).alias("line")).union(
-        going.select("id", "packed", F.lit(True).alias("line"))
+    going = cut(going.select("id", "packed"))
+
+    # Passages in what is left: texts that hold repeated seeds outside the lines that go.
+    first, size = F.shiftright("packed", SPAN), F.pmod("packed", F.lit(1 << SPAN))
+    marks = (
+        repeated.filter("content IS NULL")
+        .select("id", first.alias("at"), F.lit(0).cast("long").alias("size"))
+        .union(going.select("id", first, size))
+        .groupBy("id")
+        .agg(F.collect_list(F.struct("at", "size")).alias("_marks"))
+    )
+    marks = cut(marks.mapInArrow(open_rows, marks.schema))
+    again = (
+        likely(rows, marks, "id")
+        .join(marks.hint("shuffle_hash"), "id")
+        .select("id", "text", "_marks")
+        .mapInArrow(passage_rows, "key long, id long, packed long, periodic boolean, known boolean")
+        .repartition("key")
+        .sortWithinPartitions("known", "key", "id", "packed")
+        .mapInArrow(later_passages, "id long, packed long")
     )
-    first = F.shiftright("packed", SPAN)
-    return spans.groupBy(F.col("id").alias("_id")).agg(
-        F.collect_list(
-            F.struct(first.alias("first"), (first + F.pmod("packed", F.lit(1 << SPAN))).alias("past"), "line")
-        ).alias("_spans")
+    return going.union(again).groupBy(F.col("id").alias("_id")).agg(
+        F.collect_list(F.struct(first.alias("first"), (first + size).alias("past"))).alias("_spans")
     )
 
 

@@ -212,6 +212,30 @@ def test_variants_of_a_base_line_go(frame, monkeypatch):
     assert {i for i, text in left.items() if text} == set(colliding_components(rows).values())
 
 
+def without_repeats(rows, size=20):
+    """Texts of one line without the words of passages that stand earlier already."""
+    first, left = {}, {}
+    for i, text in sorted(rows):
+        words = text.split()
+        gone = set()
+        for at in range(len(words) - size + 1):
+            place = first.setdefault(tuple(words[at : at + size]).__repr__().lower(), (i, at))
+            if place[0] != i or at >= place[1] + size:
+                gone.update(range(at, at + size))
+        left[i] = [w for k, w in enumerate(words) if k not in gone]
+    return left
+
+
+def test_stock_phrases_of_different_documents_stay(frame):
+    rng = random.Random(31)
+    phrases = [prose(rng, 19) for _ in range(12)]
+    rows = [(k, prose(rng, 30) + " " + phrase + " " + prose(rng, 30)) for k, phrase in enumerate(phrases)]
+    rows += [(20 + k, " ".join(rng.sample(phrases, 4)) + " " + prose(rng, 40)) for k in range(3)]
+    left = {r.doc_id: r for r in substring_dedup.remove_repeats(frame(rows)).collect()}
+    assert {i: r.text.split() for i, r in left.items()} == without_repeats(rows)
+    assert all(left[i].text == text for i, text in rows)
+
+
 def test_repeats_in_odd_rows(odd, empty):
     given = [(r.doc_id, r.text) for r in odd.collect()]
     left = substring_dedup.remove_repeats(odd)
