@@ -2,7 +2,7 @@
 
 Two kinds of paragraph are looked at.
 
-* A line of at least ``LEAST_WORDS`` words.  Its five-word shingles give a MinHash signature of ``BANDS`` bands of
+* A line of at least five words.  Its five-word shingles give a MinHash signature of ``BANDS`` bands of
   ``ROWS`` values; lines that collide in a band are candidates, and those whose exact Jaccard similarity reaches
   ``percent`` are linked (at a similarity of 0.8 a pair shares a band with a probability of 0.986).  Lines of equal
   words are one node.  Every line is first tried against the smallest of its band's bucket, then all pairs of a bucket
@@ -57,7 +57,7 @@ def line_bands(data, words, starts, row):
     new = row_edges(row) | row_edges(line)
     first = np.flatnonzero(new)
     past = np.r_[first[1:], len(words)]
-    long_enough = past - first >= LEAST_WORDS
+    long_enough = past - first >= WIDTH
     first, past = first[long_enough], past[long_enough]
     if not len(first):
         return first, past, np.zeros(0, np.uint64), np.zeros((BANDS, 0), np.uint64)

@@ -236,6 +236,17 @@ def test_stock_phrases_of_different_documents_stay(frame):
     assert all(left[i].text == text for i, text in rows)
 
 
+def test_short_lines_go(frame):
+    rng = random.Random(17)
+    short = [prose(rng, words) for words in (4, 5, 8, 19)]
+    rows = [(i, "\n".join([prose(rng, 30), *short, prose(rng, 30)])) for i in range(4)]
+    left = {r.doc_id: r.text.split("\n") for r in substring_dedup.remove_repeats(frame(rows)).collect()}
+    assert left[0] == rows[0][1].split("\n")
+    for i, text in rows[1:]:
+        lines = text.split("\n")
+        assert left[i] == [lines[0], short[0], lines[-1]]
+
+
 def test_repeats_in_odd_rows(odd, empty):
     given = [(r.doc_id, r.text) for r in odd.collect()]
     left = substring_dedup.remove_repeats(odd)
