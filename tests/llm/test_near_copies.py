@@ -247,6 +247,16 @@ def test_short_lines_go(frame):
         assert left[i] == [lines[0], short[0], lines[-1]]
 
 
+@pytest.mark.parametrize("size", [20, 21, 25, 30, 51])
+def test_passages_go_whole(frame, size):
+    rng = random.Random(size)
+    passages = [prose(rng, size) for _ in range(4)]
+    rows = [(i, " ".join([prose(rng, 35), passages[i % 4], prose(rng, 45)])) for i in range(16)]
+    left = {r.doc_id: r.text.split() for r in substring_dedup.remove_repeats(frame(rows)).collect()}
+    assert left == without_repeats(rows)
+    assert all(len(words) == 80 + size * (i < 4) for i, words in left.items())
+
+
 def test_repeats_in_odd_rows(odd, empty):
     given = [(r.doc_id, r.text) for r in odd.collect()]
     left = substring_dedup.remove_repeats(odd)
