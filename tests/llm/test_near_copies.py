@@ -228,9 +228,15 @@ def without_repeats(rows, size=20):
 
 def test_stock_phrases_of_different_documents_stay(frame):
     rng = random.Random(31)
-    phrases = [prose(rng, 19) for _ in range(12)]
-    rows = [(k, prose(rng, 30) + " " + phrase + " " + prose(rng, 30)) for k, phrase in enumerate(phrases)]
-    rows += [(20 + k, " ".join(rng.sample(phrases, 4)) + " " + prose(rng, 40)) for k in range(3)]
+    # A pair of words of very low hash before each phrase, so that any cutting by hashes of pairs cuts there.
+    data = np.frombuffer(prose(rng, 4000).encode(), np.uint8)
+    words, starts, stops, _ = shingles.word_hashes(data, np.array([0, len(data)]))
+    rank = shingles.mixed(words * shingles.PLACE[0] + np.r_[words[1:], words[:1]] * shingles.PLACE[1])
+    least = int(rank[:-1].argmin())
+    pair = data[starts[least] : stops[least + 1]].tobytes().decode()
+    phrases = [f"{pair} {prose(rng, 12)}" for _ in range(12)]
+    rows = [(k, f"{prose(rng, 30)} {phrase} {pair} {prose(rng, 30)}") for k, phrase in enumerate(phrases)]
+    rows += [(20 + k, " ".join(phrases[k::3]) + f" {pair} {prose(rng, 40)}") for k in range(3)]
     left = {r.doc_id: r for r in substring_dedup.remove_repeats(frame(rows)).collect()}
     assert {i: r.text.split() for i, r in left.items()} == without_repeats(rows)
     assert all(left[i].text == text for i, text in rows)
