@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spendcadence.llm import bpe_codec, exact_dedup, ngram_join, packing, sharding, substring_dedup, suffix_dedup, token_counts, topk, toxicity
+from spendcadence.llm import bpe_codec, exact_dedup, ngram_join, packing, runs, sharding, substring_dedup, suffix_dedup, token_counts, topk, toxicity
 from spendcadence.llm.registry import query, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -104,3 +104,9 @@ def op9_exact_topk(spark, sf_dir):
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=100)
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    docs = runs.with_periods(table(spark, sf_dir, "documents"))
+    return runs.summary(runs.collapse_runs(docs))

@@ -50,10 +50,12 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte, end and row of each word; ``edges`` cuts ``data`` into rows."""
+def word_hashes(
+    data: np.ndarray, edges: np.ndarray, white: np.ndarray = WHITE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte, end and row of each word; ``edges`` cuts ``data`` into rows, ``white`` bytes cut words."""
     size = len(data)
-    dark = ~WHITE[data]
+    dark = ~white[data]
     begins, ends = dark.copy(), dark.copy()
     begins[1:] &= ~dark[:-1]
     ends[:-1] &= ~dark[1:]
