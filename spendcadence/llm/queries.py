@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spendcadence.llm import bpe_codec, exact_dedup, ngram_join, packing, runs, sharding, substring_dedup, suffix_dedup, token_counts, topk, toxicity
+from spendcadence.llm import bpe_codec, exact_dedup, fingerprints, ngram_join, packing, runs, sharding, substring_dedup, suffix_dedup, token_counts, topk, toxicity
 from spendcadence.llm.registry import query, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -110,3 +110,19 @@ def op10_suffix_dedup(spark, sf_dir):
 def op11_periodic_runs(spark, sf_dir):
     docs = runs.with_periods(table(spark, sf_dir, "documents"))
     return runs.summary(runs.collapse_runs(docs))
+
+
+@query("op12_document_fingerprints")
+def op12_document_fingerprints(spark, sf_dir):
+    found = fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+        "shared_start",
+        "shared_end",
+    )
