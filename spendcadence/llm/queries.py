@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spendcadence.llm import bpe_codec, exact_dedup, fingerprints, ngram_join, packing, runs, sharding, substring_dedup, suffix_dedup, token_counts, topk, toxicity
+from spendcadence.llm import bpe_codec, collocations, exact_dedup, fingerprints, ngram_join, packing, runs, sharding, substring_dedup, suffix_dedup, token_counts, topk, toxicity
 from spendcadence.llm.registry import query, table
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -126,3 +126,52 @@ def op12_document_fingerprints(spark, sf_dir):
         "shared_start",
         "shared_end",
     )
+
+
+@query(
+    "op13_phrase_collocations",
+    r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[.,;:!?\x0A-\x0D]'
+               )) AS piece
+        FROM documents
+    ),
+    split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM pieces),
+    placed AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM split),
+    phrases AS (
+        SELECT lang, unnest([w[i:i], w[i:i + 1], w[i:i + 2]]) AS p, unnest([1, 2, 3]) AS size, len(w) - i + 1 AS room
+        FROM placed
+    ),
+    f AS (SELECT lang, p, size, count(*) AS a FROM phrases WHERE size <= room GROUP BY lang, p, size),
+    cuts AS (
+        SELECT c.lang, c.p, c.size, c.a, k.k, l.a AS l, r.a AS r,
+               CAST((1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+        FROM f c
+        JOIN (SELECT unnest([1, 2]) AS k) k ON k.k < c.size
+        JOIN f l ON l.lang = c.lang AND l.p = c.p[1:k.k]
+        JOIN f r ON r.lang = c.lang AND r.p = c.p[k.k + 1:]
+        WHERE c.size > 1 AND c.a >= 10
+    ),
+    weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+    longer AS (
+        SELECT lang, unnest([p[1:2], p[2:3]]) AS p, a FROM f WHERE size = 3 AND a >= 10
+    ),
+    covered AS (SELECT lang, p, max(a) AS most FROM longer GROUP BY lang, p),
+    stays AS (
+        SELECT w.*, array_to_string(w.p, ' ') AS phrase
+        FROM weakest w LEFT JOIN covered c ON c.lang = w.lang AND c.p = w.p
+        WHERE c.most IS NULL OR 100 * c.most < 50 * w.a
+    ),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM stays
+    )
+    SELECT ranked.lang, rank, phrase, a, l, r, n, score
+    FROM ranked JOIN (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang) t ON t.lang = ranked.lang
+    WHERE rank <= 2000
+    """,
+)
+def op13_phrase_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
