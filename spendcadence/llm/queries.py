@@ -139,7 +139,7 @@ def op12_document_fingerprints(spark, sf_dir):
                )) AS piece
         FROM documents
     ),
-    split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM pieces),
+    split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
     placed AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM split),
     phrases AS (
         SELECT lang, unnest([w[i:i], w[i:i + 1], w[i:i + 2]]) AS p, unnest([1, 2, 3]) AS size, len(w) - i + 1 AS room
