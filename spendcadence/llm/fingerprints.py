@@ -42,7 +42,7 @@ LOW = 1 << 16  # powers held in one table
 CHUNK = 1 << 20  # spans hashed at once
 WIDTHS = (2, 10)
 KEPT = 64
-INTERVAL_BYTES = 8 << 20
+INTERVAL_BYTES = 2 << 20
 INTERVALS = 10_000
 
 
@@ -135,18 +135,26 @@ class Prefix:
                 high = middle - 1
         return low
 
-    def fingerprint(self) -> str:
-        if not len(self):
-            return f"{0:016x}"
-        least = np.zeros(0, np.uint64)
+    def least(self, first: int, past: int) -> np.ndarray:
+        """The KEPT smallest mixed hashes of the spans that start at ``first`` to ``past`` - 1."""
+        found = np.zeros(0, np.uint64)
         for width in WIDTHS:
             width = min(width, len(self)) if width == WIDTHS[0] else width
             salt = np.uint64(width << 56)
-            for first in range(0, len(self) - width + 1, CHUNK):
-                past = min(len(self) - width + 1, first + CHUNK)
-                least = smallest(np.concatenate([least, mixed(self.spans(first, past, width) ^ salt)]))
+            for low in range(first, min(past, len(self) - width + 1), CHUNK):
+                high = min(past, len(self) - width + 1, low + CHUNK)
+                found = smallest(np.concatenate([found, mixed(self.spans(low, high, width) ^ salt)]))
+        return found
+
+    def fingerprint(self, start: np.ndarray | None = None, shared: int = 0) -> str:
+        """With ``start`` the smallest hashes of the spans that start before ``shared``, if they are known."""
+        if not len(self):
+            return f"{0:016x}"
+        found = self.least(shared, len(self))
+        if start is not None:
+            found = smallest(np.concatenate([start, found]))
         whole = mixed(np.array([self.span(0, len(self))], np.uint64) ^ np.uint64(len(self)))[0]
-        return f"{int(whole):016x}" + (least >> np.uint64(32)).astype(">u4").tobytes().hex()
+        return f"{int(whole):016x}" + (found >> np.uint64(32)).astype(">u4").tobytes().hex()
 
 
 def smallest(values: np.ndarray) -> np.ndarray:
@@ -269,14 +277,17 @@ class Document:
     def __init__(self, text: str):
         self.text = text
         self.prefix = Prefix(code_points(text))
-        self.fingerprint = self.prefix.fingerprint()
+        # The spans inside the part that an edit leaves are hashed once for both fingerprints.
+        self.kept = len(self.prefix) - len(self.prefix) // 2
+        self.shared = max(0, self.kept - WIDTHS[-1] + 1)
+        self.start = self.prefix.least(0, self.shared)
+        self.fingerprint = self.prefix.fingerprint(self.start, self.shared)
 
     def compared(self, following: Document) -> tuple:
         """The columns of COMPARED after the id: the end of the text, half its length, replaced by the next text's start."""
-        half = len(self.prefix) // 2
-        kept = len(self.prefix) - half
+        kept, half = self.kept, len(self.prefix) - self.kept
         edited = Prefix(np.concatenate([self.prefix.points[:kept], following.prefix.points[:half]]), self.prefix, kept)
-        mark = edited.fingerprint()
+        mark = edited.fingerprint(self.start, self.shared)
         digest = hashlib.sha256((self.text[:kept] + following.text[:half]).encode()).hexdigest()
         return (
             len(self.prefix), self.fingerprint, digest, mark, likeness(self.fingerprint, mark),
