@@ -3,7 +3,8 @@
 All is per language (null counts as ``und``).  Texts are lower-cased (A-Z), cut into pieces at ``.,;:!?`` and line breaks, and
 those into words at spaces and tabs.
 
-1. Words are counted.  A word seen fewer than ``least`` times is in no phrase that counts, so suffixes end before it.
+1. Words are counted, and pairs of words by their hashes.  Words and pairs seen fewer than ``least`` times are in no phrase
+   that counts, so suffixes end before them.
 2. Vertical partitioning: the suffixes of the text (three words deep, as no phrase is longer) are told apart by their
    first word; where that word begins more than ``HEAVY`` suffixes, by their first two words; and where those begin more,
    by all three.  Prefixes are put in groups of about ``BUDGET`` suffixes each.
@@ -12,9 +13,9 @@ those into words at spaces and tabs.
    off one after the other, so a task holds one of them.
 4. Joins bring the counts of the parts of a phrase; scores are exact decimals.
 
-Suffixes are counted within a batch before they travel.  Which words are rare, and which prefixes heavy, is told by bitmaps
-of fixed size over 64-bit hashes: where hashes collide, a rare word is kept or a light prefix divided, which changes no
-count.  Within a batch words are told apart by 64-bit hashes, beyond it by their bytes.
+Suffixes are counted within a batch before they travel.  Which words and pairs are rare, and which prefixes heavy, is told
+by bitmaps of fixed size over 64-bit hashes: where hashes collide, a rare one is kept or a light prefix divided, which
+changes no count.  Within a batch words are told apart by 64-bit hashes, beyond it by their bytes.
 
 Null and empty texts hold no words.  Every row counts, rows that repeat an id included, as does one with a null id; ids
 aren't read.  An empty table gives an empty result.  Columns besides text and language are not read.
@@ -37,7 +38,7 @@ from spendcadence.llm.shingles import blocks, buffers, mixed, word_hashes
 
 BUDGET = 400_000  # suffixes of a group
 HEAVY = BUDGET // 8
-TOGETHER = 8 << 20  # bytes of text whose suffixes are counted at once, unless one is longer
+TOGETHER = 4 << 20  # bytes of text whose suffixes are counted at once, unless one is longer
 BREAKS = np.zeros(256, bool)
 BREAKS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 WHITE = BREAKS.copy()
@@ -129,65 +130,55 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first * SECOND + second)
 
 
-def following(found: Words, alive: np.ndarray, step: int) -> np.ndarray:
-    """For each place the code of the word ``step`` places on, -1 where the piece or the known words end before."""
-    code = np.where(alive[found.code], found.code, -1)
-    out = code.copy()
-    for k in range(1, step + 1):
-        moved = np.r_[code[k:], np.full(k, -1)][: len(code)]
-        joined = np.r_[found.joined[k - 1 :], np.zeros(k - 1, bool)][: len(code)]
-        out = np.where((out >= 0) & joined, moved, -1)
-    return out
+def batch_pairs(found: Words, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Codes of the neighbouring frequent words of a batch, which of these pairs each place begins (or -1), and counts."""
+    known = has(frequent, found.key)[found.code]
+    at = np.flatnonzero(known & found.joined & np.r_[known[1:], False])
+    width = len(found.key)
+    pairs, which, counts = np.unique(found.code[at] * width + found.code[at + 1], return_inverse=True, return_counts=True)
+    begins = np.full(found.size, -1)
+    begins[at] = which
+    return pairs // width, pairs % width, begins, counts
 
 
-def heavy_pairs(frequent, heavy):
-    """(lang, w1, w2, key, n) of the pairs of a batch whose first word is heavy."""
+def pair_rows(frequent):
+    """(key, n) of the pairs of frequent words of each batch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found, langs in words_of(batches):
-            alive = has(frequent.value, found.key)
-            second = following(found, alive, 1)
-            at = np.flatnonzero((second >= 0) & has(heavy.value, found.key)[found.code])
-            if not len(at):
-                continue
-            width = len(found.key)
-            pairs, counts = np.unique(found.code[at] * width + second[at], return_counts=True)
-            one, two = pairs // width, pairs % width
-            yield pa.RecordBatch.from_arrays(
-                [
-                    langs.take(pa.array(found.lang[one])),
-                    found.word.take(pa.array(one)),
-                    found.word.take(pa.array(two)),
-                    pa.array(pair_keys(found.key[one], found.key[two]).view(np.int64)),
-                    pa.array(counts),
-                ],
-                ["lang", "w1", "w2", "key", "n"],
-            )
+        for found, _ in words_of(batches):
+            one, two, _, counts = batch_pairs(found, frequent.value)
+            keys = pair_keys(found.key[one], found.key[two])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
 
     return work
 
 
-def suffix_rows(frequent, heavy, heavier, groups: int):
-    """(group, whole, lang, w1, w2, w3, n): the suffixes of a batch; ``whole`` if all of their pair meet in the group."""
+def suffix_rows(bitmaps, groups: int):
+    """(group, whole, lang, w1, w2, w3, n): the suffixes of a batch; ``whole`` if all of their pair meet in the group.
+
+    ``bitmaps`` tell frequent words, frequent pairs, heavy words and heavy pairs.  A suffix ends before a rare pair.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, often, heavy, heavier = bitmaps.value
         for found, langs in words_of(batches):
-            alive = has(frequent.value, found.key)
-            second, third = following(found, alive, 1), following(found, alive, 2)
-            at = np.flatnonzero(second >= 0)
+            one, two, begins, _ = batch_pairs(found, words)
+            keys = pair_keys(found.key[one], found.key[two])
+            kept = np.r_[has(often, keys), False]  # the last stands for -1
+            begins = np.where(kept[begins], begins, -1)
+            at = np.flatnonzero(begins >= 0)
             if not len(at):
                 continue
+            behind = begins[np.minimum(at + 1, found.size - 1)]
+            third = np.where((behind >= 0) & (at + 1 < found.size), np.r_[two, -1][behind], -1)
             width = len(found.key) + 1
-            pairs, which = np.unique(found.code[at] * width + second[at], return_inverse=True)
-            leaves, counts = np.unique(which * width + third[at] + 1, return_counts=True)
-            pair, three = pairs[leaves // width], leaves % width - 1
-            one, two = pair // width, pair % width
-            first_key = found.key[one]
-            pair_key = pair_keys(first_key, found.key[two])
+            leaves, counts = np.unique(begins[at] * width + third + 1, return_counts=True)
+            pair, three = leaves // width, leaves % width - 1
+            one, two, pair_key = one[pair], two[pair], keys[pair]
             third_key = np.where(three >= 0, found.key[three], SECOND)
-            divided = has(heavy.value, first_key)
-            again = divided & has(heavier.value, pair_key)
-            prefix = np.where(again, pair_keys(pair_key, third_key), np.where(divided, pair_key, first_key))
+            divided = has(heavy, found.key[one])
+            again = divided & has(heavier, pair_key)
+            prefix = np.where(again, pair_keys(pair_key, third_key), np.where(divided, pair_key, found.key[one]))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array((mixed(prefix + SECOND) % np.uint64(groups)).astype(np.int64)),
@@ -205,7 +196,10 @@ def suffix_rows(frequent, heavy, heavier, groups: int):
 
 
 def subtree(leaves: pa.Table, least: int) -> pa.RecordBatch:
-    """(lang, w1, w2, w3, n): the phrases of two words (w3 null) and three that a group's leaves count often enough."""
+    """(whole, lang, w1, w2, w3, n): the phrases of two words (w3 null) and three that a group's leaves count often enough.
+
+    Pairs whose suffixes lie in several groups come with what this group has of them.
+    """
     names = ["lang", "w1", "w2", "w3"]
     coded = [leaves[x].combine_chunks().dictionary_encode() for x in names]
     codes = [c.indices.fill_null(-1).to_numpy() for c in coded]
@@ -220,8 +214,9 @@ def subtree(leaves: pa.Table, least: int) -> pa.RecordBatch:
     parts[1:] |= codes[3][1:] != codes[3][:-1]
     triples = np.flatnonzero(parts)
     pair_counts, triple_counts = np.add.reduceat(counts, pairs), np.add.reduceat(counts, triples)
-    whole = leaves["whole"].to_numpy()[order][pairs]
-    pairs, pair_counts = (x[whole & (pair_counts >= least)] for x in (pairs, pair_counts))
+    whole = leaves["whole"].to_numpy()[order]
+    counts_here = ~whole[pairs] | (pair_counts >= least)
+    pairs, pair_counts = pairs[counts_here], pair_counts[counts_here]
     often = (triple_counts >= least) & (codes[3][triples] >= 0)
     triples, triple_counts = triples[often], triple_counts[often]
     at = np.r_[pairs, triples]
@@ -229,7 +224,9 @@ def subtree(leaves: pa.Table, least: int) -> pa.RecordBatch:
         c.dictionary.take(pa.array(code[at], mask=(np.arange(len(at)) < len(pairs)) if name == "w3" else None))
         for name, c, code in zip(names, coded, codes)
     ]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(np.r_[pair_counts, triple_counts])], [*names, "n"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(whole[at]), *columns, pa.array(np.r_[pair_counts, triple_counts])], ["whole", *names, "n"]
+    )
 
 
 def subtrees(least: int):
@@ -266,29 +263,25 @@ def counted(docs: DataFrame, least: int, text_col: str, lang_col: str) -> tuple[
     )
     total = words.agg(F.sum("n")).first()[0] or 0
     frequent = context.broadcast(bitmap_of(words.filter(F.col("n") >= least)))
-    heavy = context.broadcast(bitmap_of(words.filter(F.col("n") > HEAVY)))
     pairs = written(
-        rows.mapInArrow(heavy_pairs(frequent, heavy), "lang string, w1 string, w2 string, key long, n long")
-        .groupBy("lang", "w1", "w2")
-        .agg(F.first("key").alias("key"), F.sum("n").alias("n"))
+        rows.mapInArrow(pair_rows(frequent), "key long, n long")
+        .groupBy("key")
+        .agg(F.sum("n").alias("n"))
         .filter(F.col("n") >= least)
     )
-    heavier = context.broadcast(bitmap_of(pairs.filter(F.col("n") > HEAVY)))
+    heavy = [bitmap_of(x.filter(F.col("n") > HEAVY)) for x in (words, pairs)]
+    bitmaps = context.broadcast((frequent.value, bitmap_of(pairs), *heavy))
+    schema = "whole boolean, lang string, w1 string, w2 string, w3 string, n long"
     nodes = written(
-        rows.mapInArrow(
-            suffix_rows(frequent, heavy, heavier, 2 * total // BUDGET + 1),
-            "group long, whole boolean, lang string, w1 string, w2 string, w3 string, n long",
-        )
+        rows.mapInArrow(suffix_rows(bitmaps, 2 * total // BUDGET + 1), f"group long, {schema}")
         .repartition("group")
         .sortWithinPartitions("group")
-        .mapInArrow(subtrees(least), "lang string, w1 string, w2 string, w3 string, n long")
-    )
-    # Pairs whose suffixes were divided further have been counted whole before.
-    divided = pairs.mapInArrow(
-        lambda batches: (b.filter(pa.array(has(heavier.value, b.column(3).to_numpy().view(np.uint64)))) for b in batches), pairs.schema
+        .mapInArrow(subtrees(least), schema)
     )
-    two = nodes.filter("w3 IS NULL").drop("w3").union(divided.select("lang", "w1", "w2", "n"))
-    return words.select("lang", F.col("word").alias("w1"), "n"), two, nodes.filter("w3 IS NOT NULL")
+    two = nodes.filter("w3 IS NULL")
+    parts = two.filter("NOT whole").groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    two = two.filter("whole").select("lang", "w1", "w2", "n").union(parts)
+    return words.select("lang", F.col("word").alias("w1"), "n"), two, nodes.filter("w3 IS NOT NULL").drop("whole")
 
 
 def attached(rows: DataFrame, counts: DataFrame, words: list[str], name: str) -> DataFrame:

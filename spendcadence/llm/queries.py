@@ -132,44 +132,54 @@ def op12_document_fingerprints(spark, sf_dir):
     "op13_phrase_collocations",
     r"""
     WITH pieces AS (
-        SELECT coalesce(lang, 'und') AS lang,
-               unnest(regexp_split_to_array(
-                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                   '[.,;:!?\x0A-\x0D]'
-               )) AS piece
-        FROM documents
+        SELECT row_number() OVER () AS piece, lang, words
+        FROM (
+            SELECT lang, unnest(list_transform(
+                regexp_split_to_array(
+                    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'
+                ),
+                lambda p: list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '')
+            )) AS words
+            FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS text FROM documents)
+        )
     ),
-    split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
-    placed AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM split),
-    phrases AS (
-        SELECT lang, unnest([w[i:i], w[i:i + 1], w[i:i + 2]]) AS p, unnest([1, 2, 3]) AS size, len(w) - i + 1 AS room
-        FROM placed
+    placed AS (SELECT piece, lang, unnest(words) AS w1, unnest(range(len(words))) AS i FROM pieces),
+    near AS (
+        SELECT lang, w1, lead(w1) OVER here AS w2, lead(w1, 2) OVER here AS w3
+        FROM placed WINDOW here AS (PARTITION BY piece ORDER BY i)
     ),
-    f AS (SELECT lang, p, size, count(*) AS a FROM phrases WHERE size <= room GROUP BY lang, p, size),
-    cuts AS (
-        SELECT c.lang, c.p, c.size, c.a, k.k, l.a AS l, r.a AS r,
-               CAST((1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
-        FROM f c
-        JOIN (SELECT unnest([1, 2]) AS k) k ON k.k < c.size
-        JOIN f l ON l.lang = c.lang AND l.p = c.p[1:k.k]
-        JOIN f r ON r.lang = c.lang AND r.p = c.p[k.k + 1:]
-        WHERE c.size > 1 AND c.a >= 10
-    ),
-    weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+    f1 AS (SELECT lang, w1, count(*) AS a FROM near GROUP BY ALL),
+    f2 AS (SELECT lang, w1, w2, count(*) AS a FROM near WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+    f3 AS (SELECT lang, w1, w2, w3, count(*) AS a FROM near WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
     longer AS (
-        SELECT lang, unnest([p[1:2], p[2:3]]) AS p, a FROM f WHERE size = 3 AND a >= 10
+        SELECT lang, w1, w2, max(a) AS most
+        FROM (SELECT lang, w1, w2, a FROM f3 UNION ALL SELECT lang, w2, w3, a FROM f3) GROUP BY ALL
     ),
-    covered AS (SELECT lang, p, max(a) AS most FROM longer GROUP BY lang, p),
-    stays AS (
-        SELECT w.*, array_to_string(w.p, ' ') AS phrase
-        FROM weakest w LEFT JOIN covered c ON c.lang = w.lang AND c.p = w.p
-        WHERE c.most IS NULL OR 100 * c.most < 50 * w.a
+    cuts AS (
+        SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, 1 AS k, c.a, l.a AS l, r.a AS r
+        FROM f2 c
+        JOIN f1 l ON l.lang = c.lang AND l.w1 = c.w1
+        JOIN f1 r ON r.lang = c.lang AND r.w1 = c.w2
+        LEFT JOIN longer m ON m.lang = c.lang AND m.w1 = c.w1 AND m.w2 = c.w2
+        WHERE m.most IS NULL OR 100 * m.most < 50 * c.a
+        UNION ALL
+        SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 1, c.a, l.a, r.a
+        FROM f3 c
+        JOIN f1 l ON l.lang = c.lang AND l.w1 = c.w1
+        JOIN f2 r ON r.lang = c.lang AND r.w1 = c.w2 AND r.w2 = c.w3
+        UNION ALL
+        SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, 2, c.a, l.a, r.a
+        FROM f3 c
+        JOIN f2 l ON l.lang = c.lang AND l.w1 = c.w1 AND l.w2 = c.w2
+        JOIN f1 r ON r.lang = c.lang AND r.w1 = c.w3
     ),
+    scored AS (SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+    stays AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
     ranked AS (
         SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM stays
     )
     SELECT ranked.lang, rank, phrase, a, l, r, n, score
-    FROM ranked JOIN (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang) t ON t.lang = ranked.lang
+    FROM ranked JOIN (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f1 GROUP BY lang) t ON t.lang = ranked.lang
     WHERE rank <= 2000
     """,
 )
