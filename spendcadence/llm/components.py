@@ -1,6 +1,6 @@
 """Connected components by alternating large-star and small-star rounds, all in DataFrames.
 
-Every round writes its edges to the shared checkpoint folder and stops when nothing changes.  The neighbours
+Every round writes its edges to the shared checkpoint folder, removes those of the round before, and stops when nothing changes.  The neighbours
 of a node are never gathered: the smallest neighbour is a pre-aggregated minimum that joins back to the edges,
 in a join whose both sides are shuffled for it, so that the edges of a hub can be split.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendcadence.llm.shared import cut
+from spendcadence.llm.shared import removed, written
 
 
 def hub_join(rows: DataFrame, by_key: DataFrame, key: str) -> DataFrame:
@@ -48,13 +48,14 @@ def state(edges: DataFrame):
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) for every node ``a`` of the edges (a, b) that isn't the smallest of its component ``b``."""
-    edges = cut(
+    edges = written(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     before = state(edges)
     while before[0]:
-        edges = cut(small_star(large_star(edges)))
+        last, edges = edges, written(small_star(large_star(edges)))
         after = state(edges)
+        removed(last)
         if after == before:
             break
         before = after

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from spendcadence.llm.components import components, hub_join
 from spendcadence.llm.repeats import repeated_rows, travel_keys
-from spendcadence.llm.shared import cut, filled, fresh, likely, written
+from spendcadence.llm.shared import cut, filled, fresh, likely, removed, written
 from spendcadence.llm.shingles import mixed, shingle_sets
 
 FREQUENT = 200_000  # tokens that come last in the order, at most
@@ -203,18 +203,24 @@ def pair_finder(percent: int):
     return by_lists(pairs, ROWS_TOGETHER)
 
 
-def by_lists(pairs: Callable[[pa.Table], pa.RecordBatch], together: int):
-    """Hands ``pairs`` tables of whole lists from entries ordered by token and part, of about ``together`` rows."""
+def sliced(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The batches, none empty, in slices of about ``size`` bytes."""
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        for first in range(0, batch.num_rows, step):
+            yield batch.slice(first, step)
+
+
+def by_lists(pairs: Callable[[pa.Table], pa.RecordBatch], together: int, size: int = 1 << 40):
+    """Hands ``pairs`` tables of whole lists from entries ordered by token and part, of about ``together`` rows or ``size`` bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches, size):
             held.append(batch)
             rows += batch.num_rows
-            if rows < together:
+            if rows < together and sum(b.nbytes for b in held) < size:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             token, part = table["token"].to_numpy(), table["part"].to_numpy()
@@ -327,10 +333,12 @@ def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
             )
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = cut(likely(rows, wanted, "id").join(wanted.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]))
+    texts = written(likely(rows, wanted, "id").join(wanted.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]))
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("_text_a")), "a")
     both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("_text_b")), "b")
-    return both.select("a", "b", "_text_a", "_text_b").mapInArrow(work, pairs.schema)
+    good = written(both.select("a", "b", "_text_a", "_text_b").mapInArrow(work, pairs.schema))
+    removed(texts)
+    return good
 
 
 def components_of(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,14 +398,17 @@ def components_of(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     )
 
     # One partner for each set, then what is left across components.
-    one = cut(first_partners(lists, percent))
-    links = cut(verified(one, rows, percent))
+    one = written(first_partners(lists, percent))
+    links = verified(one, rows, percent)
     found = components(links)
     labelled = lists.join(found.select(F.col("a").alias("id"), F.col("b").alias("_least")), "id", "left").withColumn(
         "label", F.coalesce("_least", "id")
     )
-    rest = cut(remaining_pairs(labelled.drop("_least"), firsts, percent).join(one, ["a", "b"], "left_anti"))
-    found = components(links.union(verified(rest, rows, percent)))
+    rest = written(remaining_pairs(labelled.drop("_least"), firsts, percent).join(one, ["a", "b"], "left_anti"))
+    removed(lists, one, found)
+    more = verified(rest, rows, percent)
+    found = components(links.union(more))
+    removed(rest, links, more)
 
     # Classes of equal sets, and the component of each class.
     classes = (

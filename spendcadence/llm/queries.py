@@ -79,10 +79,11 @@ def op8_best_fit_packing(spark, sf_dir):
     "op9_exact_topk",
     """
     WITH whole AS (
-        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+        SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE)))) AS e
         FROM embeddings
-        WHERE embedding IS NOT NULL
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        GROUP BY vec_id
     ),
     scored AS (
         SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score

@@ -34,10 +34,25 @@ def filled(text: str) -> Column:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """As :func:`cut`, as a compressed table: for many narrow rows that are read several times."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """As :func:`cut`, as a compressed table that :func:`removed` can take away after its last reader.
+
+    The shuffle files that only led to it are given back at once: Spark drops them when the driver collects garbage.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark.sparkContext._jvm.java.lang.System.gc()
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 RANK_ROWS = 20_000  # rows numbered in one go

@@ -5,11 +5,11 @@ Two kinds of paragraph are looked at.
 * A line of at least five words.  Its five-word shingles give a MinHash signature of ``BANDS`` bands of
   ``ROWS`` values; lines that collide in a band are candidates, and those whose exact Jaccard similarity reaches
   ``percent`` are linked (at a similarity of 0.8 a pair shares a band with a probability of 0.986).  Lines of equal
-  words are one node.  Every line is first tried against the smallest of its band's bucket, then all pairs of a bucket
+  words (by a 64-bit hash of them) are one node.  Every line is first tried against the smallest of its band's bucket, then all pairs of a bucket
   that are not linked yet are judged, by sizes and sketches first and by the exact sets last.  Of each connected component the line that comes first stays, the others go.
 * A passage of ``LEAST_WORDS`` words, wherever it stands in what those lines leave.  Of the runs of ``SEED`` words in
   a passage the one of least hash is its seed, so equal passages have equal seeds; only passages whose seed repeats
-  are looked at, and they collide if all their words are equal.  The first occurrence stays; the words of the
+  are looked at, and they collide if all their words are equal (by a 64-bit hash of them).  The first occurrence stays; the words of the
   others go, unless it overlaps them.  A passage whose words recur after at most ``PERIOD`` words is no repeat of one in
   the same document.
 
@@ -33,14 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendcadence.llm.components import components, hub_join
-from spendcadence.llm.ngram_join import by_lists, dealt_lists, near_pairs, sketch
+from spendcadence.llm.ngram_join import by_lists, dealt_lists, near_pairs, sketch, sliced
 from spendcadence.llm.repeats import repeated_rows, travel_keys
-from spendcadence.llm.shared import cut, fresh, likely
+from spendcadence.llm.shared import fresh, likely, removed, written
 from spendcadence.llm.shingles import BASE, INVERSE, PLACE, WHITE, WIDTH, blocks, buffers, mixed, powers, shingle_sets, word_hashes
 
 LEAST_WORDS = 20
 BANDS, ROWS = 6, 3
-LINES_TOGETHER = 4096  # colliding lines judged at once, unless a bucket's blocks hold more
+LINES_TOGETHER, LINE_BYTES = 4096, 4 << 20  # colliding lines judged at once, unless a bucket's blocks hold more
+TEXT_BYTES = 8 << 20  # of texts worked on at once, unless one is longer
 SEED = 8  # words
 PERIOD = 4  # words
 SPAN = 31  # bits of a paragraph's length in bytes; the rest of a long is where it begins
@@ -107,7 +108,7 @@ def past_bytes(starts, row, begin, end):
 
 def paragraph_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, hash, content, id, packed, known): the bands of lines (with content) and seeds (without)."""
-    for batch in batches:
+    for batch in sliced(batches, TEXT_BYTES):
         ids = batch.column(0).to_numpy()
         data, offsets = buffers(batch.column(1))
         found = []
@@ -165,9 +166,9 @@ def similar_lines(percent: int):
     """The pairs (a, b) of rows (a, b, _text_a, _text_b) whose exact shingle sets reach the threshold."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, TEXT_BYTES):
             good = []
-            for x, y in zip(shingle_sets(batch.column(2)), list(shingle_sets(batch.column(3)))):
+            for x, y in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3))):
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
@@ -219,7 +220,7 @@ def linker(percent: int):
         i, j = np.array(good, np.int64).reshape(-1, 2).T
         return pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(ids[j], pa.int64())], ["a", "b"])
 
-    return by_lists(pairs, LINES_TOGETHER)
+    return by_lists(pairs, LINES_TOGETHER, LINE_BYTES)
 
 
 def line_links(links: DataFrame, contents: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -233,9 +234,10 @@ def line_links(links: DataFrame, contents: DataFrame, texts: DataFrame, percent:
         both = with_a.join(texts.select(F.col("content").alias("b"), F.col("line").alias("_text_b")), "b")
         return both.select("a", "b", "_text_a", "_text_b").mapInArrow(similar_lines(percent), "a long, b long")
 
-    one = cut(judged(links))
+    one = written(judged(links))
+    removed(links)
     linked = components(one).select(F.col("a").alias("id"), F.col("b").alias("_to"))
-    sizes = cut(texts.select("content", "line").mapInArrow(line_sizes, "id long, n long"))
+    sizes = written(texts.select("content", "line").mapInArrow(line_sizes, "id long, n long"))
     entries = (
         contents.select(F.col("key").alias("token"), F.col("content").alias("id"))
         .join(sizes, "id")
@@ -283,7 +285,7 @@ def passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Of equal passages of a batch the first travels under its hash; the others are known to go, neighbours as one span.
     """
-    for batch in batches:
+    for batch in sliced(batches, TEXT_BYTES):
         ids = batch.column(0).to_numpy()
         data, offsets = buffers(batch.column(1))
         keys, rows, spans, order, regular = [], [], [], [], []
@@ -410,7 +412,7 @@ def repeated_spans(docs: DataFrame, percent: int, id_col: str, text_col: str) ->
     found = rows.mapInArrow(
         paragraph_rows, "key long, hash long, content long, id long, packed long, known boolean"
     )
-    repeated = cut(
+    repeated = written(
         found.repartition("key")
         .sortWithinPartitions("key", "id", "packed")
         .mapInArrow(repeated_rows("key", "known", places), found.schema)
@@ -427,7 +429,7 @@ def repeated_spans(docs: DataFrame, percent: int, id_col: str, text_col: str) ->
         .select(F.col("content").alias("a"), "b")
         .distinct()
     )
-    links = cut(links)
+    links = written(links)
     wanted = links.select(F.explode(F.array("a", "b")).alias("content")).distinct()
     shown = (
         lines.join(wanted, "content", "left_semi").groupBy("content").agg(smallest("_first")).select("content", "_first.*")
@@ -444,15 +446,17 @@ def repeated_spans(docs: DataFrame, percent: int, id_col: str, text_col: str) ->
         )
         .dropDuplicates(["content"])
     )
-    texts = cut(texts)
+    texts = written(texts)
     clusters = components(line_links(links, contents, texts, percent))
+    removed(texts)
     named = lines.join(clusters.select(F.col("a").alias("content"), F.col("b").alias("_to")), "content", "left").select(
         F.coalesce("_to", "content").alias("cluster"), "id", "packed"
     )
     going = hub_join(named, named.groupBy("cluster").agg(smallest("_first")), "cluster").filter(
         F.struct("id", "packed") != F.col("_first")
     )
-    going = cut(going.select("id", "packed"))
+    going = written(going.select("id", "packed"))
+    removed(clusters)
 
     # Passages in what is left: texts that hold repeated seeds outside the lines that go.
     first, size = F.shiftright("packed", SPAN), F.pmod("packed", F.lit(1 << SPAN))
@@ -463,7 +467,8 @@ def repeated_spans(docs: DataFrame, percent: int, id_col: str, text_col: str) ->
         .groupBy("id")
         .agg(F.collect_list(F.struct("at", "size")).alias("_marks"))
     )
-    marks = cut(marks.mapInArrow(open_rows, marks.schema))
+    marks = written(marks.mapInArrow(open_rows, marks.schema))
+    removed(repeated)
     again = (
         likely(rows, marks, "id")
         .join(marks.hint("shuffle_hash"), "id")

@@ -41,6 +41,8 @@ from spendcadence.llm.shingles import BASE, BYTE, INVERSE, blocks, buffers, mixe
 GRAM = 24
 CHUNK = 1 << 20  # windows of one text worked on at once
 PLACES = 21  # bits for a place within a block
+FIELD = 16  # bits each for how far a run of windows begins before its anchor, and how many windows it has
+LONGEST = 1 << FIELD  # that ``length`` may be
 STRETCHES_TOGETHER = 8 << 20  # bytes of different stretches in one batch
 WINDOWS_TOGETHER = 150_000  # windows to a suffix array
 
@@ -125,7 +127,7 @@ def anchor_rows(length: int):
                 row, keep = rows[row], stands[rows[row]]
                 at = at - (offsets[row] - begins[0])
                 start = start - (offsets[row] - begins[0])
-                found.append((row[keep], (at << 14 | at - start << 7 | run)[keep], hashes[keep]))
+                found.append((row[keep], (at << 2 * FIELD | at - start << FIELD | run)[keep], hashes[keep]))
             if not found:
                 continue
             row, packed, hashes = map(np.concatenate, zip(*found))
@@ -150,7 +152,7 @@ def anchor_rows(length: int):
 
 def place_hashes(ids: np.ndarray, packed: np.ndarray) -> np.ndarray:
     """Tells anchors apart by text and place (not by run: a text worked on in parts may have an anchor twice)."""
-    return mixed(mixed(ids.view(np.uint64)) + (packed >> 14).view(np.uint64))
+    return mixed(mixed(ids.view(np.uint64)) + (packed >> 2 * FIELD).view(np.uint64))
 
 
 def places(batch: pa.RecordBatch) -> np.ndarray:
@@ -182,7 +184,7 @@ def stretch_rows(length: int):
                 owner = batch.column(0)[k].as_py()
                 text = batch.column(1)[k].as_py().encode()
                 for spot in sorted(batch.column(2)[k].as_py(), key=lambda s: s["packed"]):
-                    at, back, run = spot["packed"] >> 14, spot["packed"] >> 7 & 127, spot["packed"] & 127
+                    at, back, run = spot["packed"] >> 2 * FIELD, spot["packed"] >> FIELD & LONGEST - 1, spot["packed"] & LONGEST - 1
                     first = at - back
                     stretch = text[first : first + run + length - 1]
                     which = (spot["hash"], back, stretch)
@@ -378,6 +380,8 @@ def repeats_removed(
 
     ``first`` is the smallest id with the same text; kept bytes need not be valid UTF-8.
     """
+    if not GRAM <= length <= LONGEST:
+        raise ValueError(f"length must be from {GRAM} to {LONGEST} bytes")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), filled(text_col).alias("text"))
     nodes = cut(
         rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))

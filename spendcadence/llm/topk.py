@@ -11,7 +11,9 @@ Each pair keeps its k best; the best of those are the answer.
 
 Vectors that are null or hold a null, NaN or infinite component take no part.  Only vectors of one length are
 compared.  A candidate with the query's own id is not its answer; equal scores go to the smaller id; rows that
-repeat another vector under their own ids are candidates of their own.  Scores outside the 64-bit range are
+repeat another vector under their own ids are candidates of their own.  Rows that repeat an id are one vector: of several
+under one id the least takes part, by its quantised components from the first on, a shorter one before its extensions.
+It is a query if one of the id's rows that take part is.  Scores outside the 64-bit range are
 held at its ends.  Fewer candidates than k give fewer rows; an empty table gives an empty result.
 """
 
@@ -102,6 +104,8 @@ def top_k(
             F.col(id_col).alias("_id"), quantised(vector_col).alias("_vector"), F.coalesce(is_query, F.lit(False)).alias("_query")
         )
         .filter(F.col("_vector").isNotNull() & F.col("_id").isNotNull())
+        .groupBy("_id")
+        .agg(F.min("_vector").alias("_vector"), F.max("_query").alias("_query"))
         .withColumn("_dims", F.size("_vector"))
     )
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("_query").alias("q")).first()

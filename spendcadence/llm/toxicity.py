@@ -1,7 +1,9 @@
 """Toxicity scores of whole texts by a recurrent network trained here.
 
 The network (see :mod:`spendcadence.llm.gru`) is fitted on a bounded sample of labelled rows: of each label at
-most ``most`` rows, the first by a hash of the id, with texts of at most ``longest`` bytes.
+most ``most`` documents with a text, the first by a hash of the id.  Of a text of more than ``longest`` bytes, stretches of
+``STRETCH`` words drawn by a hash over its whole length are learnt from, of ``longest`` bytes together, so the sample has at
+most sum(most) * longest bytes.  Of rows that repeat an id the least text is learnt from.
 Rows whose crc32 of the id (as text) leaves 2 when divided by 4 are held out and never learnt from.  Scoring
 covers every overlapping window of every text, in the tasks that read the rows; there is no shuffle.  Only the
 text enters a score.
@@ -13,6 +15,7 @@ labelled rows the untrained network gives its scores.  An empty table gives an e
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +30,7 @@ LONGEST = 30_000
 THRESHOLD = 0.3
 TOGETHER = 256  # texts scored at once
 FOLDS, HELD_OUT = 4, 2
+STRETCH = 64  # words
 
 
 def held_out(id_col: str) -> Column:
@@ -42,13 +46,39 @@ def training_rows(
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     )
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.octet_length("_text") > 0)
+    usable = labelled.join(texts.select("_id").distinct(), "_id", "left_semi")
     order = F.xxhash64("_id")
-    chosen = [labelled.filter(F.col("_label") == k).orderBy(order, "_id").limit(most[k]) for k in (0, 1)]
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(
-        F.octet_length("_text").between(1, longest)
-    )
+    chosen = [usable.filter(F.col("_label") == k).orderBy(order, "_id").limit(most[k]) for k in (0, 1)]
     # at most sum(most) rows of two numbers
-    return texts.join(F.broadcast(chosen[0].union(chosen[1])), "_id").select("_id", "_text", "_label")
+    found = texts.join(F.broadcast(chosen[0].union(chosen[1])), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    return found.select("_id", "_text", "_label").mapInArrow(shortened(longest), found.select("_id", "_text", "_label").schema)
+
+
+def stretches(text: str, longest: int) -> str:
+    """The text, or stretches of its words drawn by a hash, of about ``longest`` bytes."""
+    size = len(text.encode())
+    if size <= longest:
+        return text
+    words = text.split()
+    parts = [" ".join(words[k : k + STRETCH]) for k in range(0, len(words), STRETCH)]
+    kept, held = [], 0
+    for k in sorted(range(len(parts)), key=lambda k: zlib.crc32(f"{k} {parts[k]}".encode())):
+        part = parts[k].encode()[: longest - held].decode(errors="ignore")
+        kept.append((k, part))
+        held += len(part.encode()) + 1
+        if held >= longest:
+            break
+    return " ".join(part for _, part in sorted(kept))
+
+
+def shortened(longest: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([stretches(t, longest) for t in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2)], batch.schema.names)
+
+    return work
 
 
 def train(

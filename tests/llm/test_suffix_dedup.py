@@ -56,6 +56,21 @@ def test_equals_brute_force(spark, frame, monkeypatch, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("length", [24, 100, 151, 152, 300])
+def test_other_lengths(frame, length):
+    rng = random.Random(length)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(721))
+    rows = [(i, "".join(rng.choice("ijklm ") for _ in range(90 + i)) + passage + "z" * i) for i in range(4)]
+    rows += [(10 + i, t) for i, t in repetitive(length, 40)]
+    assert found(frame(rows), length) == brute(rows, length)
+
+
+def test_lengths_out_of_range_are_refused(frame):
+    for length in (23, suffix_dedup.LONGEST + 1):
+        with pytest.raises(ValueError):
+            suffix_dedup.dedup(frame([(1, "text")]), length)
+
+
 def test_documents(documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     assert found(documents) == brute(rows, 100)

@@ -12,7 +12,8 @@ def brute(rows, k, every):
     for i, v in rows:
         if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        whole[i] = [math.floor(256 * x) for x in v]
+        e = [math.floor(256 * x) for x in v]
+        whole[i] = min(e, whole.get(i, e))
     out = []
     for q, a in whole.items():
         if q % every:
@@ -48,6 +49,16 @@ def test_equals_brute_force(spark, monkeypatch, dims):
     assert found(spark, rows) == brute(rows, 5, 3)
 
 
+def test_repeated_ids_are_one_vector(spark):
+    rows = vectors(random.Random(7), 40, 8)
+    again = [rows[k] for k in (0, 0, 1, 1, 1, 3, 5)]  # queries and candidates, as they are
+    other = [(k, [x + 1 for x in rows[k][1]]) for k in (0, 2, 3, 4)] + [(6, None), (6, rows[6][1][:4]), (9, rows[9][1] + [0.5])]
+    for more in (again, again + other):
+        answers = found(spark, rows + more)
+        assert answers == brute(rows + more, 5, 3)
+        assert len({(q, i) for q, _, i, _ in answers}) == len(answers)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (3, None), (6, [nan, 1.0]), (9, [None, 1.0]), (12, [inf, 0.0]), (1, [0.5]), (2, [-0.001, 3.0])]

@@ -101,6 +101,41 @@ def test_forgetting_words_changes_no_score():
     assert np.allclose(whole, [small([t])[0] for t in texts], atol=1e-5)
 
 
+def sample(docs, labels, most, longest=30_000):
+    rows = toxicity.training_rows(docs, labels, "toxic", most, longest, "doc_id", "text").collect()
+    return {r["_id"]: (r["_text"], r["_label"]) for r in rows}, len(rows)
+
+
+def test_sample_is_bounded_and_holds_rows_with_texts(spark):
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    # Most labelled ids have no document or no text; one id is repeated, with other texts too.
+    rows = [(i, f"text {i}") for i in ids[::100]] + [(i, None) for i in ids[1::100]] + [(ids[0], "again")] * 500 + [(ids[2], "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in ((2, 2), (1000, 1000)):
+        found, count = sample(docs, labels, most)
+        assert count == len(found) <= sum(most)
+        assert all(t == ("again" if i == ids[0] else f"text {i}") for i, (t, _) in found.items())
+    assert found.keys() == set(ids[::100])
+
+
+def test_long_texts_are_learnt_from_in_stretches(spark):
+    rng = random.Random(3)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2][:20]
+    long = {i: " ".join(f"w{i}x{k}" for k in range(20_000)) for i in ids[:10]}
+    docs = spark.createDataFrame([(i, long.get(i, prose(rng, 9))) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in long)) for i in ids], "doc_id long, toxic int")
+    found, count = sample(docs, labels, (100, 100), 3000)
+    assert count == len(ids)
+    for i, text in long.items():
+        kept = found[i][0]
+        words = set(text.split())
+        assert 2000 < len(kept.encode()) <= 3000 and len(set(kept.split()) - words) <= 1  # one stretch is cut
+        places = [int(w.split("x")[1]) for w in kept.split() if w in words]
+        assert max(places) - min(places) > 3000  # from all over the text
+    assert toxicity.stretches("x" * 10_000, 3000) == "x" * 3000
+
+
 def test_odd_rows_are_scored(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     some = spark.createDataFrame([(3, 1), (3, 0), (4, None), (None, 1), (9, 0)], "doc_id long, toxic int")
@@ -158,6 +193,17 @@ def test_repeats_stage_changes_only_texts(stages):
         assert row.n_chars == len(row.text) and set(row.text.split()) <= set(before[i].text.split())
 
 
+def test_repeats_stage_equals_brute_force(spark, frame, sf_small):
+    from test_near_copies import prose as varied
+    from test_near_copies import without_repeats
+
+    rng = random.Random(41)
+    passages = [varied(rng, 25) for _ in range(5)]
+    rows = [(i, " ".join([varied(rng, 40), f"l{i}", rng.choice(passages), f"r{i}", varied(rng, 40)])) for i in range(60)]
+    left = corpus_pipeline.cut_repeats(spark, frame(rows), sf_small).collect()
+    assert {r.doc_id: r.text.split() for r in left} == without_repeats(rows)
+
+
 def test_packing_stage_holds_every_document(stages):
     rows = stages[5].collect()
     assert {r.doc_id for r in rows if r.piece == 0} == {r.doc_id for r in stages[4].collect()}
@@ -174,6 +220,28 @@ def test_run_gives_the_last_stage(spark, sf_small, stages):
     )
 
 
+def test_odd_rows_pass_through_every_stage(spark, sf_small, tmp_path):
+    """Nulls in any column, odd texts, repeated rows and clashing column names."""
+    from conftest import CLASHING, ODD
+
+    text = prose(random.Random(2), 90)
+    rows = [(i, t, "en", "web", 4) for i, t in ODD] + [(20, text, None, None, None), (21, text + " end", "de", "x", 1)]
+    schema = ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"{n} {k}" for n, k, _ in CLASHING)])
+    docs = spark.createDataFrame([(*r, *(v for _, _, v in CLASHING)) for r in rows], schema)
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_small).write.parquet(f"{tmp_path}/{k}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 4:
+            assert docs.columns == columns, name
+            given = [tuple(r)[2:4] + tuple(r)[5:] for r in before.collect()]
+            assert all(tuple(r)[2:4] + tuple(r)[5:] in given for r in docs.collect()), name
+        if name == "exact_dedup":
+            assert sorted(r.doc_id for r in docs.filter("text LIKE 'same%'").collect()) in ([], [3])
+        if name == "ngram_jaccard_join":
+            assert docs.filter("doc_id = 21").count() == 0
+
+
 def test_an_empty_corpus_passes_through(spark, sf_small, tmp_path):
     docs = spark.read.parquet(f"{sf_small}/documents.parquet").limit(0)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
