@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendcadence.functions import text as T
@@ -11,6 +15,7 @@ from spendcadence.operators import ordered as O
 TOLERANCE = 0.05
 SLACK = 0.5
 THRESHOLD = 1.5
+DRIFT_BLOCK = 4096  # charges of a series folded apart
 
 # Finding types and texts.
 TRIAL = "Trial Conversion"
@@ -110,41 +115,171 @@ def _moments(df: DataFrame) -> DataFrame:
     ).drop("n", "s", "q")
 
 
+def _step(state: np.ndarray, difference: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, state + difference - slack)
+
+
+class _Series:
+    """Charges of a table, by series or block: how far each is from the mean, and what a side loses and may reach."""
+
+    def __init__(self, rows: pa.Table, starts: np.ndarray, threshold: float, slack: float):
+        self.first = starts
+        self.sizes = np.diff(np.r_[starts, rows.num_rows])
+        std = rows["std"].to_numpy()
+        self.difference = rows["debit"].to_numpy() - rows["mean"].to_numpy()
+        self.slack, self.limit = slack * std, threshold * std
+
+
+def _block_ends(keys: list[str], threshold: float, slack: float):
+    """(keys, known, up, down): the sums behind each block, where they don't depend on those before it.
+
+    A sum lies from 0 to its limit when a block begins.  What it can be is followed as a range, of which some or all is
+    set to 0 by an alarm; once both ends meet (all were clipped to 0 or reset together), it is known from there on.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = high = None
+        held = None  # the keys of the block at hand
+        for rows, starts, goes_on in O.grouped(batches, keys):
+            s = _Series(rows, starts, threshold, slack)
+            count = len(starts)
+            new_low, new_high = np.zeros((2, count)), np.tile(s.limit[starts], (2, 1))
+            if goes_on:
+                new_low[:, 0], new_high[:, 0] = low[:, -1], high[:, -1]
+            elif held is not None:
+                yield _ends(held, low[:, -1:], high[:, -1:])
+            low, high = new_low, new_high
+            for t, at in O.side_by_side(s.sizes):
+                row = s.first[at] + t
+                for side, sign in ((0, 1.0), (1, -1.0)):
+                    a = _step(low[side, at], sign * s.difference[row], s.slack[row])
+                    b = _step(high[side, at], sign * s.difference[row], s.slack[row])
+                    limit = s.limit[row]
+                    low[side, at] = np.where(b > limit, 0.0, a)
+                    high[side, at] = np.where(a > limit, 0.0, np.minimum(b, limit))
+            named = rows.select(keys).take(pa.array(starts))
+            if count > 1:
+                yield _ends(named.slice(0, count - 1), low[:, :-1], high[:, :-1])
+            held = named.slice(count - 1)
+        if held is not None:
+            yield _ends(held, low[:, -1:], high[:, -1:])
+
+    def _ends(named: pa.Table, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+        columns = [named[k].combine_chunks() for k in keys]
+        return pa.RecordBatch.from_arrays(
+            [*columns, pa.array((low == high).all(axis=0)), pa.array(low[0]), pa.array(low[1])], [*keys, "known", "up", "down"]
+        )
+
+    return work
+
+
+def _alarms(keys: list[str], threshold: float, slack: float):
+    """Rows of the charges that raise an alarm, with the sides that do; a series starts with its sums _up and _down."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for rows, starts, goes_on in O.grouped(batches, keys):
+            s = _Series(rows, starts, threshold, slack)
+            before = state
+            state = np.stack([rows[c].to_numpy()[starts] for c in ("_up", "_down")])
+            if goes_on:
+                state[:, 0] = before[:, -1]
+            raised = np.zeros((2, rows.num_rows), bool)
+            for t, at in O.side_by_side(s.sizes):
+                row = s.first[at] + t
+                for side, sign in ((0, 1.0), (1, -1.0)):
+                    moved = _step(state[side, at], sign * s.difference[row], s.slack[row])
+                    over = moved > s.limit[row]
+                    raised[side, row] = over
+                    state[side, at] = np.where(over, 0.0, moved)
+            at = np.flatnonzero(raised.any(axis=0))
+            found = rows.take(pa.array(at)).combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [*(found[c].combine_chunks() for c in (*keys[:2], "date", "seq", "mean", "debit")), *map(pa.array, raised[:, at])],
+                [*keys[:2], "date", "seq", "old_amount", "new_amount", "up", "down"],
+            )
+
+    return work
+
+
 def cusum_drift(
-    charges: DataFrame, key: str = "account_id", threshold: float = THRESHOLD, slack: float = SLACK
+    charges: DataFrame,
+    key: str = "account_id",
+    threshold: float = THRESHOLD,
+    slack: float = SLACK,
+    block_rows: int = DRIFT_BLOCK,
 ) -> DataFrame:
     """Drift alarms per (key, vendor): ``date, seq, old_amount`` (mean), ``new_amount, is_up``.
 
-    A side of the two-sided sum restarts at 0 after its alarm, so the sum is a fold over the ordered series.  It
-    streams, with the two sums as its only state, and emits an alarm with the charge that raised it.
+    A side of the two-sided sum restarts at 0 after its alarm, so the sum is a fold over the ordered series.  A series of
+    more than ``block_rows`` charges is cut by date (and by seq within a dense day) into blocks of about so many, which
+    are folded apart:
+
+    1. For each block the sums behind it, where they are the same whatever they were before; that is so once every
+       possible sum has been clipped to 0 or reset together.
+    2. Over one small row a block, each block gets the block its fold starts with, the last one whose start is known.
+    3. Blocks are folded from there, those with an unknown start behind the block before.
+
+    The steps are those of the sequential fold, so the alarms are the same to the last bit.
     """
     keys = [key, "vendor"]
     cents = F.round(F.col("debit") * 100).cast("decimal(18,0)")
     moments = charges.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(cents).alias("s"), F.sum(cents * cents).alias("q")
+        F.count(F.lit(1)).alias("n"),
+        F.sum(cents).alias("s"),
+        F.sum(cents * cents).alias("q"),
+        F.min("date").alias("_from"),
+        (F.datediff(F.max("date"), F.min("date")) + 1).alias("_days"),
+        F.min("seq").alias("_low"),
+        (F.max("seq") - F.min("seq") + 1).alias("_range"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    usable = _moments(moments.filter(F.col("n") >= 3)).filter(F.col("std") > 0)
+    per_day = F.col("_n") / F.col("_days")
+    span = F.greatest(F.lit(1), F.floor(block_rows / per_day))
+    day = F.floor(F.datediff("date", "_from") / span)
+    part = F.floor((F.col("seq") - F.col("_low")) * F.ceil(per_day / block_rows) / F.col("_range"))
+    long = F.col("_n") > block_rows
+    series = charges.join(usable, keys).select(
+        *keys,
+        F.when(long, day).otherwise(0).alias("_day"),
+        F.when(long & (per_day > block_rows), part).otherwise(0).alias("_part"),
+        "date", "seq", "debit", "mean", "std", long.alias("_long"),
+    )
+    block = [*keys, "_day", "_part"]
+    kinds = ", ".join(f"{c} {series.schema[c].dataType.simpleString()}" for c in block)
+    ends = (
+        series.filter("_long")
+        .select(*block, "date", "seq", "debit", "mean", "std")
+        .repartition(*block)
+        .sortWithinPartitions(*block, "date", "seq")
+        .mapInArrow(_block_ends(block, threshold, slack), f"{kinds}, known boolean, up double, down double")
+    )
+    along = Window.partitionBy(*keys).orderBy("_day", "_part")
+    before = {c: F.lag(c).over(along) for c in ("known", "up", "down")}
+    start = F.struct(
+        F.col("_day").alias("day"), F.col("_part").alias("part"),
+        F.coalesce(before["up"], F.lit(0.0)).alias("up"), F.coalesce(before["down"], F.lit(0.0)).alias("down"),
+    )
+    chained = ends.withColumn("_start", F.when(F.coalesce(before["known"], F.lit(True)), start)).select(
+        *block, F.last("_start", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("_start")
     )
-    series = charges.join(_moments(moments.filter(F.col("n") >= 3)).filter(F.col("std") > 0), keys)
-
-    def step(state: list[float], row: dict) -> dict | None:
-        x, mean, std = row["debit"], row["mean"], row["std"]
-        state[0] = max(0.0, state[0] + (x - mean) - slack * std)
-        state[1] = max(0.0, state[1] + (mean - x) - slack * std)
-        limit = threshold * std
-        raised = [side > limit for side in state]
-        for k in (0, 1):
-            if raised[k]:
-                state[k] = 0.0
-        if not any(raised):
-            return None
-        return {"date": row["date"], "seq": row["seq"], "old_amount": mean, "new_amount": x, "up": raised[0], "down": raised[1]}
-
-    alarms = O.fold_in_order(
-        series.select(*keys, "date", "seq", "debit", "mean", "std"),
-        keys,
-        ["date", "seq"],
-        lambda: [0.0, 0.0],
-        step,
-        "date date, seq bigint, old_amount double, new_amount double, up boolean, down boolean",
+    placed = series.join(chained, block, "left").select(
+        *keys,
+        F.coalesce("_start.day", F.lit(0)).alias("_first_day"),
+        F.coalesce("_start.part", F.lit(0)).alias("_first_part"),
+        "date", "seq", "debit", "mean", "std",
+        F.coalesce("_start.up", F.lit(0.0)).alias("_up"),
+        F.coalesce("_start.down", F.lit(0.0)).alias("_down"),
+    )
+    together = [*keys, "_first_day", "_first_part"]
+    kinds = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in (*keys, "date", "seq"))
+    alarms = (
+        placed.repartition(*together)
+        .sortWithinPartitions(*together, "date", "seq")
+        .mapInArrow(
+            _alarms(together, threshold, slack), f"{kinds}, old_amount double, new_amount double, up boolean, down boolean"
+        )
     )
     sides = F.array_compact(F.array(F.when(F.col("up"), F.lit(True)), F.when(F.col("down"), F.lit(False))))
     return alarms.select(*keys, "date", "seq", "old_amount", "new_amount", F.explode(sides).alias("is_up"))

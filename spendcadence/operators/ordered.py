@@ -14,16 +14,16 @@ order; only one small edge row per block is then windowed per key.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 HOT_ROWS = 1_000_000
 BLOCK_ROWS = 1_000_000
+TOGETHER = 1 << 18  # rows of series that are folded next to each other
 
 BLOCK = ["_block", "_part"]
 
@@ -121,43 +121,42 @@ def with_rank(
     )
 
 
-def fold_in_order(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    start: Callable[[], object],
-    step: Callable[[object, dict], dict | None],
-    schema: str,
-    end: Callable[[object], dict | None] | None = None,
-) -> DataFrame:
-    """Fold every key's rows in order, streaming: memory holds one batch and one state however long a series is.
+def grouped(
+    batches: Iterator[pa.RecordBatch], keys: Sequence[str], together: int = TOGETHER
+) -> Iterator[tuple[pa.Table, np.ndarray, bool]]:
+    """Rows that come ordered by ``keys``, as tables of about ``together`` rows.
 
-    ``step(state, row)`` changes the state and may return a record for the row; ``end(state)`` may return one for
-    the key.  Records are the columns of ``schema`` that follow ``keys``.
+    With each table come the places where its groups begin, and whether the first goes on with the last group of the
+    table before; a long group is never held whole.
     """
-    names = list(keys)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state = None, None
-        for batch in batches:
-            found: list[dict] = []
-            for row in batch.to_pylist():
-                key = tuple(row[k] for k in names)
-                if key != current:
-                    if current is not None and end is not None:
-                        add(found, current, end(state))
-                    current, state = key, start()
-                add(found, key, step(state, row))
-            yield pa.RecordBatch.from_pylist(found, schema=arrow)
-        if current is not None and end is not None:
-            last: list[dict] = []
-            add(last, current, end(state))
-            yield pa.RecordBatch.from_pylist(last, schema=arrow)
-
-    def add(found: list[dict], key: tuple, record: dict | None) -> None:
-        if record is not None:
-            found.append(dict(zip(names, key)) | record)
-
-    kinds = T.StructType([df.schema[k] for k in names] + T.StructType.fromDDL(schema).fields)
-    arrow = to_arrow_schema(kinds)
-    return df.repartition(*names).sortWithinPartitions(*names, *order).mapInArrow(work, kinds)
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def table() -> tuple[pa.Table, np.ndarray, bool]:
+        nonlocal last
+        rows = pa.Table.from_batches(held)
+        new = np.zeros(rows.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            code = rows[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        first = tuple(rows[k][0].as_py() for k in keys)
+        goes_on, last = first == last, tuple(rows[k][rows.num_rows - 1].as_py() for k in keys)
+        held.clear()
+        return rows, np.flatnonzero(new), goes_on
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= together:
+                yield table()
+    if held:
+        yield table()
+
+
+def side_by_side(sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(t, groups of more than t rows) for each t: groups are folded next to each other, a row of each at a time."""
+    order = np.argsort(-sizes, kind="stable")
+    counts = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), "left")
+    for t, count in enumerate(counts.tolist()):
+        yield t, order[:count]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendcadence.functions import rules as R
 from spendcadence.functions import text as T
-from spendcadence.operators.ordered import fold_in_order
+from spendcadence.operators.ordered import grouped
 
 TOLERANCE = 0.05
 
@@ -18,26 +20,75 @@ def _within(amount: Column, leader: Column, tolerance: float) -> Column:
     return F.abs(amount - leader) / leader < tolerance
 
 
+def _near(amounts: np.ndarray, leaders: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which amounts are close to one of the leaders, which come in order of size.
+
+    The further below or above an amount a leader is, the larger the share it is off, so only its neighbours count.
+    """
+    near = np.zeros(len(amounts), bool)
+    if len(leaders):
+        above = np.searchsorted(leaders, amounts)
+        for at in (above - 1, above):
+            leader = leaders[at.clip(0, len(leaders) - 1)]
+            near |= np.abs(amounts - leader) / leader < tolerance
+    return near
+
+
+def _new_leaders(amounts: np.ndarray, leaders: np.ndarray, tolerance: float) -> list[float]:
+    """The amounts, in their order, that are close neither to ``leaders`` nor to an earlier one of these."""
+    amounts = amounts[~_near(amounts, leaders, tolerance)]
+    found = []
+    while len(amounts):
+        leader = amounts[0]
+        found.append(float(leader))
+        # The leader itself goes whatever the tolerance.
+        amounts = amounts[1:][~(np.abs(amounts[1:] - leader) / leader < tolerance)]
+    return found
+
+
+def _leader_arrays(key: str, tolerance: float):
+    """(key, leaders) from rows ordered by key and first_seq; held are the leaders and one table of rows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, leaders = None, None
+        for rows, starts, goes_on in grouped(batches, [key]):
+            owners = rows[key].take(pa.array(starts)).combine_chunks()
+            amounts = rows["amount"].to_numpy()
+            found = []
+            for k, part in enumerate(np.split(amounts, starts[1:])):
+                known = leaders if k == 0 and goes_on else []
+                found.append(known + _new_leaders(part, np.sort(np.array(known, float)), tolerance))
+            if not goes_on and leaders is not None:
+                yield _batch(owner, [leaders])
+            yield _batch(owners.slice(0, len(found) - 1), found[:-1])
+            owner, leaders = owners.slice(len(found) - 1), found[-1]
+        if leaders is not None:
+            yield _batch(owner, [leaders])
+
+    def _batch(owners: pa.Array, found: list[list[float]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([owners, pa.array(found, pa.list_(pa.float64()))], [key, "leaders"])
+
+    return work
+
+
 def amount_leaders(credits: DataFrame, key: str = "account_id", tolerance: float = TOLERANCE) -> DataFrame:
     """Ordered leader array per key, from positive ``credit`` values in ``seq`` order.
 
     An amount close to no leader becomes one.  Equal amounts always join the same leader, so the input shrinks to
-    distinct amounts first (map-side combined); these are folded in order with the leaders as state, which differ
-    by the tolerance and so are a few hundred per key whatever the data.
+    distinct amounts first (map-side combined).  Of these, a key's are worked off in tables: what is close to known
+    leaders goes at once, by two look-ups in the ordered leaders; then the first that is left leads, and what it covers
+    goes, until nothing is left.  Leaders differ by the tolerance and so are a few hundred per key whatever the data.
     """
     distinct = (
         credits.filter(F.col("credit") > 0)
         .groupBy(key, F.col("credit").alias("amount"))
         .agg(F.min("seq").alias("first_seq"))
     )
-
-    def step(leaders: list[float], row: dict) -> None:
-        amount = row["amount"]
-        if not any(abs(amount - leader) / leader < tolerance for leader in leaders):
-            leaders.append(amount)
-
-    return fold_in_order(
-        distinct, [key], ["first_seq"], list, step, "leaders array<double>", end=lambda leaders: {"leaders": leaders}
+    kind = distinct.schema[key].dataType.simpleString()
+    return (
+        distinct.repartition(key)
+        .sortWithinPartitions(key, "first_seq")
+        .mapInArrow(_leader_arrays(key, tolerance), f"{key} {kind}, leaders array<double>")
     )
 
 

@@ -31,22 +31,35 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
-MAX_COLUMNS = 32  # cells read from a row of a statement file
 FILE_NAME = r"^(\d+)_(.+)\.csv$"
 
 
+def line_cells(line: Column) -> Column:
+    """The cells of a CSV line, however many: separated by commas, in quotes if need be, a quote in quotes doubled."""
+    quoted = lambda c: F.regexp_replace(F.regexp_replace(c, r'^"((?:[^"]|"")*)"', "$1"), '""', '"')
+    # A comma before the line makes the first cell begin like the others.
+    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"[^,]*|[^,]*)'), F.lit(1))
+    return F.transform(cells, lambda c: F.when(c.startswith('"'), quoted(c)).otherwise(c))
+
+
 def read_statement_files(spark: SparkSession, path: str) -> DataFrame:
-    """Text cells of CSV files named ``<account>_<statement>.csv``, each laid out by its own header.
+    """Text cells of CSV files named ``<account>_<statement>.csv``, each laid out by its own header of any width.
 
-    Rows carry account_id, statement_id and seq, which numbers an account's rows by statement and place in the
-    file.  Files can be split: a row's place is its block's offset and its number within the block.
+    A row is a line; cells behind the header's last are not used, missing ones are null, and empty lines are left out.  Rows carry account_id, statement_id and seq, which numbers an account's rows by statement and place in the
+    file.  Files can be split: a row's place is its block's offset and its number within the block, and blocks of a large file
+    are numbered apart.
     """
-    names = [f"_c{i}" for i in range(MAX_COLUMNS)]
-    lines = spark.read.schema(", ".join(f"{c} string" for c in names)).csv(path).select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("_file"),
-        F.col("_metadata.file_block_start").alias("_at"),
-        F.monotonically_increasing_id().alias("_row"),
-        F.array(*names).alias("_cells"),
+    lines = (
+        spark.read.text(path)
+        .select(
+            F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("_file"),
+            F.col("_metadata.file_block_start").alias("_at"),
+            F.monotonically_increasing_id().alias("_row"),
+            F.regexp_replace("value", "\r$", "").alias("_line"),
+        )
+        .filter(F.col("_line") != "")
+        .withColumn("_cells", line_cells(F.col("_line")))
+        .drop("_line")
     )
     titles = F.transform("_cells", lambda c: F.lower(T.strip(F.regexp_replace(F.coalesce(c, F.lit("")), "^\ufeff", ""))))
     lines = lines.withColumn("_titles", titles)
@@ -73,7 +86,7 @@ def read_statement_files(spark: SparkSession, path: str) -> DataFrame:
         )
     )
     order = ["statement_id", "_at", "_row"]
-    numbered = with_rank(laid_out, ["account_id"], order, F.col("statement_id"), F.lit(0), "seq")
+    numbered = with_rank(laid_out, ["account_id"], order, F.col("statement_id"), F.col("_at"), "seq")
     return numbered.select("account_id", "statement_id", F.col("seq").cast("bigint").alias("seq"), *ALIASES)
 
 

@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from spendcadence.operators import patterns
+from spendcadence.operators import ordered, patterns
 from spendcadence.sources import statement_csv, statement_text
 
 HEAD = "Statement Period: 01{0}24 to 28{0}24\n"
@@ -50,3 +51,33 @@ def test_split_files_keep_their_order(spark, tmp_path):
     rows = statement_csv.read_statement_files(spark, str(tmp_path)).orderBy("seq").collect()
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r.description for r in rows] == [f"row {k}" for k in range(4000)]
+
+
+def test_wide_files_and_odd_cells(spark, tmp_path):
+    extra = ",".join(f"x{k}" for k in range(40))
+    (tmp_path / "3_wide.csv").write_bytes(
+        (f"{extra},Date,Description,Amount\r\n" + "".join(f"{extra},2024-01-0{k},\"say \"\"{k}\"\", now\",-{k}.00\r\n\r\n" for k in range(1, 6))).encode()
+    )
+    (tmp_path / "3_short.csv").write_text("Date,Description,Debit,Credit\n2024-02-01,ends early,4.00\n,,,\n2024-02-02,,5.00,,surplus,cells\n")
+    (tmp_path / "4_none.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "5_empty.csv").write_text("")
+    raw = statement_csv.read_statement_files(spark, str(tmp_path))
+    rows = statement_csv.read_statement_rows(raw, ["account_id", "statement_id", "seq"]).orderBy("account_id", "seq").collect()
+    assert [(r.account_id, r.statement_id, r.description, r.debit) for r in rows] == [
+        (3, "short", "ends early", 4.0), (3, "short", "", 5.0), *[(3, "wide", f'say "{k}", now', float(k)) for k in range(1, 6)],
+    ]
+    assert [r.seq for r in rows] == [1, 3, 4, 5, 6, 7, 8]
+
+
+def test_blocks_of_one_file_are_numbered_apart(spark, tmp_path):
+    lines = "\n".join(f"2024-01-01,row {k},{k + 1}.00,,0" for k in range(3000))
+    (tmp_path / "7_x.csv").write_text("Date,Description,Debit,Credit,Balance\n" + lines + "\n")
+    (tmp_path / "7_a.csv").write_text("Credit,Narrative,Value Date\n1.00,first,2024-01-01\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ordered, "HOT_ROWS", 100)
+        patch.setattr(ordered.with_rank, "__defaults__", (100,))
+        rows = statement_csv.read_statement_files(spark, str(tmp_path)).orderBy("seq").collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.seq for r in rows] == list(range(1, 3002))
+    assert [r.description for r in rows] == ["first", *[f"row {k}" for k in range(3000)]]

@@ -58,6 +58,62 @@ def test_hundred_thousand_alarms_in_one_series(spark):
     assert found.count() == len(brute_drift([1.0 if i % 2 == 0 else 9.0 for i in range(200_000)]))
 
 
+def drift_of(spark, data, block_rows):
+    found = CH.cusum_drift(charges(spark, data), block_rows=block_rows).collect()
+    return sorted((r["vendor"], r["seq"], r["is_up"]) for r in found)
+
+
+def sequential(xs):
+    """The fold as it is defined, with mean and deviation from whole cents like the operator's."""
+    cents = [round(x * 100) for x in xs]
+    n, s, q = len(xs), sum(cents), sum(c * c for c in cents)
+    mean, std = float(s) / n / 100.0, float(n * q - s * s) ** 0.5 / n / 100.0
+    out, up, down = [], 0.0, 0.0
+    for i, x in enumerate(xs):
+        up, down = max(0.0, up + (x - mean) - 0.5 * std), max(0.0, down + (mean - x) - 0.5 * std)
+        if up > 1.5 * std:
+            out.append((i, True))
+            up = 0.0
+        if down > 1.5 * std:
+            out.append((i, False))
+            down = 0.0
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [2, 7, 50, 100_000])
+def test_blocks_of_a_series_give_the_sequential_fold(spark, block_rows):
+    rng = random.Random(block_rows)
+    data = {
+        "noise": [round(rng.gauss(20, 4), 2) for _ in range(400)],
+        "steps": [10.0 + 5 * (i // 90) for i in range(360)],  # rises for long, so starts stay unknown over several blocks
+        "turns": [1.0 if i % 2 else 9.0 for i in range(300)],
+        "slow": [round(10 + i * 0.01, 2) for i in range(350)],
+        "jumps": [rng.choice([5.0, 5.0, 5.0, 50.0]) for _ in range(200)],
+    }
+    want = sorted((v, i, up) for v, xs in data.items() for i, up in sequential(xs))
+    assert drift_of(spark, data, block_rows) == want
+
+
+def test_dense_days_are_cut_by_seq(spark):
+    rng = random.Random(5)
+    xs = [round(rng.gauss(20, 4), 2) for _ in range(900)]
+    rows = charges(spark, {"a": xs}).withColumn("date", F.expr("date_add(date'2024-01-01', cast(seq div 300 as int))"))
+    plans = CH.cusum_drift(rows, block_rows=40)
+    assert sorted((r["seq"], r["is_up"]) for r in plans.collect()) == sequential(xs)
+
+
+def test_a_million_charges_of_one_series(spark):
+    df = spark.range(1_000_000).selectExpr(
+        "1 AS account_id", "'a' AS vendor", "id AS seq", "date_add(date'1990-01-01', cast(id div 100 AS int)) AS date",
+        "cast(1000 + pmod(hash(id), 2000) AS double) / 100 AS debit",
+    )
+    xs = [r.debit for r in df.orderBy("seq").select("debit").collect()]
+    found = CH.cusum_drift(df)
+    assert sorted((r["seq"], r["is_up"]) for r in found.collect()) == sequential(xs)
+    dealt = found.select("seq", F.spark_partition_id().alias("p")).select("p").distinct().count()
+    assert dealt > 1
+
+
 def test_plans_start_no_job(spark):
     data = charges(spark, {"a": [10, 10, 20, 20]})
     tracker = spark.sparkContext.statusTracker()

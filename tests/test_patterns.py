@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from spendcadence.operators import ordered as O
 from spendcadence.operators import patterns as PT
 
 
@@ -33,6 +34,33 @@ def test_fold_equals_sequential_scan(spark):
     assert {r["account_id"]: r["leaders"] for r in found} == {k: brute_leaders(v) for k, v in data.items()}
 
 
+@pytest.mark.parametrize("together", [3, 50, 1 << 18])
+def test_leaders_in_tables_of_any_size(spark, monkeypatch, together):
+    rng = random.Random(together)
+    data = {k: [round(rng.choice([rng.uniform(0.01, 2), rng.uniform(1, 900)]), 2) for _ in range(150)] for k in range(6)}
+    data[7] = [100.0, 105.0, 95.0, 105.01, 94.99, 110.26]
+    monkeypatch.setattr(O, "TOGETHER", together)
+    monkeypatch.setattr(O.grouped, "__defaults__", (together,))
+    rows = credits(spark, data).repartition(1)
+    found = {}
+    batches = rows.groupBy("account_id", F.col("credit").alias("amount")).agg(F.min("seq").alias("first_seq")).filter("amount > 0")
+    ordered = batches.orderBy("account_id", "first_seq").toArrow().to_batches(max_chunksize=40)
+    for batch in PT._leader_arrays("account_id", 0.05)(iter(ordered)):
+        found |= dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    assert found == {k: brute_leaders(v) for k, v in data.items()}
+
+
+def test_a_million_amounts_of_one_account(spark):
+    df = spark.range(1_000_000).selectExpr(
+        "1 AS account_id", "id AS seq", "date'2024-01-01' AS date", "cast(1 + pmod(id * 7919, 1000003) AS double) / 100 AS credit"
+    )
+    leaders = PT.amount_leaders(df).first().leaders
+    values = [(1 + i * 7919 % 1000003) / 100 for i in range(1_000_000)]
+    assert leaders[:40] == brute_leaders(values[:4000])[:40]
+    assert all(min(abs(v - lead) / lead for lead in leaders) < 0.05 for v in values[::997])
+    assert all(abs(b - a) / a >= 0.05 for k, b in enumerate(leaders) for a in leaders[:k])
+
+
 def test_salary_prefers_count_then_total_then_first(spark):
     df = credits(spark, {1: [10, 10, 500, 500], 2: [10, 20], 3: [100, 100, 100, 900, 900]})
     found = {r["account_id"]: (r["amount"], r["occurrences"]) for r in PT.detect_salary(df).collect()}
