@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendcadence.operators import travel_features as TF
+from spendcadence.session import released, stored
 
 SEED = 42
 VOCABULARY = 500
@@ -183,10 +184,12 @@ class TravelModel:
 
 
 def fit(labeled: DataFrame, trees: int = TRAVEL_TREES, trigger_trees: int = TRIGGER_TREES) -> TravelModel:
-    """Train both models on (text, label, trigger_type) rows."""
+    """Train both models on (text, label, trigger_type) rows; their features are written once and read by both."""
     text = fit_tfidf(labeled)
-    features = assemble(labeled, text)
-    return TravelModel(text, train_travel_model(features, trees), train_trigger_model(features, trigger_trees))
+    features = stored(assemble(labeled, text).select("label", "trigger_type", "features"))
+    model = TravelModel(text, train_travel_model(features, trees), train_trigger_model(features, trigger_trees))
+    released(features)
+    return model
 
 
 def confusion_matrix(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

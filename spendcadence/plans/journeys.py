@@ -15,7 +15,7 @@ from spendcadence.operators import travel_model as TM
 from spendcadence.plans import adapters as A
 from spendcadence.plans import oracle_base as S
 from spendcadence.plans.registry import query
-from spendcadence.session import ensure_checkpoint_dir
+from spendcadence.session import ensure_checkpoint_dir, stored
 from spendcadence.sinks import reports as RP
 from spendcadence.sources import events as E
 
@@ -289,7 +289,7 @@ def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    parts = TM.stratified_split(training(spark, sf))
+    parts = stored(TM.stratified_split(training(spark, sf)))
     return parts.filter("not is_test"), parts.filter("is_test")
 
 
@@ -301,7 +301,7 @@ def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def train_travel_model(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _split(spark, sf)
     text = TM.fit_tfidf(train)
-    forest = TM.train_travel_model(TM.assemble(train, text))
+    forest = TM.train_travel_model(stored(TM.assemble(train, text).select("label", "features")))
     return forest.transform(TM.assemble(test, text)).select("event_id", "label", F.col("prediction").cast("int"))
 
 

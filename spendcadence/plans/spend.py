@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from spendcadence.operators import risk as RK
 from spendcadence.plans import adapters as A
 from spendcadence.plans import oracle_base as S
 from spendcadence.plans.registry import query
+from spendcadence.session import stored
 from spendcadence.sinks import reports as RP
 
 
@@ -548,8 +548,8 @@ def account_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def statement_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """All sections read one classified table, kept on the executors' disks once the documents are computed."""
-    rows = classified(spark, sf).persist(StorageLevel.DISK_ONLY)
+    """All sections read one classified table, which is written once below the checkpoint folder."""
+    rows = stored(classified(spark, sf))
     subscriptions, salary, expenses = (
         PT.detect_subscriptions(rows), PT.detect_salary(rows), PT.detect_expenses(rows)
     )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # Runtime settings the operators are designed for.  A join whose hot key would
@@ -49,3 +50,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spendcadence-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table below the checkpoint folder, for several readers; no cached plan stays behind.
+
+    :func:`released` takes the table away after its last reader.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def released(table: DataFrame) -> None:
+    """Delete a table made by :func:`stored`."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

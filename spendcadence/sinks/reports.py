@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendcadence.operators.travel_model import TravelModel, evaluate_model
@@ -164,5 +164,20 @@ def evaluation_report(scored: DataFrame, model: TravelModel, cv: tuple[float, fl
 
 
 def write_documents(documents: DataFrame, path: str, fmt: str = "json") -> None:
-    """Write documents as JSON lines (or any built-in format)."""
-    documents.write.mode("overwrite").format(fmt).save(path)
+    """Write documents as JSON lines (or any built-in format): headers and months below ``path``, months by partition.
+
+    Writing is idempotent: headers are replaced, and so is each month that the documents hold; other months stay as they
+    are.  So a rerun over one month's rows rewrites that month alone.
+    """
+    headers = documents.filter(F.col("month") == HEADER).drop("month")
+    headers.write.mode("overwrite").format(fmt).save(f"{path}/headers")
+    months = documents.filter(F.col("month") != HEADER)
+    by_month = months.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month")
+    by_month.format(fmt).save(f"{path}/months")
+
+
+def read_documents(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """The documents of :func:`write_documents`, headers with an empty month."""
+    headers = spark.read.format(fmt).load(f"{path}/headers").withColumn("month", F.lit(HEADER))
+    months = spark.read.format(fmt).load(f"{path}/months").withColumn("month", F.col("month").cast("string"))
+    return headers.unionByName(months, allowMissingColumns=True)

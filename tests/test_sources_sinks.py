@@ -1,11 +1,13 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from spendcadence.operators import classify as CL
 from spendcadence.plans import adapters as A
 from spendcadence.plans import journeys, spend, value
+from spendcadence.session import released, stored
 from spendcadence.sinks import reports as RP
 from spendcadence.sources import events as E
 from spendcadence.sources import profiles as P
@@ -130,11 +132,44 @@ def test_documents_hold_every_transaction_by_month(spark, sf_small, tmp_path):
     months = docs.filter(F.col("month") != RP.HEADER)
     assert months.agg(F.sum(F.size("transactions"))).first()[0] == rows.count()
     assert months.filter("exists(transactions, t -> substr(t.date, 1, 7) <> month)").count() == 0
-    RP.write_documents(header.limit(2), str(tmp_path / "docs"))
-    doc = spark.read.json(str(tmp_path / "docs")).first()
+    RP.write_documents(docs, str(tmp_path / "docs"))
+    doc = spark.read.json(str(tmp_path / "docs" / "headers")).filter("paycycle_map IS NOT NULL").first()
     assert len(doc["paycycle_map"]) == 30 and doc["summary"]["total_subscriptions"] == len(doc["subscriptions"])
 
 
+def test_a_rerun_of_a_month_replaces_that_month(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    rows = [(k, m, [k]) for k in (1, 2) for m in ("", "2024-01", "2024-02", "2024-03")]
+    docs = spark.createDataFrame(rows, "account_id int, month string, transactions array<int>")
+    RP.write_documents(docs, path)
+    files = {f: f.stat().st_mtime_ns for f in (tmp_path / "docs" / "months").rglob("part-*")}
+    again = spark.createDataFrame([(1, "", [9]), (1, "2024-02", [7, 8])], docs.schema)
+    for _ in range(2):
+        RP.write_documents(again, path)
+    found = sorted((r.month, r.account_id, r.transactions) for r in RP.read_documents(spark, path).collect())
+    others = [(m, k, [k]) for m in ("2024-01", "2024-03") for k in (1, 2)]
+    assert found == sorted([("", 1, [9]), ("2024-02", 1, [7, 8]), *others])
+    kept = [f for f in files if "2024-02" not in str(f)]
+    assert kept and all(f.stat().st_mtime_ns == files[f] for f in kept)
+
+
+def test_reports_leave_no_cached_plan(spark, sf_small):
+    spark.catalog.clearCache()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    spend.statement_documents(spark, sf_small).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    plan = spend.classified(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" not in plan
+
+
+def test_stored_tables_can_be_released(spark):
+    table = stored(spark.range(5))
+    assert table.count() == 5
+    released(table)
+    with pytest.raises(Exception):
+        spark.read.parquet(table.stored_at).count()
+
+
 def test_usage_and_travel_documents(spark, sf_small):
     doc = value.usage_documents(spark, sf_small).filter("results is not null").first()
     assert doc["count"] == len(doc["results"]) and [r["app_name"] for r in doc["results"]] == sorted(r["app_name"] for r in doc["results"])
