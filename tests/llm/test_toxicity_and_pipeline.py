@@ -237,7 +237,8 @@ def test_odd_rows_pass_through_every_stage(spark, sf_small, tmp_path):
             given = [tuple(r)[2:4] + tuple(r)[5:] for r in before.collect()]
             assert all(tuple(r)[2:4] + tuple(r)[5:] in given for r in docs.collect()), name
         if name == "exact_dedup":
-            assert sorted(r.doc_id for r in docs.filter("text LIKE 'same%'").collect()) in ([], [3])
+            # rows that repeat an id and text carry one decision, so both rows of 3 stay
+            assert {r.doc_id for r in docs.filter("text LIKE 'same%'").collect()} <= {3}
         if name == "ngram_jaccard_join":
             assert docs.filter("doc_id = 21").count() == 0
 
