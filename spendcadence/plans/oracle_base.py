@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import glob
+import os
+import zipfile
 from collections.abc import Sequence
 
+import pyspark
+
 from spendcadence.functions import rules as R
 from spendcadence.plans import adapters as A
 
@@ -597,7 +602,7 @@ PERIODS_MERGED = """
   GROUP BY user_id, island"""
 
 LOCALS = f"""
-  SELECT c_custkey // 10 AS user_id, {pick('c_custkey % 6', [n for n, _ in A.LOCAL_KINDS])} || ' ' || c_custkey AS name,
+  SELECT c_custkey // 10 AS user_id, {pick('c_custkey % 6', [n for n, _ in A.LOCAL_KINDS])} || ' ' || c_custkey % {A.SERVICES} AS name,
          {pick('c_custkey % 6', [w for _, w in A.LOCAL_KINDS])} AS location_type, (20 + c_custkey % 80)::DOUBLE AS monthly_cost,
          c_custkey % 6 <> 4 AS is_local, c_custkey % 3 = 0 AS can_pause, c_custkey % 2 = 0 AS can_rejoin,
          (10 * (c_custkey % 4))::DOUBLE AS penalty, c_custkey AS key
@@ -638,6 +643,42 @@ ATTACHED = f"""
                destination IN ('JFK Airport', 'Nassau, Bahamas', 'Boston', 'Miami') AND key % 4 <> 3 AS hit
         FROM recommendations)"""
 
+
+
+def stop_words() -> list[str]:
+    """The English stop words that Spark ML ships, read from its library."""
+    homes = [os.environ.get("SPARK_HOME", ""), os.path.dirname(pyspark.__file__)]
+    library = next(p for home in homes for p in glob.glob(os.path.join(home, "jars", "spark-mllib_*.jar")))
+    with zipfile.ZipFile(library) as jar:
+        return jar.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
+
+
+def term_counts(source: str, key: str) -> str:
+    """How often each word and word pair stands in a text: (key, term, n)."""
+    stops = ", ".join(quote(w) for w in stop_words())
+    return f"""
+  SELECT {key}, term, count(*) AS n FROM (
+    SELECT {key}, unnest(list_concat(kept, list_transform(range(1, len(kept)), lambda i: kept[i] || ' ' || kept[i + 1]))) AS term
+    FROM (SELECT {key}, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{Nl}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]{{2,}}'),
+                                    lambda w: NOT list_contains([{stops}], w)) AS kept FROM {source}))
+  GROUP BY ALL"""
+
+
+def vocabulary(counts: str, source: str, where: str = "TRUE") -> str:
+    """The 500 most frequent terms of two texts or more: (term, docs, idf)."""
+    return f"""
+  SELECT term, count(*) AS docs, ln(((SELECT count(*) FROM {source} WHERE {where}) + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf
+  FROM {counts} WHERE {where} GROUP BY term HAVING count(*) >= 2 ORDER BY sum(n) DESC, term LIMIT 500"""
+
+
+def tfidf(source: str, key: str) -> str:
+    """Weights of unit length: (key, term, weight)."""
+    return f"""
+  SELECT {key}, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY {key})), 8) AS weight FROM (
+    WITH counts AS ({term_counts(source, key)}), vocabulary AS ({vocabulary("counts", source)})
+    SELECT {key}, term, (1 + ln(n)) * idf AS w FROM counts JOIN vocabulary USING (term))"""
+
+
 CTES: dict[str, tuple[str, list[str]]] = {
     "tx": (_tx(False), []),
     "cls": (_classified("tx"), ["tx"]),
@@ -680,6 +721,21 @@ CTES: dict[str, tuple[str, list[str]]] = {
     "insights": (INSIGHTS, ["verdicts"]),
     "calendar": (CALENDAR, []),
     "texts": (TEXTS, ["calendar"]),
+    "termcounts": (term_counts("texts", "event_id"), ["texts"]),
+    "vocabulary": (vocabulary("termcounts", "texts"), ["termcounts", "texts"]),
+    "trainrows": (
+        """SELECT * FROM texts WHERE event_id NOT IN (SELECT event_id FROM (
+             SELECT event_id, row_number() OVER (PARTITION BY is_travel ORDER BY md5('42:' || event_id))
+                      <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY is_travel)) AS is_test FROM calendar) WHERE is_test)""",
+        ["texts", "calendar"],
+    ),
+    "traincounts": (term_counts("trainrows", "event_id"), ["trainrows"]),
+    "folds": (
+        """SELECT *, ((row_number() OVER (PARTITION BY is_travel ORDER BY md5('42:fold:' || event_id)) - 1) % 5)::INT AS fold
+           FROM texts""",
+        ["texts"],
+    ),
+    "foldcounts": ("SELECT fold, termcounts.* FROM termcounts JOIN folds USING (event_id)", ["termcounts", "folds"]),
     "away": (AWAY, ["texts"]),
     "merged": (PERIODS_MERGED, ["away"]),
     "locals": (LOCALS, []),

@@ -1,8 +1,10 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from spendcadence.operators import term_weights as TW
 from spendcadence.operators import travel_model as TM
 from spendcadence.plans import journeys
 
@@ -42,6 +44,77 @@ def test_model_predicts_saves_and_reloads(spark, rows, sf_small, tmp_path):
     assert len(top) == 15 and top[0]["importance"] >= top[-1]["importance"]
 
 
+TEXTS = ["Flight to Boston tonight", "flight to boston", "Gym class, gym class and the gym class", "", None, "gym"]
+
+
+def by_hand(texts, size, min_docs):
+    """Weights of each text: words of two letters and more without stop words, their pairs, sklearn-like weights."""
+    stops = {"to", "and", "the"}
+    docs = []
+    for text in texts:
+        words = [w for w in (text or "").lower().replace(",", " ").split() if len(w) > 1 and w not in stops]
+        docs.append(Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])]))
+    df = Counter(t for d in docs for t in d)
+    total = Counter()
+    for d in docs:
+        total.update(d)
+    terms = sorted((t for t in df if df[t] >= min_docs), key=lambda t: (-total[t], t))[:size]
+    idf = {t: math.log((len(docs) + 1) / (df[t] + 1)) + 1 for t in terms}
+    raw = [{t: (1 + math.log(n)) * idf[t] for t, n in d.items() if t in idf} for d in docs]
+    return terms, [{t: w / math.sqrt(sum(x * x for x in d.values())) for t, w in d.items()} for d in raw]
+
+
+@pytest.mark.parametrize("size, min_docs", [(500, 1), (500, 2), (3, 1), (4, 3)])
+def test_term_weights_by_hand(spark, size, min_docs):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "event_id long, text string")
+    terms = TW.vocabulary(df, size=size, min_docs=min_docs)
+    expected, weights = by_hand(TEXTS, size, min_docs)
+    assert [r["term"] for r in terms.orderBy("index").collect()] == expected
+    found = [{} for _ in TEXTS]
+    for r in TW.tfidf_rows(df, terms, "event_id").collect():
+        found[r["event_id"]][r["term"]] = r["weight"]
+    assert [sorted(d) for d in found] == [sorted(d) for d in weights]
+    assert all(math.isclose(found[i][t], w) for i, d in enumerate(weights) for t, w in d.items())
+
+
+def test_vectors_hold_the_same_weights(rows):
+    terms = TW.vocabulary(rows)
+    names = [r["term"] for r in terms.orderBy("index").collect()]
+    wide = TM.fit_tfidf(rows).transform(rows).select("event_id", TM.vector_to_array("tfidf").alias("v"))
+    vectors = {r["event_id"]: {names[i]: v for i, v in enumerate(r["v"]) if v} for r in wide.collect()}
+    sparse = {i: {} for i in vectors}
+    for r in TW.tfidf_rows(rows, terms, "event_id").collect():
+        sparse[r["event_id"]][r["term"]] = r["weight"]
+    assert {i: sorted(d) for i, d in vectors.items()} == {i: sorted(d) for i, d in sparse.items()}
+    assert all(math.isclose(sparse[i][t], w) for i, d in vectors.items() for t, w in d.items())
+
+
+def test_no_rows_and_no_terms(spark):
+    empty = spark.createDataFrame([], "event_id long, text string")
+    assert TW.vocabulary(empty).collect() == [] and TW.tfidf_rows(empty, TW.vocabulary(empty), "event_id").collect() == []
+    lone = spark.createDataFrame([(1, "only here"), (2, None)], "event_id long, text string")
+    assert TW.vocabulary(lone).collect() == []
+    assert [list(r["v"]) for r in TM.fit_tfidf(lone).transform(lone.filter("text is not null")).select(
+        TM.vector_to_array("tfidf").alias("v")).collect()] == [[0.0]]
+
+
+def test_a_folds_vocabulary_is_that_of_the_other_rows(rows):
+    dealt = TM.stratified_folds(rows, 3).cache()
+    left = {(r["fold"], r["index"]): (r["term"], r["docs"], r["idf"]) for r in TW.fold_vocabularies(dealt, "fold", 3).collect()}
+    for fold in range(3):
+        alone = TW.vocabulary(dealt.filter(F.col("fold") != fold)).collect()
+        assert {(fold, r["index"]): (r["term"], r["docs"], r["idf"]) for r in alone} == {k: v for k, v in left.items() if k[0] == fold}
+
+
+def test_folds_are_stratified(rows):
+    sizes = {(r["label"], r["fold"]): r["count"] for r in TM.stratified_folds(rows).groupBy("label", "fold").count().collect()}
+    assert {f for _, f in sizes} == set(range(5))
+    for label in (0, 1):
+        of_label = [n for (at, _), n in sizes.items() if at == label]
+        assert max(of_label) - min(of_label) <= 1
+    assert sum(sizes.values()) == rows.count()
+
+
 def test_cross_validation(rows):
     mean, deviation = TM.cross_validate(rows, folds=2, trees=5)
     assert mean > 0.95 and deviation >= 0.0

@@ -114,3 +114,29 @@ def test_features(spark):
     row, other = TF.event_features(df).collect()
     assert (row["travel_keyword_count"], row["local_keyword_count"], row["has_airport_code"], row["has_foreign_country"]) == (3, 1, 1, 1)
     assert (row["text_length"], row["travel_ratio"], other["has_foreign_country"], other["travel_ratio"]) == (len(text), 0.75, 0, 0.0)
+
+
+def test_a_pair_that_many_share_is_joined_in_slots(spark):
+    places = ["Boston"] * 60 + ["Miami"] * 7 + ["Unknown"] * 9 + [""] * 5 + [None] * 6 + ["Nowhere"] * 15
+    rows = [(i, "Gym" if i % 13 else None, place, "portable" if i % 5 == 0 else "local") for i, place in enumerate(places)]
+    recs = spark.createDataFrame(rows, "user_id int, subscription string, destination string, location_type string")
+    found = spark.createDataFrame(
+        [("Gym", "Boston", ["a"], "a", "t"), ("Gym", "Miami", [], None, "u")],
+        "subscription string, destination string, options array<string>, best_value_option string, tip string",
+    )
+    eligible = F.col("destination").isin("Boston", "Miami", "Nowhere") & (F.col("location_type") != "portable")
+    left, right = TV.pairs_in_slots(recs, found, eligible, hot_rows=5)
+    heavy = sum(1 for i, name, place, kind in rows if place == "Boston" and kind != "portable" and name)
+    slots = -(-heavy // 5)
+    assert right.filter("destination = 'Boston'").count() == slots
+    boston = left.filter(eligible & (F.col("destination") == "Boston") & F.col("subscription").isNotNull())
+    assert boston.agg(F.countDistinct("_slot")).first()[0] > slots // 2
+    many = TV.attach_alternatives(recs, found, hot_rows=5).select("user_id", "alternatives")
+    one = TV.attach_alternatives(recs, found).select("user_id", "alternatives")
+    assert sorted(map(str, many.collect())) == sorted(map(str, one.collect())) and many.count() == len(rows)
+    told = {r["user_id"]: r["alternatives"] for r in many.collect()}
+    for i, name, place, kind in rows:
+        if kind == "portable" or place in ("", None, "Unknown"):
+            assert told[i] is None
+        else:
+            assert told[i]["alternatives_found"] == (name == "Gym" and place in ("Boston", "Miami"))
