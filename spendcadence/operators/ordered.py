@@ -97,13 +97,14 @@ def with_rank(
     part: Column,
     name: str,
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """``name`` = 1-based position of the row in its key.
 
     ``(block, part)`` must not decrease along ``order``; a row's rank is its
     position in its block plus the row count of the blocks before it.
     """
-    marked = mark_blocks(df, keys, block, part, hot_rows=hot_rows)
+    marked = mark_blocks(df, keys, block, part, hot=hot, hot_rows=hot_rows)
     groups = [*keys, *BLOCK]
     inside = marked.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
     sizes = (
@@ -121,6 +122,29 @@ def with_rank(
     )
 
 
+def with_split_rank(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """:func:`with_rank` for any order: a hot key is cut at seams drawn from its own ``order`` values.
+
+    A hash of the values draws one in ``hot_rows / 2`` of them, so that every branch of a plan and every retried task
+    agrees on the seams.  Blocks hold ``hot_rows / 2`` rows on average, however the values are distributed; only rows that
+    agree in all of ``order`` stay together.  Seams of all hot keys number about 2 * rows / ``hot_rows``, which bounds
+    their broadcast.  Where no key is hot, adaptive execution removes this part.
+    """
+    place = F.struct(*order)
+    hot = hot_keys(df, keys, hot_rows)
+    drawn = F.pmod(F.xxhash64(*order), F.lit(max(hot_rows // 2, 1))) == 0
+    seams = (
+        df.join(F.broadcast(hot), list(keys)).filter(drawn).groupBy(*keys).agg(F.collect_set(place).alias("_seams"))
+    )
+    below = F.size(F.filter("_seams", lambda seam: seam <= place))
+    cut = df.join(F.broadcast(seams), list(keys), "left").withColumn(
+        "_below", F.when(F.col("_seams").isNull(), 0).otherwise(below)
+    ).drop("_seams")
+    return with_rank(cut, keys, order, F.lit(0), F.col("_below"), name, hot_rows, hot).drop("_below")
+
+
 def grouped(
     batches: Iterator[pa.RecordBatch], keys: Sequence[str], together: int = TOGETHER
 ) -> Iterator[tuple[pa.Table, np.ndarray, bool]]:

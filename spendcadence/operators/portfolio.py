@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from spendcadence.functions import text as T
 from spendcadence.operators import ordered as O
-from spendcadence.operators.usage import UNUSED_COST
 
 # Fixed value: recommendation text.
 ADVICE = (
@@ -53,17 +52,13 @@ def category_saturation(verdicts: DataFrame, key: str = "user_id") -> DataFrame:
 def rank_by_value(verdicts: DataFrame, key: str = "user_id", hot_rows: int = O.HOT_ROWS) -> DataFrame:
     """Rank in saturated categories by cost per hour (then name), best and worst flags.
 
-    A user with very many apps in one category is cut into blocks of similar
-    cost; unused apps all cost the same and are cut by their first letter.
+    A user with very many apps in one category is cut at seams drawn from the
+    apps' own (cost, name), so apps of equal cost are split by their names.
     """
     keys = [key, "category"]
     counts = verdicts.groupBy(*keys).agg(F.count(F.lit(1)).alias("subscription_count"))
     saturated = verdicts.join(counts.filter(F.col("subscription_count") >= 2), keys)
-    cph = F.col("cph")
-    side = F.when(cph < UNUSED_COST, 0).when(cph == UNUSED_COST, 1).otherwise(2)
-    block = F.floor(F.ln(F.greatest(cph, F.lit(1e-9))) * 1000) * 3 + side
-    part = F.when(cph == UNUSED_COST, F.ascii(F.col("app_name"))).otherwise(F.lit(0))
-    ranked = O.with_rank(saturated, keys, ["cph", "app_name"], block, part, "rank", hot_rows)
+    ranked = O.with_split_rank(saturated, keys, ["cph", "app_name"], "rank", hot_rows)
     return ranked.select(
         key,
         "category",

@@ -47,3 +47,32 @@ def test_hot_blocks_are_bounded(series):
     sizes = marked.groupBy("k", *O.BLOCK).count()
     assert sizes.filter("_block is not null").agg(F.max("count")).first()[0] <= 100
     assert sizes.filter("_block is null").agg(F.max("count")).first()[0] <= 50
+
+
+@pytest.mark.parametrize("hot_rows", [40, 10_000])
+def test_split_rank_equals_brute_force(spark, hot_rows):
+    rng = random.Random(3)
+    # One key where all but a few values agree up to the tail of the name, one ordinary key, one with a null value.
+    rows = [(0, 9.0, f"Application {i:05d}") for i in rng.sample(range(90_000), 700)] + [(0, 1.5, "z"), (0, None, "n")]
+    rows += [(1, float(i % 3), f"a{i}") for i in range(20)] + [(2, None, "x"), (2, 0.0, "y")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k int, cost double, app string").repartition(5)
+    expected = {}
+    for k in range(3):
+        of_key = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0.0, r[2]))
+        expected.update({(k, r[2]): i + 1 for i, r in enumerate(of_key)})
+    out = O.with_split_rank(df, ["k"], ["cost", "app"], "rank", hot_rows=hot_rows)
+    assert out.columns == ["k", "cost", "app", "rank"]
+    assert {(r["k"], r["app"]): r["rank"] for r in out.collect()} == expected
+
+
+def test_seams_bound_blocks_of_equal_cost(spark, monkeypatch):
+    df = spark.range(200_000).selectExpr("1 AS k", "9.0D AS cost", "format_string('Application %09d', id) AS app")
+    seen = []
+    inner = O.mark_blocks
+    monkeypatch.setattr(O, "mark_blocks", lambda *a, **kw: seen.append(inner(*a, **kw)) or seen[-1])
+    ranked = O.with_split_rank(df, ["k"], ["cost", "app"], "rank", hot_rows=10_000)
+    wrong = ranked.filter("rank <> cast(substring(app, 13, 9) AS int) + 1")
+    assert wrong.count() == 0 and ranked.count() == 200_000
+    largest = seen[0].groupBy("k", *O.BLOCK).count().agg(F.max("count")).first()[0]
+    assert largest <= 50_000
