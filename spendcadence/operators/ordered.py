@@ -97,6 +97,7 @@ def with_rank(
     part: Column,
     name: str,
     hot_rows: int = HOT_ROWS,
+    *,
     hot: DataFrame | None = None,
 ) -> DataFrame:
     """``name`` = 1-based position of the row in its key.
@@ -142,7 +143,7 @@ def with_split_rank(
     cut = df.join(F.broadcast(seams), list(keys), "left").withColumn(
         "_below", F.when(F.col("_seams").isNull(), 0).otherwise(below)
     ).drop("_seams")
-    return with_rank(cut, keys, order, F.lit(0), F.col("_below"), name, hot_rows, hot).drop("_below")
+    return with_rank(cut, keys, order, F.lit(0), F.col("_below"), name, hot_rows, hot=hot).drop("_below")
 
 
 def grouped(
