@@ -6,8 +6,10 @@ first n - ceil(percent * n) + 1 of either, so only those are posted to the inver
 between sets then save work, and none can lose a link:
 
 * equal sets are one class, represented by its smallest id;
-* in a list, which is ordered by set size, an entry meets only entries of sizes that can reach the threshold
-  (the rest of the list is skipped at once), and whose 512-bit parity sketch is near enough (differing bits are
+* a list is ordered by set size and by the token's position in the set, and entries of equal size and position are
+  a cell: two sets share at most the lesser of the positions before the token and the lesser of the rests behind
+  it, so cells that can't reach the threshold are skipped whole, and what follows too large a size at once;
+* of the entries of other cells only pairs count whose 512-bit parity sketches are near enough (differing bits are
   a lower bound of differing tokens);
 * a pair's number of lists and its last positions in them bound what it can share from above: behind the last
   common position nothing but the rest of either set is left;
@@ -15,7 +17,9 @@ between sets then save work, and none can lose a link:
   partner only; sets linked that way share their answers, lists whose entries are all linked already are
   skipped whole, and elsewhere only pairs across components remain.  These are all tried, by the exact sets.
 
-Lists longer than ``LIST_BLOCK`` are dealt as pairs of blocks, so no list is ever held whole.  The order of
+Lists longer than ``LIST_BLOCK`` are cut into blocks by classes of size and position and, within a class, by hash.
+They are dealt as pairs of blocks, so no list is ever held whole; pairs whose classes can't reach the threshold by
+the same bound, or hold one component only, are never dealt, and pairs inside a block are looked at in one part.  The order of
 frequent tokens is a matter of speed alone; its table has at most ``FREQUENT`` tokens.
 
 Null and empty texts and texts without a word have an empty set, no links and themselves as component.  A row
@@ -26,6 +30,7 @@ An empty table gives an empty result.  Columns besides id and text are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from spendcadence.llm.components import components, hub_join
 from spendcadence.llm.repeats import repeated_rows, travel_keys
@@ -44,6 +50,8 @@ OFTEN_HERE, OFTEN = 4, 24  # documents of a batch, and summed over batches, from
 TOKENS_TOGETHER = 4_000_000  # tokens counted at once
 SKETCH_BITS = 512
 LIST_BLOCK = 512
+POSITIONS = 16  # classes of a position, as parts of the set
+PAIRS_TOGETHER = 1 << 19  # pairs of entries compared at once, unless two cells hold more
 ROWS_TOGETHER = 50_000  # entries worked on at once, unless a list's blocks hold more
 
 
@@ -160,34 +168,61 @@ def threshold(sizes: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * sizes // (100 + percent))
 
 
-def near_pairs(lists: np.ndarray, sizes, sketches, labels, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def near_cells(lists, sizes, at, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of cells, each with itself too, of one list whose sets may be similar; ordered by list and size."""
+    active = np.arange(len(lists))
+    step = 0
+    while len(active):
+        active = active[active + step < len(lists)]
+        # Sizes only grow along a list: once too large, the rest of the list is skipped.
+        other = active + step
+        active = active[(lists[other] == lists[active]) & (sizes[other] * percent <= sizes[active] * 100)]
+        other = active + step
+        most = np.minimum(at[active], at[other]) + np.minimum(sizes[active] - at[active], sizes[other] - at[other])
+        good = most >= threshold(sizes[active] + sizes[other], percent)
+        yield active[good], other[good]
+        step += 1
+
+
+def cell_entries(first, other, begin, count) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (i, j), i < j, of entries of pairs of cells, some at a time."""
+    many = count[first] * count[other]
+    group = (np.cumsum(many) - many) // PAIRS_TOGETHER
+    edges = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(many)]
+    for low, high in zip(edges[:-1], edges[1:]):
+        part = many[low:high]
+        pair = np.repeat(np.arange(low, high), part)
+        at = np.arange(len(pair)) - np.repeat(np.cumsum(part) - part, part)
+        i, j = np.divmod(at, count[other][pair])
+        i, j = i + begin[first][pair], j + begin[other][pair]
+        yield i[i < j], j[i < j]
+
+
+def near_pairs(lists, sizes, at, sketches, labels, sides, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of entries of one list that may be similar and bear different labels.
 
-    Entries come ordered by list and size.
+    Entries come ordered by list, size and place ``at``.  Of a list that holds two blocks, told by ``sides`` other than 0,
+    pairs across them alone are looked at.
     """
     found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    active = np.arange(len(lists) - 1)
-    step = 1
-    while len(active):
-        other = active + step
-        # Sizes only grow along a list: once too large, the rest of the list is skipped.
-        open_ = (other < len(lists)) & (lists[np.minimum(other, len(lists) - 1)] == lists[active])
-        active, other = active[open_], other[open_]
-        open_ = sizes[other] * percent <= sizes[active] * 100
-        active, other = active[open_], other[open_]
-        differ = labels[active] != labels[other]
-        i, j = active[differ], other[differ]
-        both = sizes[i] + sizes[j]
-        differing = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64)
-        good = differing <= both - 2 * threshold(both, percent)
-        found_i.append(i[good])
-        found_j.append(j[good])
-        step += 1
+    begin = np.flatnonzero(np.r_[True, (np.diff(lists) != 0) | (np.diff(sizes) != 0) | (np.diff(at) != 0)])
+    count = np.diff(np.r_[begin, len(lists)])
+    for first, other in near_cells(lists[begin], sizes[begin], at[begin], percent):
+        if not len(first):
+            continue
+        for i, j in cell_entries(first, other, begin, count):
+            open_ = (labels[i] != labels[j]) & ((sides[i] != sides[j]) | (sides[i] == 0))
+            i, j = i[open_], j[open_]
+            both = sizes[i] + sizes[j]
+            differing = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64)
+            good = differing <= both - 2 * threshold(both, percent)
+            found_i.append(i[good])
+            found_j.append(j[good])
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
 def pair_finder(percent: int):
-    """Rows (a, b, n_a, n_b, at_a, at_b) from entries (token, part, id, n, at, sketch, label) ordered by token, part, n."""
+    """Rows (a, b, n_a, n_b, at_a, at_b) from entries (token, part, side, id, n, at, sketch, label) ordered by token, part, n, at."""
 
     def pairs(entries: pa.Table) -> pa.RecordBatch:
         token = entries["token"].to_numpy()
@@ -195,7 +230,8 @@ def pair_finder(percent: int):
         new = np.r_[True, (token[1:] != token[:-1]) | (part[1:] != part[:-1])]
         sketches = np.frombuffer(b"".join(entries["sketch"].to_pylist()), np.uint64).reshape(len(token), -1)
         labels = pa.compute.dictionary_encode(entries["label"].combine_chunks()).indices.to_numpy()
-        i, j = near_pairs(np.cumsum(new), entries["n"].to_numpy(), sketches, labels, percent)
+        n, at, side = (entries[name].to_numpy().astype(np.int64) for name in ("n", "at", "side"))
+        i, j = near_pairs(np.cumsum(new), n, at, sketches, labels, side, percent)
         sides = [entries.select(["id", "n", "at"]).take(pa.array(k)).combine_chunks() for k in (i, j)]
         columns = [side[name].combine_chunks() for name in ("id", "n", "at") for side in sides]
         return pa.RecordBatch.from_arrays(columns, ["a", "b", "n_a", "n_b", "at_a", "at_b"])
@@ -269,8 +305,42 @@ def first_partners(entries: DataFrame, percent: int) -> DataFrame:
     return found.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
 
 
-def dealt_lists(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The entries (token, id, n, label) of lists that hold several labels, by parts, with the columns of ``nodes`` (id)."""
+def classes_of(entries: DataFrame, long: DataFrame, percent: int) -> DataFrame:
+    """(token, _cells, _total): the classes of size and position of long lists, with their bounds and numbers of blocks.
+
+    Sizes of a class differ by less than ``percent`` allows, so a list has a class for each such factor and each of a
+    few positions, whatever its length.
+    """
+    cells = (
+        hub_join(entries, long, "token")
+        .groupBy("token", *size_and_position(percent))
+        .agg(
+            F.min("n").alias("low"),
+            F.max("n").alias("high"),
+            F.max("at").cast("long").alias("before"),
+            F.max(F.col("n") - F.col("at")).alias("behind"),
+            F.min("label").alias("least"),
+            F.max("label").alias("most"),
+            F.ceil(F.count(F.lit(1)) / LIST_BLOCK).alias("blocks"),
+        )
+    )
+    earlier = Window.partitionBy("token").orderBy("s", "p").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("first", F.coalesce(F.sum("blocks").over(earlier), F.lit(0).cast("long")))
+    names = [c for c in cells.columns if c != "token"]
+    return cells.groupBy("token").agg(F.collect_list(F.struct(*names)).alias("_cells"), F.sum("blocks").alias("_total"))
+
+
+def size_and_position(percent: int) -> list[Column]:
+    step = max(math.log(100 / percent), 0.01)
+    return [F.floor(F.log("n") / step).alias("s"), F.floor(F.col("at") * POSITIONS / F.col("n")).alias("p")]
+
+
+def dealt_lists(entries: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The entries (token, id, n, at, label) of lists that hold several labels, by parts, with the columns of ``nodes`` (id).
+
+    ``side`` tells the two blocks of a part from each other; it is 0 where there is one.  The second table can go
+    after the first is read.
+    """
     lists = entries.groupBy("token").agg(
         F.count(F.lit(1)).alias("_size"),
         F.min("label").alias("_low"),
@@ -278,26 +348,35 @@ def dealt_lists(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
         (F.min("n") * 100 >= F.max("n") * percent).alias("_near"),
     )
     # Lists of linked sets only are skipped whole, and so are two sets of sizes too different.
-    lists = lists.filter((F.col("_low") != F.col("_high")) & ((F.col("_size") > 2) | F.col("_near"))).select(
-        "token", F.ceil(F.col("_size") / LIST_BLOCK).cast("int").alias("_blocks")
+    lists = written(
+        lists.filter((F.col("_low") != F.col("_high")) & ((F.col("_size") > 2) | F.col("_near"))).select("token", "_size")
     )
-    # A list of several blocks is dealt as all pairs of blocks.
-    block = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
-    return (
-        hub_join(entries, lists, "token")
+    long = lists.filter(F.col("_size") > LIST_BLOCK).select("token")
+    known = lists.select("token").join(classes_of(entries, long, percent), "token", "left")
+    # A class meets those classes of its list that hold sets similar to its own, as far as sizes and positions tell.
+    near = f"""c.low * {percent} <= _mine.high * 100 AND _mine.low * {percent} <= c.high * 100
+        AND (least(c.before, _mine.before) + least(c.behind, _mine.behind)) * {100 + percent} >= (c.low + _mine.low) * {percent}
+        AND NOT (c.least = c.most AND _mine.least = c.least AND _mine.most = c.least)"""
+    parts = f"""CASE WHEN _cells IS NULL THEN array(struct(0L AS part, 0 AS side))
+        ELSE flatten(transform(filter(_cells, c -> {near}), c -> transform(sequence(c.first, c.first + c.blocks - 1),
+            b -> struct(least(b, _own) * _total + greatest(b, _own) AS part, CAST(sign(b - _own) AS INT) AS side)))) END"""
+    dealt = (
+        hub_join(entries, known, "token")
         .join(nodes, "id")
-        .withColumn("_own", block)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .withColumn("part", F.least("_own", "_other") * F.col("_blocks").cast("long") + F.greatest("_own", "_other"))
-        .drop("_own", "_other", "_blocks")
+        .select("*", *size_and_position(percent))
+        .withColumn("_mine", F.expr("get(filter(_cells, c -> c.s = s AND c.p = p), 0)"))
+        .withColumn("_own", F.expr("_mine.first + pmod(xxhash64(id), _mine.blocks)"))
+        .select("token", "id", "n", "at", "label", *[c for c in nodes.columns if c != "id"], F.inline(F.expr(parts)))
     )
+    return dealt, lists
 
 
-def remaining_pairs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b), a > b, of entries (token, id, n, at, label) that may be linked and differ in label."""
-    dealt = dealt_lists(entries, nodes.select("id", "sketch"), percent).select(
-        "token", "part", "id", "n", "at", "sketch", "label"
-    )
+def remaining_pairs(entries: DataFrame, nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct (a, b), a > b, of entries (token, id, n, at, label) that may be linked and differ in label.
+
+    The second table can go after the first is read.
+    """
+    dealt, lists = dealt_lists(entries, nodes.select("id", "sketch"), percent)
     kind = entries.schema["id"].dataType
     schema = T.StructType(
         [T.StructField("a", kind), T.StructField("b", kind)]
@@ -306,10 +385,10 @@ def remaining_pairs(entries: DataFrame, nodes: DataFrame, percent: int) -> DataF
     )
     found = (
         dealt.repartition("token", "part")
-        .sortWithinPartitions("token", "part", "n", "id")
+        .sortWithinPartitions("token", "part", "n", "at", "id")
         .mapInArrow(pair_finder(percent), schema)
     )
-    return possible(found, percent).select("a", "b")
+    return possible(found, percent).select("a", "b"), lists
 
 
 def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -404,8 +483,9 @@ def components_of(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
     labelled = lists.join(found.select(F.col("a").alias("id"), F.col("b").alias("_least")), "id", "left").withColumn(
         "label", F.coalesce("_least", "id")
     )
-    rest = written(remaining_pairs(labelled.drop("_least"), firsts, percent).join(one, ["a", "b"], "left_anti"))
-    removed(lists, one, found)
+    rest, dealt = remaining_pairs(labelled.drop("_least"), firsts, percent)
+    rest = written(rest.join(one, ["a", "b"], "left_anti"))
+    removed(lists, one, found, dealt)
     more = verified(rest, rows, percent)
     found = components(links.union(more))
     removed(rest, links, more)

@@ -184,7 +184,7 @@ def line_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linker(percent: int):
-    """Pairs (a, b) that link all similar entries (token, part, id, n, label, line) of a list, ordered by token, part, n.
+    """Pairs (a, b) that link all similar entries (token, part, side, id, n, label, line) of a list, ordered by token, part, n.
 
     Every pair of different labels is judged by its exact sets unless pairs found before link it already, so a list
     gives fewer pairs than it has entries.
@@ -198,7 +198,8 @@ def linker(percent: int):
         which = coded.indices.to_numpy()
         sketches = np.frombuffer(b"".join(sketch(x) for x in sets), np.uint64).reshape(len(sets), -1)[which]
         labels = pa.compute.dictionary_encode(entries["label"].combine_chunks()).indices.to_numpy()
-        found = near_pairs(np.cumsum(new), entries["n"].to_numpy(), sketches, labels, percent)
+        n, side = (entries[name].to_numpy().astype(np.int64) for name in ("n", "side"))
+        found = near_pairs(np.cumsum(new), n, np.zeros(len(n), np.int64), sketches, labels, side, percent)
         leader = list(range(int(labels.max()) + 1))
 
         def top(x: int) -> int:
@@ -223,8 +224,8 @@ def linker(percent: int):
     return by_lists(pairs, LINES_TOGETHER, LINE_BYTES)
 
 
-def line_links(links: DataFrame, contents: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The similar pairs (a, b) that connect all similar pairs of a bucket.
+def line_links(links: DataFrame, contents: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The similar pairs (a, b) that connect all similar pairs of a bucket, and tables that can go after they are read.
 
     ``links`` are pairs to try first, ``contents`` (key, content) the buckets, ``texts`` (content, line) the lines.
     """
@@ -242,16 +243,16 @@ def line_links(links: DataFrame, contents: DataFrame, texts: DataFrame, percent:
         contents.select(F.col("key").alias("token"), F.col("content").alias("id"))
         .join(sizes, "id")
         .join(linked, "id", "left")
-        .select("token", "id", "n", F.coalesce("_to", "id").alias("label"))
+        .select("token", "id", "n", F.lit(0).alias("at"), F.coalesce("_to", "id").alias("label"))
     )
+    dealt, lists = dealt_lists(entries, texts.select(F.col("content").alias("id"), "line"), percent)
     rest = (
-        dealt_lists(entries, texts.select(F.col("content").alias("id"), "line"), percent)
-        .select("token", "part", "id", "n", "label", "line")
+        dealt.select("token", "part", "side", "id", "n", "label", "line")
         .repartition("token", "part")
         .sortWithinPartitions("token", "part", "n", "id")
         .mapInArrow(linker(percent), "a long, b long")
     )
-    return one.union(rest)
+    return one.union(rest), [one, sizes, lists]
 
 
 def marks_of(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -447,8 +448,9 @@ def repeated_spans(docs: DataFrame, percent: int, id_col: str, text_col: str) ->
         .dropDuplicates(["content"])
     )
     texts = written(texts)
-    clusters = components(line_links(links, contents, texts, percent))
-    removed(texts)
+    found, read = line_links(links, contents, texts, percent)
+    clusters = components(found)
+    removed(texts, *read)
     named = lines.join(clusters.select(F.col("a").alias("content"), F.col("b").alias("_to")), "content", "left").select(
         F.coalesce("_to", "content").alias("cluster"), "id", "packed"
     )

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spendcadence.llm import components, ngram_join, shingles, substring_dedup
 
@@ -99,9 +100,10 @@ def test_list_work_in_small_batches(monkeypatch):
     entries = []
     for token in range(12):
         for _ in range(rng.randrange(1, 7)):
-            entries.append((token, 0, len(entries), rng.randrange(5, 9), 0, bytes(64), rng.randrange(3)))
-    entries.sort(key=lambda e: (e[0], e[1], e[3], e[2]))
-    names = ["token", "part", "id", "n", "at", "sketch", "label"]
+            side = rng.choice([-1, 1]) if token % 2 else 0
+            entries.append((token, 0, len(entries), rng.randrange(5, 9), rng.randrange(3), bytes(64), rng.randrange(3), side))
+    entries.sort(key=lambda e: (e[0], e[1], e[3], e[4], e[2]))
+    names = ["token", "part", "id", "n", "at", "sketch", "label", "side"]
     table = pa.table({n: [e[k] for e in entries] for k, n in enumerate(names)})
     assert table["id"].type == pa.int64()
     for size in (1, 2, 5, 100):
@@ -112,11 +114,57 @@ def test_list_work_in_small_batches(monkeypatch):
             for i, x in enumerate(entries)
             for y in entries[i + 1 :]
             if x[0] == y[0] and x[6] != y[6] and y[3] * 80 <= x[3] * 100
-            and min(x[3], y[3]) >= -(-80 * (x[3] + y[3]) // 180)
+            and min(x[4], y[4]) + min(x[3] - x[4], y[3] - y[4]) >= -(-80 * (x[3] + y[3]) // 180)
+            and (x[7] != y[7] or x[7] == 0)
         )
         assert rows == expected
 
 
+def test_cells_of_many_entries_in_small_groups(monkeypatch):
+    rng = random.Random(5)
+    entries = sorted((rng.randrange(2), rng.choice([20, 22, 30]), rng.choice([0, 1, 5])) for _ in range(60))
+    lists, sizes, at = np.array(entries).T
+    labels, sides = np.arange(60), np.zeros(60, np.int64)
+    sketches = np.zeros((60, 8), np.uint64)
+    expected = sorted(
+        (i, j)
+        for i, (a, n, x) in enumerate(entries)
+        for j, (b, m, y) in enumerate(entries)
+        if i < j and a == b and 180 * (min(x, y) + min(n - x, m - y)) >= 80 * (n + m)
+    )
+    for together in (1, 7, 1000, 1 << 19):
+        monkeypatch.setattr(ngram_join, "PAIRS_TOGETHER", together)
+        i, j = ngram_join.near_pairs(lists, sizes, at, sketches, labels, sides, 80)
+        assert sorted(zip(i.tolist(), j.tolist())) == expected
+
+
+def test_long_lists_by_classes_of_size_and_position(spark, monkeypatch):
+    """Every pair that size and position allow is looked at once, and no class meets one out of its reach."""
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 4)
+    rng = random.Random(7)
+    entries = []
+    for token in range(4):
+        for _ in range(rng.choice([3, 40, 90])):
+            n = rng.choice([10, 11, 14, 40, 44, 60, 200])
+            entries.append((token, len(entries), n, rng.randrange(n // 5 + 1), len(entries)))
+    table = spark.createDataFrame(entries, "token long, id long, n long, at int, label long")
+    nodes = table.select("id").withColumn("sketch", F.lit(bytes(64)))
+    dealt, lists = ngram_join.dealt_lists(table, nodes, 80)
+    rows = dealt.orderBy("token", "part", "n", "at", "id").toArrow()
+    out = pa.Table.from_batches(ngram_join.pair_finder(80)(iter(rows.to_batches())))
+    found = Counter(tuple(sorted(p)) for p in zip(out["a"].to_pylist(), out["b"].to_pylist()))
+    expected = Counter(
+        (x[1], y[1])
+        for i, x in enumerate(entries)
+        for y in entries[i + 1 :]
+        if x[0] == y[0] and 180 * (min(x[3], y[3]) + min(x[2] - x[3], y[2] - y[3])) >= 80 * (x[2] + y[2])
+    )
+    assert found == expected and len(expected) > 500
+    parts = dealt.filter("part > 0 OR side <> 0").groupBy("token", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    assert all(p["low"] == 200 or p["high"] < 200 for p in parts.collect())
+    ngram_join.removed(lists)
+
+
 def test_odd_rows_have_components(odd, empty):
     found = {r.doc_id: r for r in ngram_join.components_of(odd).collect()}
     assert len(ngram_join.components_of(odd).collect()) == odd.count()
