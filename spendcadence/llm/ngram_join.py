@@ -46,7 +46,9 @@ from spendcadence.llm.shared import cut, filled, fresh, likely, removed, written
 from spendcadence.llm.shingles import mixed, shingle_sets
 
 FREQUENT = 200_000  # tokens that come last in the order, at most
-OFTEN_HERE, OFTEN = 4, 24  # documents of a batch, and summed over batches, from which a token counts as frequent
+# Different sets of a batch, and summed over batches, from which a token counts as frequent.  By counting from two on, a token of
+# f sets among B batches is missed only while f * f / B is small, so the pairs of such a list grow no faster than the input.
+OFTEN_HERE, OFTEN = 2, 8
 TOKENS_TOGETHER = 4_000_000  # tokens counted at once
 SKETCH_BITS = 512
 LIST_BLOCK = 512
@@ -74,7 +76,7 @@ def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes, digests, sketches, held, waiting, often = [], [], [], [], 0, []
+        sizes, digests, sketches, held, waiting, often, seen = [], [], [], [], 0, [], set()
 
         def count_held():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -85,6 +87,9 @@ def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(tokens))
             digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
             sketches.append(sketch(tokens))
+            if digests[-1] in seen:
+                continue
+            seen.add(digests[-1])
             held.append(tokens)
             waiting += len(tokens)
             if waiting > TOKENS_TOGETHER:
