@@ -53,16 +53,18 @@ def term_counts(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataF
     return begun.select(*keep, F.inline(runs))
 
 
-def vocabulary(df: DataFrame, text: str = "text", size: int = VOCABULARY, min_docs: int = MIN_DOCS) -> DataFrame:
+def vocabulary(df: DataFrame, text: str = "text", size: int = VOCABULARY, min_docs: int = MIN_DOCS,
+               copies: str | None = None) -> DataFrame:
     """Rows (index, term, docs, idf) of the ``size`` most frequent terms of at least ``min_docs`` texts.
 
-    Equally frequent terms come in byte order; ``idf`` is ln((texts + 1) / (docs + 1)) + 1.
+    Equally frequent terms come in byte order; ``idf`` is ln((texts + 1) / (docs + 1)) + 1.  A row stands for as many
+    texts as its column ``copies`` says, else for one.
     """
-    return fold_vocabularies(df.withColumn("_fold", F.lit(0)), "_fold", 0, text, size, min_docs).drop("fold")
+    return fold_vocabularies(df.withColumn("_fold", F.lit(0)), "_fold", 0, text, size, min_docs, copies).drop("fold")
 
 
 def fold_vocabularies(df: DataFrame, fold: str, folds: int, text: str = "text", size: int = VOCABULARY,
-                      min_docs: int = MIN_DOCS) -> DataFrame:
+                      min_docs: int = MIN_DOCS, copies: str | None = None) -> DataFrame:
     """Rows (fold, index, term, docs, idf): for each fold the vocabulary of all other folds.
 
     Terms are counted once for each (fold, term); a held-out fold is subtracted from the total.  With 0 folds nothing
@@ -70,15 +72,16 @@ def fold_vocabularies(df: DataFrame, fold: str, folds: int, text: str = "text",
     no more than those, so that the few folds are no bottleneck.
     """
     held = F.explode(F.array(*[F.lit(f) for f in range(folds)])) if folds else F.lit(0)
-    counted = term_counts(df.withColumn("_at", F.col(fold)), ["_at"], text).groupBy("_at", "term").agg(
-        F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_docs")
+    df = df.withColumns({"_at": F.col(fold), "_copies": F.lit(1).cast("bigint") if copies is None else F.col(copies)})
+    counted = term_counts(df, ["_at", "_copies"], text).groupBy("_at", "term").agg(
+        F.sum(F.col("n") * F.col("_copies")).alias("_n"), F.sum("_copies").alias("_docs")
     )
     # One entry for each fold: bounded by the number of folds.
     of_term = counted.groupBy("term").agg(
         F.sum("_n").alias("_all_n"), F.sum("_docs").alias("_all_docs"),
         F.map_from_entries(F.collect_list(F.struct("_at", F.struct("_n", "_docs")))).alias("_own"),
     ).withColumn("fold", held)
-    texts = df.groupBy(F.col(fold).alias("_at")).agg(F.count(F.lit(1)).alias("_texts"))
+    texts = df.groupBy("_at").agg(F.sum("_copies").alias("_texts"))
     in_all = texts.agg(
         F.sum("_texts").alias("_all"), F.map_from_entries(F.collect_list(F.struct("_at", "_texts"))).alias("_by_fold")
     )

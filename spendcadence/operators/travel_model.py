@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.ml.feature import (
     ElementwiseProduct,
     IndexToString,
     Normalizer,
-    StringIndexer,
+    StringIndexerModel,
     VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -30,6 +31,8 @@ from spendcadence.session import released, stored
 SEED = 42
 TRAVEL_TREES, TRAVEL_DEPTH, TRAVEL_MIN_LEAF = 200, 15, 2
 TRIGGER_TREES, TRIGGER_DEPTH = 100, 10
+COPIES = "copies"
+SLOTS = 1024
 
 
 class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -65,7 +68,25 @@ def text_model(terms: list[Row]) -> PipelineModel:
 
 def fit_tfidf(train: DataFrame, vocabulary: int = TW.VOCABULARY, min_docs: int = TW.MIN_DOCS) -> PipelineModel:
     """TF-IDF with inverse document frequency ln((n+1)/(df+1)) + 1 and unit length; collects the vocabulary only."""
-    return text_model(TW.vocabulary(train, size=vocabulary, min_docs=min_docs).collect())
+    rows = train if COPIES in train.columns else distinct_rows(train)
+    return text_model(TW.vocabulary(rows, size=vocabulary, min_docs=min_docs, copies=COPIES).collect())
+
+
+def distinct_rows(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows (``keep``..., text, copies): equal rows once, with their number.
+
+    Calendars repeat their texts, so this is what makes counting and training cheap; texts that are all different cost
+    one shuffle.  A null text counts as empty.
+    """
+    copies = F.sum(COPIES) if COPIES in df.columns else F.count(F.lit(1))
+    return df.groupBy(*keep, F.coalesce("text", F.lit("")).alias("text")).agg(copies.alias(COPIES))
+
+
+def by_text(events: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Events with the columns that ``score`` gives to (text) rows; each different text is scored once."""
+    named = events.withColumn("_key", F.coalesce("text", F.lit("")))
+    answers = score(named.select(F.col("_key").alias("text")).distinct())
+    return named.join(answers.withColumnRenamed("text", "_key"), "_key").drop("_key")
 
 
 def assemble(df: DataFrame, text_model: PipelineModel) -> DataFrame:
@@ -103,15 +124,30 @@ def stratified_split(df: DataFrame, label: str = "label", id_col: str = "event_i
     return whole.unionByName(cut.drop("_nth")).drop("_digest", "_bucket", "_n", "_room")
 
 
+def in_slots(features: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Rows that stand for ``copies`` events, dealt evenly over min(copies, ``slots``) rows; without ``copies``, as they are.
+
+    A forest draws its rows for every tree anew.  Up to ``slots`` equal events stay rows of their own, and are drawn as
+    before; more of them share rows, no event is left out, and how often they are drawn deviates by 1 / sqrt(slots) at most.
+    """
+    if COPIES not in features.columns:
+        return features.withColumn(COPIES, F.lit(1).cast("bigint"))
+    rows = F.least(COPIES, F.lit(slots).cast("bigint"))
+    dealt = features.withColumns({"_rows": rows, "_slot": F.explode(F.sequence(F.lit(1).cast("bigint"), rows))})
+    more = (F.col("_slot") <= F.col(COPIES) % F.col("_rows")).cast("bigint")
+    return dealt.withColumn(COPIES, F.expr(f"{COPIES} div _rows") + more).drop("_rows", "_slot")
+
+
 def with_class_weight(df: DataFrame, label: str = "label") -> DataFrame:
-    """Balanced weight n / (classes * n_class)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    """Balanced weight n / (classes * n_class) of an event, times the events that a row stands for."""
+    df = in_slots(df)
+    counts = df.groupBy(label).agg(F.sum(COPIES).alias("_n"))
     everything = Window.partitionBy(F.lit(1))
     # One row per class: a window over all of it is tiny.
     weights = counts.withColumn(
         "weight", F.sum("_n").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("_n"))
     ).drop("_n")
-    return df.join(F.broadcast(weights), label)
+    return df.join(F.broadcast(weights), label).withColumn("weight", F.col("weight") * F.col(COPIES))
 
 
 def train_travel_model(features: DataFrame, trees: int = TRAVEL_TREES, depth: int = TRAVEL_DEPTH):
@@ -125,7 +161,11 @@ def train_travel_model(features: DataFrame, trees: int = TRAVEL_TREES, depth: in
 def train_trigger_model(features: DataFrame, trees: int = TRIGGER_TREES, depth: int = TRIGGER_DEPTH) -> PipelineModel:
     """Trigger of travel events; rows with a blank trigger are left out together with their text."""
     rows = features.filter((F.col("label") == 1) & (F.col("trigger_type") != ""))
-    indexer = StringIndexer(inputCol="trigger_type", outputCol="_trigger", handleInvalid="keep").fit(rows)
+    sizes = rows.groupBy("trigger_type").agg((F.sum(COPIES) if COPIES in rows.columns else F.count(F.lit(1))).alias("_n"))
+    labels = [r["trigger_type"] for r in sizes.orderBy(F.desc("_n"), "trigger_type").collect()]
+    indexer = StringIndexerModel.from_labels(
+        labels, inputCol="trigger_type", outputCol="_trigger", handleInvalid="keep"
+    )
     indexed = with_class_weight(indexer.transform(rows), "_trigger")
     forest = RandomForestClassifier(
         labelCol="_trigger", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED,
@@ -160,12 +200,14 @@ class TravelModel:
 
     def predict(self, events: DataFrame) -> DataFrame:
         """Events with ``prediction, probability, predicted_trigger``."""
-        scored = self.travel.transform(assemble(events, self.text))
-        named = self.trigger.transform(scored)
-        return named.withColumn("probability", vector_to_array("probability")[1]).drop(
-            "features", "rawPrediction", "tfidf", "_trigger_prediction", "_trigger_probability", "_trigger_raw",
-            *TF.FEATURES,
-        )
+
+        def score(texts: DataFrame) -> DataFrame:
+            named = self.trigger.transform(self.travel.transform(assemble(texts, self.text)))
+            return named.select(
+                "text", "prediction", vector_to_array("probability")[1].alias("probability"), "predicted_trigger"
+            )
+
+        return by_text(events, score)
 
     def predict_travel(self, events: DataFrame) -> DataFrame:
         """Positive events with a confidence label."""
@@ -176,10 +218,12 @@ class TravelModel:
 
 def fit(labeled: DataFrame, trees: int = TRAVEL_TREES, trigger_trees: int = TRIGGER_TREES) -> TravelModel:
     """Train both models on (text, label, trigger_type) rows; their features are written once and read by both."""
-    text = fit_tfidf(labeled)
-    features = stored(assemble(labeled, text).select("label", "trigger_type", "features"))
+    rows = stored(distinct_rows(labeled, ["label", "trigger_type"]))
+    text = fit_tfidf(rows)
+    features = stored(assemble(rows, text).select("label", "trigger_type", COPIES, "features"))
     model = TravelModel(text, train_travel_model(features, trees), train_trigger_model(features, trigger_trees))
     released(features)
+    released(rows)
     return model
 
 
@@ -258,19 +302,20 @@ def stratified_folds(df: DataFrame, folds: int = 5, label: str = "label", id_col
 def cross_validate(labeled: DataFrame, folds: int = 5, trees: int = TRAVEL_TREES) -> tuple[float, float]:
     """Mean and deviation of the accuracy over stratified folds, each judged by a model that hasn't seen it.
 
-    The folds are written once and their texts are counted in one pass; every fold's vocabulary comes from those counts
+    The folds' different texts are written once and counted in one pass; every fold's vocabulary comes from those counts
     without its own.  A fold without rows is left out.
     """
-    dealt = stored(stratified_folds(labeled, folds))
-    terms = TW.fold_vocabularies(dealt, "fold", folds).collect()
+    dealt = stored(distinct_rows(stratified_folds(labeled, folds), ["fold", "label"]))
+    terms = TW.fold_vocabularies(dealt, "fold", folds, copies=COPIES).collect()
     accuracies = []
     for fold in range(folds):
         text = text_model([r for r in terms if r["fold"] == fold])
-        features = stored(assemble(dealt, text).select("fold", "label", "features"))
-        forest = train_travel_model(features.filter(F.col("fold") != fold), trees)
-        hit = (F.col("label") == F.col("prediction")).cast("double")
-        judged = forest.transform(features.filter(F.col("fold") == fold)).agg(F.avg(hit)).first()[0]
-        accuracies += [] if judged is None else [judged]
+        others = distinct_rows(dealt.filter(F.col("fold") != fold), ["label"])
+        features = stored(assemble(others, text).select("label", COPIES, "features"))
+        forest = train_travel_model(features, trees)
+        hits = F.sum(F.when(F.col("label") == F.col("prediction"), F.col(COPIES)).otherwise(0))
+        judged = forest.transform(assemble(dealt.filter(F.col("fold") == fold), text)).agg(hits, F.sum(COPIES)).first()
+        accuracies += [judged[0] / judged[1]] if judged[1] else []
         released(features)
     released(dealt)
     return float(np.mean(accuracies)), float(np.std(accuracies))

@@ -312,9 +312,11 @@ def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 )
 def train_travel_model(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _split(spark, sf)
-    text = TM.fit_tfidf(train)
-    forest = TM.train_travel_model(stored(TM.assemble(train, text).select("label", "features")))
-    return forest.transform(TM.assemble(test, text)).select("event_id", "label", F.col("prediction").cast("int"))
+    rows = stored(TM.distinct_rows(train, ["label"]))
+    text = TM.fit_tfidf(rows)
+    forest = TM.train_travel_model(stored(TM.assemble(rows, text).select("label", TM.COPIES, "features")))
+    scored = TM.by_text(test, lambda texts: forest.transform(TM.assemble(texts, text)).select("text", "prediction"))
+    return scored.select("event_id", "label", F.col("prediction").cast("int"))
 
 
 @query(
@@ -327,10 +329,12 @@ def train_travel_model(spark: SparkSession, sf: str) -> DataFrame:
 )
 def train_trigger_model(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _split(spark, sf)
-    text = TM.fit_tfidf(train)
-    model = TM.train_trigger_model(TM.assemble(train, text))
-    travel = TM.assemble(test, text).filter((F.col("label") == 1) & (F.col("trigger_type") != ""))
-    return model.transform(travel).select("event_id", "trigger_type", "predicted_trigger")
+    rows = stored(TM.distinct_rows(train, ["label", "trigger_type"]))
+    text = TM.fit_tfidf(rows)
+    model = TM.train_trigger_model(stored(TM.assemble(rows, text).select("label", "trigger_type", TM.COPIES, "features")))
+    travel = test.filter((F.col("label") == 1) & (F.col("trigger_type") != ""))
+    scored = TM.by_text(travel, lambda texts: model.transform(TM.assemble(texts, text)).select("text", "predicted_trigger"))
+    return scored.select("event_id", "trigger_type", "predicted_trigger")
 
 
 _EVALUATION_SQL = """

@@ -128,3 +128,34 @@ def test_metrics_by_hand(spark):
     assert math.isclose(found["accuracy"]["precision"], 0.7)
     matrix = {r["label"]: (r["predicted_0"], r["predicted_1"]) for r in TM.confusion_matrix(scored).collect()}
     assert matrix == {0: (4, 2), 1: (1, 3)}
+
+
+def test_equal_rows_train_as_weighted_rows(spark):
+    copies = [("flight to miami", 1, 3000), ("gym class", 0, 7), ("gym class", 1, 1), (None, 0, 1500)]
+    rows = spark.createDataFrame([(t, y) for t, y, n in copies for _ in range(n)], "text string, label int")
+    distinct = TM.distinct_rows(rows, ["label"])
+    assert {(r["text"], r["label"]): r["copies"] for r in distinct.collect()} == {(t or "", y): n for t, y, n in copies}
+    plain = TM.with_class_weight(rows).groupBy("text", "label").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+    dealt = TM.with_class_weight(distinct).groupBy("text", "label").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+    expected = {(r["text"] or "", r["label"]): (r["w"], min(r["n"], TM.SLOTS)) for r in plain.collect()}
+    found = {(r["text"], r["label"]): (r["w"], r["n"]) for r in dealt.collect()}
+    assert found.keys() == expected.keys()
+    assert all(math.isclose(found[k][0], w) and found[k][1] == n for k, (w, n) in expected.items())
+
+
+def test_vocabulary_of_distinct_rows_is_that_of_all_rows(rows):
+    twice = rows.unionByName(rows.filter("event_id % 3 = 0"))
+    by_copies = TW.vocabulary(TM.distinct_rows(twice), copies=TM.COPIES)
+    assert sorted(by_copies.collect()) == sorted(TW.vocabulary(twice).collect())
+
+
+def test_every_event_is_scored_by_its_text(spark):
+    events = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (4, None)], "event_id long, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def score(texts):
+        seen.add(texts.count())
+        return texts.select("text", F.length("text").alias("n"))
+
+    found = sorted(tuple(r) for r in TM.by_text(events, score).select("event_id", "text", "n").na.fill("-").collect())
+    assert found == [(1, "a", 1), (2, "b", 1), (3, "a", 1), (4, "-", 0), (4, "-", 0)] and seen.value == 3
