@@ -108,12 +108,8 @@ def with_rank(
     marked = mark_blocks(df, keys, block, part, hot=hot, hot_rows=hot_rows)
     groups = [*keys, *BLOCK]
     inside = marked.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
-    sizes = (
-        marked.groupBy(*groups)
-        .agg(F.count(F.lit(1)).alias("_n"), F.max("_block").alias("_cut"))
-        .filter(F.col("_cut").isNotNull())
-        .drop("_cut")
-    )
+    # Only hot keys have blocks: where there are none, adaptive execution leaves this branch out before it reads a row.
+    sizes = marked.filter(F.col("_block").isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(*BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return (

@@ -9,6 +9,7 @@ from spendcadence.functions import text as T
 from spendcadence.plans import adapters as A
 from spendcadence.plans import oracle_base as S
 from spendcadence.plans.registry import query
+from spendcadence.session import stored
 from spendcadence.sources import events as E
 from spendcadence.sources import profiles as P
 from spendcadence.sources import statement_csv as C
@@ -111,7 +112,8 @@ def parse_statements(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parsed_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return X.parse_statements(A.statement_pages(spark, sf), DEFAULT_YEAR)
+    """Transactions of the pages, which are rendered once, as periods and long accounts are read from them too."""
+    return X.parse_statements(stored(A.statement_pages(spark, sf)), DEFAULT_YEAR)
 
 
 def parsed_csv(spark: SparkSession, sf: str) -> DataFrame:

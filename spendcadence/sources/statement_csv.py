@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spendcadence.functions import text as T
 from spendcadence.functions.fence import compute_once
 from spendcadence.operators.ordered import with_rank
+from spendcadence.session import stored
 
 # Accepted header spellings, first non-empty one wins.
 ALIASES = {
@@ -212,11 +213,15 @@ def limit_files(files: DataFrame, key: str = "account_id", order: str = "stateme
 def union_statements(
     parsed: Sequence[DataFrame], key: str = "account_id", file: str = "statement_id", max_files: int | None = None
 ) -> DataFrame:
-    """Transactions of several files per account; ``max_files`` keeps the first so many files of each."""
+    """Transactions of several files per account; ``max_files`` keeps the first so many files of each.
+
+    To find those, transactions are written once below the checkpoint folder, so that no file is parsed twice.
+    """
     together = parsed[0]
     for more in parsed[1:]:
         together = together.unionByName(more)
     if max_files is None:
         return together
+    together = stored(together)
     kept = limit_files(together.select(key, file).distinct(), key, file, max_files)
     return together.join(kept, [key, file], "left_semi")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spendcadence.functions import rules as R
 from spendcadence.functions import text as T
 from spendcadence.functions.fence import compute_once
-from spendcadence.operators.ordered import with_rank
+from spendcadence.operators.ordered import HOT_ROWS, with_rank
 
 STATEMENT = ["account_id", "statement_id"]
 DEFAULT_CURRENCY = r"J\$"
@@ -158,6 +158,13 @@ def dated_lines(pages: DataFrame, default_year: int, currency: str = DEFAULT_CUR
     return compute_once(matched, {"date": date}).filter(F.col("date").isNotNull())
 
 
+def accounts_with_many_lines(pages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Accounts that may have more than ``hot_rows`` transactions, told by their lines; nothing is parsed for it."""
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    lines = pages.groupBy("account_id").agg(F.sum(breaks + 1).alias("_lines"))
+    return lines.filter(F.col("_lines") > hot_rows).select("account_id")
+
+
 def parse_statements(pages: DataFrame, default_year: int, currency: str = DEFAULT_CURRENCY) -> DataFrame:
     """Pages to transactions.
 
@@ -181,7 +188,9 @@ def parse_statements(pages: DataFrame, default_year: int, currency: str = DEFAUL
         extract_balance(F.col("line"), F.col("amount"), currency).alias("balance"),
     )
     order = ["_from", "statement_id", "page_no", "pos"]
-    numbered = with_rank(placed, ["account_id"], order, F.col("_from"), F.lit(0), "seq")
+    numbered = with_rank(
+        placed, ["account_id"], order, F.col("_from"), F.lit(0), "seq", hot=accounts_with_many_lines(pages)
+    )
     return numbered.select(
         *STATEMENT, F.col("seq").cast("bigint").alias("seq"), "date", "description", "debit", "credit", "balance"
     )
