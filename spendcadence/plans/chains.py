@@ -1,4 +1,4 @@
-"""From statement files to findings in one plan: parse, classify, detect."""
+"""From statement files to findings: parse and classify once into a table below the checkpoint folder, detect from it."""
 
 from __future__ import annotations
 
@@ -12,12 +12,13 @@ from spendcadence.plans import oracle_base as S
 from spendcadence.plans import spend
 from spendcadence.plans.ingest import parsed_csv, parsed_pages
 from spendcadence.plans.registry import query
+from spendcadence.session import stored
 
 PAGES, CSV = {"tx": S.tx_from_pages()}, {"tx": S.tx_from_csv()}
 
 
 def _risks(tx: DataFrame) -> DataFrame:
-    classified = CL.classify_transactions(tx)
+    classified = stored(CL.classify_transactions(tx))
     found = RK.risk_report(
         PT.detect_subscriptions(classified), PT.detect_salary(classified), PT.detect_expenses(classified)
     )
@@ -26,7 +27,7 @@ def _risks(tx: DataFrame) -> DataFrame:
 
 @query("chain_pages_salary", S.build(spend.SALARY_SQL, ["salary"], PAGES))
 def pages_salary(spark: SparkSession, sf: str) -> DataFrame:
-    return PT.detect_salary(parsed_pages(spark, sf))
+    return PT.detect_salary(stored(parsed_pages(spark, sf)))
 
 
 @query("chain_pages_risk_report", S.build(spend.RISK_SQL, ["risks"], PAGES))
@@ -36,7 +37,7 @@ def pages_risk_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("chain_pages_price_changes", S.build(spend.CHANGES_SQL, ["jumps", "drift"], PAGES))
 def pages_price_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return CH.detect_price_changes(CL.classify_transactions(parsed_pages(spark, sf)))
+    return CH.detect_price_changes(stored(CL.classify_transactions(parsed_pages(spark, sf))))
 
 
 @query("chain_csv_risk_report", S.build(spend.RISK_SQL, ["risks"], CSV))

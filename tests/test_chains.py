@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendcadence.operators import ordered, patterns
+from spendcadence.plans import chains, ingest
 from spendcadence.sources import statement_csv, statement_text
 
 HEAD = "Statement Period: 01{0}24 to 28{0}24\n"
@@ -81,3 +82,18 @@ def test_blocks_of_one_file_are_numbered_apart(spark, tmp_path):
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r.seq for r in rows] == list(range(1, 3002))
     assert [r.description for r in rows] == ["first", *[f"row {k}" for k in range(3000)]]
+
+
+def test_files_are_parsed_once(spark, sf_small):
+    """What finds patterns reads a table that was written once, not the pages or cells again."""
+    queries = [chains.pages_salary, chains.pages_risk_report, chains.pages_price_changes, chains.csv_risk_report, ingest.first_files]
+    for query in queries:
+        files = query(spark, sf_small).inputFiles()
+        assert files and all("/stored-" in f for f in files), query.__name__
+
+
+def test_long_accounts_are_told_by_lines(spark):
+    pages = spark.createDataFrame(
+        [(1, "a\nb"), (1, "c"), (2, "a\nb"), (3, None)], "account_id long, text string"
+    )
+    assert [r.account_id for r in statement_text.accounts_with_many_lines(pages, 2).collect()] == [1]
