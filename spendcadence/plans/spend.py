@@ -548,16 +548,18 @@ def account_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def statement_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """All sections read one classified table, which is written once below the checkpoint folder."""
+    """All sections read one classified table, which is written once below the checkpoint folder.
+
+    So is the salary that four of them need: inside the union each would work out all accounts' salaries in one task.
+    """
     rows = stored(classified(spark, sf))
-    subscriptions, salary, expenses = (
-        PT.detect_subscriptions(rows), PT.detect_salary(rows), PT.detect_expenses(rows)
-    )
+    salary = stored(PT.detect_salary(rows))
+    subscriptions, expenses = PT.detect_subscriptions(rows), PT.detect_expenses(rows)
     risks = RK.score_renewals(RK.renewal_loads(subscriptions, salary, expenses))
     return RP.statement_report(
         rows, salary, expenses, risks, RK.paycycle_map(salary, subscriptions), CH.detect_price_changes(rows),
         RN.predict_renewals(rows, A.TODAY_RENEWALS), RK.account_summary(risks, salary, expenses),
-        CL.category_counts(rows),
+        CL.category_counts(rows), parts=max(1, -(-rows.count() // RP.ROWS_PER_TASK)),
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from spendcadence.operators.travel_model import TravelModel, evaluate_model
 
 HEADER = ""  # the month of a header document
+ROWS_PER_TASK = 250_000  # transactions that a task gathers into documents, on average
 
 
 def transaction_export(classified: DataFrame, key: str = "account_id") -> DataFrame:
@@ -26,16 +27,24 @@ def transaction_export(classified: DataFrame, key: str = "account_id") -> DataFr
 
 
 def section(
-    rows: DataFrame, key: str, name: str, entry: Column, order: Sequence[str], month: Column | None = None
+    rows: DataFrame, key: str, name: str, entry: Column, order: Sequence[str], month: Column | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
-    """(key, month, name): sorted entries, in the header or by calendar month."""
+    """(key, month, name): sorted entries, in the header or by calendar month.
+
+    With ``parts`` they are gathered by so many tasks; else Spark merges tasks by their compressed size, and entries that
+    repeat themselves are a hundred times larger in memory.
+    """
     sort_key = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
 
     def by_key(a: Column, b: Column) -> Column:
         return F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
 
+    rows = rows.withColumn("_month", F.lit(HEADER) if month is None else month)
+    if parts is not None:
+        rows = rows.repartition(parts, key, "_month")
     return (
-        rows.groupBy(key, (F.lit(HEADER) if month is None else month).alias("month"))
+        rows.groupBy(key, F.col("_month").alias("month"))
         .agg(F.array_sort(F.collect_list(F.struct(sort_key.alias("k"), entry.alias("e"))), by_key).alias("_sorted"))
         .select(key, "month", F.col("_sorted.e").alias(name))
     )
@@ -70,10 +79,11 @@ def statement_report(
     summary: DataFrame,
     categories: DataFrame,
     key: str = "account_id",
+    parts: int | None = None,
 ) -> DataFrame:
     """One nested header document per account, and one per month with transactions and price changes.
 
-    Accounts without a salary keep their other sections.
+    Accounts without a salary keep their other sections.  ``parts`` tasks gather the transactions.
     """
 
     def record(df: DataFrame) -> Column:
@@ -93,7 +103,7 @@ def statement_report(
         section(risk_rows, key, "subscriptions", record(risks), ["_low_first", "subscription"]),
         listed(expenses, "expenses", ["name"]),
         listed(cycle, "paycycle_map", ["day"]),
-        section(export, key, "transactions", tx_record, ["seq"], month_of("date")),
+        section(export, key, "transactions", tx_record, ["seq"], month_of("date"), parts),
         listed(changes, "price_changes", ["date", "subscription", "type", "new_amount"], month_of("date")),
         listed(predictions, "renewal_predictions", ["days_until_charge", "subscription"]),
     ]

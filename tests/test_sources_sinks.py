@@ -193,3 +193,13 @@ def test_labeled_event_files(spark, tmp_path):
     assert [(r["label"], r["trigger_type"]) for r in rows] == [(0, ""), (1, "vacation")]
     (tmp_path / "broken.csv").write_text(text.format('"two\nlines"'))
     assert E.read_labeled_events(spark, str(tmp_path / "broken.csv"), line_breaks=True).count() == 2
+
+
+def test_entries_are_gathered_by_as_many_tasks_as_asked(spark):
+    rows = spark.range(600).selectExpr("id % 40 AS account_id", "id AS seq", "concat('2024-0', 1 + id % 3, '-05') AS date")
+    plain, cut = (
+        RP.section(rows, "account_id", "tx", F.struct("seq"), ["seq"], RP.month_of("date"), parts)
+        for parts in (None, 7)
+    )
+    assert sorted(cut.collect()) == sorted(plain.collect())
+    assert cut.rdd.getNumPartitions() == 7
