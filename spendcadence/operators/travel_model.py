@@ -128,7 +128,8 @@ def in_slots(features: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Rows that stand for ``copies`` events, dealt evenly over min(copies, ``slots``) rows; without ``copies``, as they are.
 
     A forest draws its rows for every tree anew.  Up to ``slots`` equal events stay rows of their own, and are drawn as
-    before; more of them share rows, no event is left out, and how often they are drawn deviates by 1 / sqrt(slots) at most.
+    before; more of them share rows: no event is left out, and the weight drawn of such equal events has a relative standard
+    deviation of 1 / sqrt(slots) instead of 1 / sqrt(copies).
     """
     if COPIES not in features.columns:
         return features.withColumn(COPIES, F.lit(1).cast("bigint"))
