@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -159,3 +160,20 @@ def test_every_event_is_scored_by_its_text(spark):
 
     found = sorted(tuple(r) for r in TM.by_text(events, score).select("event_id", "text", "n").na.fill("-").collect())
     assert found == [(1, "a", 1), (2, "b", 1), (3, "a", 1), (4, "-", 0), (4, "-", 0)] and seen.value == 3
+
+
+@pytest.mark.parametrize("size, min_docs", [(20, 2), (7, 1)])
+def test_only_pairs_of_frequent_words_are_counted(spark, monkeypatch, size, min_docs):
+    rng = random.Random(size)
+    often = [f"often{k}" for k in range(12)]
+    texts = [" ".join(rng.choice(often) if rng.random() < 0.6 else f"rare{rng.randrange(400)}" for _ in range(30)) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "event_id long, text string")
+    counted = []
+    left_over = TW.left_over
+    monkeypatch.setattr(TW, "left_over", lambda rows, *a: counted.append(rows.count()) or left_over(rows, *a))
+    found = [r["term"] for r in TW.vocabulary(df, size=size, min_docs=min_docs).orderBy("index").collect()]
+    assert found == by_hand(texts, size, min_docs)[0]
+    pruned = counted[-1]
+    monkeypatch.setattr(TW, "FREQUENT", 0)  # counts all pairs
+    assert [r["term"] for r in TW.vocabulary(df, size=size, min_docs=min_docs).orderBy("index").collect()] == found
+    assert pruned < 0.4 * counted[-1]
