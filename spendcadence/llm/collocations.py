@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spendcadence.llm.components import hub_join
-from spendcadence.llm.shared import BITMAP, BITS, filled, written
+from spendcadence.llm.shared import BITMAP, BITS, filled, given_back, written
 from spendcadence.llm.shingles import blocks, buffers, mixed, word_hashes
 
 BUDGET = 400_000  # suffixes of a group
@@ -263,6 +263,7 @@ def counted(docs: DataFrame, least: int, text_col: str, lang_col: str) -> tuple[
     )
     total = words.agg(F.sum("n")).first()[0] or 0
     frequent = context.broadcast(bitmap_of(words.filter(F.col("n") >= least)))
+    given_back(docs.sparkSession)  # the words' shuffle, now that jobs have read their table
     pairs = written(
         rows.mapInArrow(pair_rows(frequent), "key long, n long")
         .groupBy("key")
@@ -271,6 +272,7 @@ def counted(docs: DataFrame, least: int, text_col: str, lang_col: str) -> tuple[
     )
     heavy = [bitmap_of(x.filter(F.col("n") > HEAVY)) for x in (words, pairs)]
     bitmaps = context.broadcast((frequent.value, bitmap_of(pairs), *heavy))
+    given_back(docs.sparkSession)  # the pairs' shuffle, before the larger one of the suffixes
     schema = "whole boolean, lang string, w1 string, w2 string, w3 string, n long"
     nodes = written(
         rows.mapInArrow(suffix_rows(bitmaps, 2 * total // BUDGET + 1), f"group long, {schema}")

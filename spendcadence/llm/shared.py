@@ -36,17 +36,26 @@ def filled(text: str) -> Column:
 def written(df: DataFrame) -> DataFrame:
     """As :func:`cut`, as a compressed table that :func:`removed` can take away after its last reader.
 
-    The shuffle files that only led to it are given back at once: Spark drops them when the driver collects garbage.
+    The shuffle files of queries before it are given back.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.java.lang.System.gc()
+    given_back(spark)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table
 
 
+def given_back(spark: SparkSession) -> None:
+    """Shuffle files that nothing reads any more go: Spark drops them when the driver collects garbage.
+
+    Spark holds on to the last query until another one has run, so after a table is written its own shuffle files stay;
+    they go by a call after the first job on that table.
+    """
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def removed(*tables: DataFrame) -> None:
     """Delete tables made by :func:`written` that nothing reads any more."""
     for table in tables:

@@ -2,7 +2,9 @@
 
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -104,3 +106,28 @@ def test_empty_table(spark):
 def test_query_on_documents(spark, sf_small, documents):
     rows = [(r.lang, r.text) for r in documents.select("lang", "text").collect()]
     assert rows_of(queries.op13_phrase_collocations(spark, sf_small)) == expected(rows, 10)
+
+
+def test_shuffles_are_given_back_before_the_suffixes(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    docs = table(spark, [("en", " ".join(rng.choices(words, k=3000))) for _ in range(40)])
+    folders = [d.getAbsolutePath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {p: p.stat().st_size for d in folders for p in Path(d).rglob("shuffle_*.data") if p.exists()}
+
+    spark._jvm.java.lang.System.gc()
+    before, left = set(shuffled()), []
+    written = collocations.written
+
+    def watched(df):
+        past = time.time() + 10  # Spark's cleaner works beside us
+        while len(left) == 2 and time.time() < past and sum(n for p, n in shuffled().items() if p not in before) > 500_000:
+            time.sleep(0.2)
+        left.append(sum(n for p, n in shuffled().items() if p not in before))
+        return written(df)
+
+    monkeypatch.setattr(collocations, "written", watched)
+    collocations.counted(docs, 2, "text", "lang")
+    assert len(left) == 3 and left[2] <= 500_000  # bitmaps only; the pairs have over a million bytes
