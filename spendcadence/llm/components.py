@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from spendcadence.llm.shared import removed, written
 
+ROUND_ROWS = 20_000  # edges of a round in one of its files
+
 
 def hub_join(rows: DataFrame, by_key: DataFrame, key: str) -> DataFrame:
     """Join a narrow table that was aggregated by ``key`` back to rows of which one key may hold very many.
@@ -53,7 +55,8 @@ def components(edges: DataFrame) -> DataFrame:
     )
     before = state(edges)
     while before[0]:
-        last, edges = edges, written(small_star(large_star(edges)))
+        # Rounds over few edges write few files, however many partitions a shuffle has.
+        last, edges = edges, written(small_star(large_star(edges)).coalesce(before[0] // ROUND_ROWS + 1))
         after = state(edges)
         removed(last)
         if after == before:

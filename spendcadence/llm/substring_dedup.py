@@ -432,9 +432,8 @@ def repeated_spans(docs: DataFrame, percent: int, id_col: str, text_col: str) ->
     )
     links = written(links)
     wanted = links.select(F.explode(F.array("a", "b")).alias("content")).distinct()
-    shown = (
-        lines.join(wanted, "content", "left_semi").groupBy("content").agg(smallest("_first")).select("content", "_first.*")
-    )
+    # The first of each line is found before the join: a line may stand at very many places.
+    shown = lines.groupBy("content").agg(smallest("_first")).select("content", "_first.*").join(wanted, "content", "left_semi")
     span = F.pmod("packed", F.lit(1 << SPAN)).cast("int")
     texts = (
         likely(rows, shown, "id")

@@ -374,3 +374,28 @@ def test_documents_share_no_long_passage_afterwards(documents):
     assert len(whole) > 20
     for i in whole:
         assert left[i] == given[i]
+
+
+def test_rounds_over_few_edges_write_few_files(spark, monkeypatch):
+    monkeypatch.setattr(components, "ROUND_ROWS", 50, raising=False)
+    files = []
+    real = components.written
+
+    def counted(df):
+        table = real(df)
+        files.append(len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(components, "written", counted)
+    names = ["spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"]
+    old = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ["false", "32"]):
+        spark.conf.set(n, v)
+    try:
+        edges = spark.createDataFrame([(k, k + 1) for k in range(100) if k % 10 != 9], "a long, b long")
+        found = {(r.a, r.b) for r in components.components(edges).collect()}
+    finally:
+        for n, v in zip(names, old):
+            spark.conf.set(n, v)
+    assert found == {(k, k // 10 * 10) for k in range(100) if k % 10}
+    assert len(files) > 2 and max(files[1:]) <= 3
